@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, quality, topk, toxicity, warc
+from . import bpe, langid, line_dedup, pii, quality, topk, toxicity, warc
 from .samples import crc_fold
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -41,6 +41,12 @@ def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit(docs, docs.where(crc_fold("doc_id", 4) != 2))
@@ -58,7 +64,7 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(warc.records(pages), warc.truncated(warc.records(warc.damaged(pages))))
 
 
-_ALL = (op1_toxicity, op3_line_dedup, op5_quality, op6_exact_topk, op8_language_id, op9_byte_bpe, op10_warc_fixity)
+_ALL = (op1_toxicity, op3_line_dedup, op5_quality, op6_exact_topk, op7_pii, op8_language_id, op9_byte_bpe, op10_warc_fixity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
