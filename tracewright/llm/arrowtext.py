@@ -68,9 +68,9 @@ def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES) -> I
             lo = cut
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words (runs of other bytes than separators) and the row of each; words don't cross rows."""
-    solid = ~IS_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words (runs of other bytes than separators, see `gap`) and the row of each; words don't cross rows."""
+    solid = ~gap[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     starts_row = offsets[:-1][offsets[:-1] < offsets[1:]]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, pii, quality, topk, toxicity, warc
+from . import bpe, decontam, langid, line_dedup, pii, quality, topk, toxicity, warc
 from .samples import crc_fold
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(crc_fold("doc_id", 4) != 2))
@@ -64,7 +68,7 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(warc.records(pages), warc.truncated(warc.records(warc.damaged(pages))))
 
 
-_ALL = (op1_toxicity, op3_line_dedup, op5_quality, op6_exact_topk, op7_pii, op8_language_id, op9_byte_bpe, op10_warc_fixity)
+_ALL = (op1_toxicity, op3_line_dedup, op4_decontamination, op5_quality, op6_exact_topk, op7_pii, op8_language_id, op9_byte_bpe, op10_warc_fixity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
