@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, line_dedup, pii, quality, topk, toxicity, warc
+from . import bpe, decontam, jaccard_join, langid, line_dedup, pii, quality, topk, toxicity, warc
 from .samples import crc_fold
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(_read(spark, sf_dir, "documents"), jaccard_join.JoinConfig(width=4, percent=85))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -68,7 +72,7 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(warc.records(pages), warc.truncated(warc.records(warc.damaged(pages))))
 
 
-_ALL = (op1_toxicity, op3_line_dedup, op4_decontamination, op5_quality, op6_exact_topk, op7_pii, op8_language_id, op9_byte_bpe, op10_warc_fixity)
+_ALL = (op1_toxicity, op2_jaccard_join, op3_line_dedup, op4_decontamination, op5_quality, op6_exact_topk, op7_pii, op8_language_id, op9_byte_bpe, op10_warc_fixity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
