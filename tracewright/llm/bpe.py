@@ -213,13 +213,16 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", text: bool = False) ->
     return frame.mapInArrow(lambda b: _decode_batches(b, path, ids, text), _fields(frame, *new))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Per document the number of ids, and SHA-256 digests of the ids joined by commas and of the decoded bytes."""
-    kept = [doc_id] if keep is None else keep
-    frame = decode(encode(docs, path, pattern, text, kept), path)
-    return frame.select(
-        *kept,
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def with_digests(frame: DataFrame) -> DataFrame:
+    """Adds the number of ids, and SHA-256 digests of the ids joined by commas and of the decoded bytes."""
+    return frame.withColumns({
+        "n_tokens": F.size("ids").cast("long"),
+        "ids_sha256": F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256),
+        "decoded_sha256": F.sha2("decoded", 256),
+    })
+
+
+def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per document the number of ids, and the digests of with_digests()."""
+    coded = decode(encode(docs, path, pattern, text, [doc_id]), path)
+    return with_digests(coded).select(doc_id, "n_tokens", "ids_sha256", "decoded_sha256")
