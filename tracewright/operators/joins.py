@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 
 def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, width: float, on: list[str], where: Column, how: str = "inner") -> DataFrame:
     """Rows of equal `on` columns whose values lie within `width`, and for which `where` holds. how: inner, left_semi or left_anti.
@@ -82,11 +84,10 @@ def one_to_one(edges: DataFrame, a: str, b: str, order: list[str]) -> DataFrame:
     Every round takes all edges that come first for both of their ends and drops the other edges of these ends, until no edge is left;
     that gives what taking them one by one would.
     """
-    spark = edges.sparkSession
     rank = F.struct(*order)
     left, taken = edges.select(a, b, *[c for c in order if c not in (a, b)]), None
     while True:
-        left = left.checkpoint() if spark.sparkContext.getCheckpointDir() else left.persist()
+        left = written(left)
         best = left.withColumns({"_a": F.min(rank).over(W.partitionBy(a)), "_b": F.min(rank).over(W.partitionBy(b)), "_own": rank}).where("_own = _a AND _own = _b").drop("_a", "_b", "_own")
         if best.isEmpty():
             return taken if taken is not None else best
