@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-ORDER = W.partitionBy("trace_id").orderBy("idx")
-ALL = W.partitionBy("trace_id")
+
+def ordered() -> WindowSpec:
+    """A trace's points in order."""
+    return W.partitionBy("trace_id").orderBy("idx")
+
+
+def whole_trace() -> WindowSpec:
+    return ordered().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
 
 def trapezoid(traces: DataFrame, value: str = "intensity", keys: tuple[str, ...] = ("trace_id",)) -> DataFrame:
@@ -26,23 +33,20 @@ def residual_mad(traces: DataFrame) -> DataFrame:
 
 def area_uncertainty(traces: DataFrame) -> DataFrame:
     """MAD times the median scan period in seconds times the square root of the number of points."""
-    period = traces.select("trace_id", ((F.col("rt") - F.lag("rt").over(ORDER)) * 60).alias("_p")).groupBy("trace_id").agg(F.percentile("_p", 0.5).alias("period_sec"))
+    period = traces.select("trace_id", ((F.col("rt") - F.lag("rt").over(ordered())) * 60).alias("_p")).groupBy("trace_id").agg(F.percentile("_p", 0.5).alias("period_sec"))
     return residual_mad(traces).join(period, "trace_id").select("trace_id", (F.col("mad") * F.col("period_sec") * F.sqrt("n")).alias("uncertainty"))
 
 
 def weighted_neighbours(traces: DataFrame, weights: list[float], edge: str) -> DataFrame:
     """Smoothed values: a weighted sum of a point's neighbours; beyond an end they count as 0 ("zero") or as the end ("nearest")."""
     half = len(weights) // 2
-    first, last = F.first("intensity").over(ALL_FRAME), F.last("intensity").over(ALL_FRAME)
-    at = lambda k: F.lag("intensity", -k).over(ORDER) if k else F.col("intensity")
+    first, last = F.first("intensity").over(whole_trace()), F.last("intensity").over(whole_trace())
+    at = lambda k: F.lag("intensity", -k).over(ordered()) if k else F.col("intensity")
     beyond = lambda k: F.lit(0.0) if edge == "zero" else (first if k < 0 else last)
     terms = [F.coalesce(at(k), beyond(k)) * w for k, w in zip(range(-half, half + 1), weights, strict=True)]
     return traces.withColumn("smoothed", sum(terms[1:], terms[0]))
 
 
-ALL_FRAME = ORDER.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-
-
 def gaussian_weights(window: int, sigma: float) -> list[float]:
     """Normalised weights of a Gaussian over an odd window."""
     import math
@@ -63,8 +67,8 @@ def local_maxima(traces: DataFrame) -> DataFrame:
     """(trace_id, idx, rt, intensity) of local peaks: strict maxima, the lower middle of plateaus, ends above their neighbour; without any of
     these the first maximum of the trace."""
     value = F.col("intensity")
-    changed = F.coalesce((value != F.lag("intensity").over(ORDER)).cast("int"), F.lit(1))
-    runs = traces.select("*", F.sum(changed).over(ORDER).alias("_run"))
+    changed = F.coalesce((value != F.lag("intensity").over(ordered())).cast("int"), F.lit(1))
+    runs = traces.select("*", F.sum(changed).over(ordered()).alias("_run"))
     run = runs.groupBy("trace_id", "_run").agg(F.min("idx").alias("_l"), F.max("idx").alias("_r"), F.first("intensity").alias("_v"))
     by = W.partitionBy("trace_id").orderBy("_run")
     before, after = F.lag("_v").over(by), F.lead("_v").over(by)
@@ -90,9 +94,9 @@ def threshold_bounds(traces: DataFrame, peaks: DataFrame, levels: DataFrame) ->
     marked = traces.join(levels, "trace_id").select("trace_id", "idx", (F.col("intensity") <= F.col("threshold")).alias("_below"))
     near = marked.select(
         "trace_id", "idx",
-        F.max(F.when(F.col("_below"), F.col("idx"))).over(ORDER.rowsBetween(W.unboundedPreceding, -1)).alias("_lo"),
-        F.min(F.when(F.col("_below"), F.col("idx"))).over(ORDER.rowsBetween(1, W.unboundedFollowing)).alias("_hi"),
-        F.max("idx").over(ALL).alias("_end"),
+        F.max(F.when(F.col("_below"), F.col("idx"))).over(ordered().rowsBetween(W.unboundedPreceding, -1)).alias("_lo"),
+        F.min(F.when(F.col("_below"), F.col("idx"))).over(ordered().rowsBetween(1, W.unboundedFollowing)).alias("_hi"),
+        F.max("idx").over(W.partitionBy("trace_id")).alias("_end"),
     )
     return peaks.select("trace_id", "idx").join(near, ["trace_id", "idx"]).select(
         "trace_id", "idx", F.coalesce(F.col("_lo") + 1, F.lit(0)).cast("int").alias("left"), F.coalesce("_hi", F.col("_end") + 1).cast("int").alias("right")
@@ -150,7 +154,7 @@ def continuity(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def jaggedness(traces: DataFrame) -> DataFrame:
     """Sum of absolute second differences over range and length, with its severity."""
-    second = F.abs(F.col("intensity") - 2 * F.lag("intensity", 1).over(ORDER) + F.lag("intensity", 2).over(ORDER))
+    second = F.abs(F.col("intensity") - 2 * F.lag("intensity", 1).over(ordered()) + F.lag("intensity", 2).over(ordered()))
     facts = traces.select("trace_id", "intensity", second.alias("_d")).groupBy("trace_id").agg(F.sum("_d").alias("_d"), (F.max("intensity") - F.min("intensity")).alias("_span"), F.count("*").alias("_n"))
     jag = F.when((F.col("_n") < 3) | (F.col("_span") <= 0), 0.0).otherwise(F.col("_d") / (F.col("_span") * F.col("_n")))
     return facts.select("trace_id", jag.alias("jaggedness"), F.when(jag > 0.5, 2).when(jag > 0.3, 1).otherwise(0).alias("severity"))

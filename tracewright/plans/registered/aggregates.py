@@ -10,7 +10,9 @@ from ..catalog import query
 from .joins import _NEAR, near_families, paired
 from .rules import _ACCEPTED, _QUALITY, compound_medians, quality_cells
 
-_ok = R.accepted_detection(F.col("rt"), F.col("area"), F.col("confidence"), F.col("nl"))
+def _ok():
+    return R.accepted_detection(F.col("rt"), F.col("area"), F.col("confidence"), F.col("nl"))
+
 
 
 @query("agg04_target_summary", f"""
@@ -18,7 +20,7 @@ SELECT label, count(*) AS n, count(*) FILTER (WHERE {_ACCEPTED}) AS detected, ro
   round(avg(rt) FILTER (WHERE {_ACCEPTED}), 6) AS mean_rt, count(*) FILTER (WHERE nl = 'OK') AS nl_ok, count(*) FILTER (WHERE nl = 'NL_FAIL') AS nl_fail, count(*) FILTER (WHERE confidence = 'HIGH') AS high, count(*) FILTER (WHERE confidence = 'VERY_LOW') AS very_low FROM results GROUP BY label""")
 def agg04(b):
     n = lambda c: F.count_if(c)
-    return b.results.withColumn("ok", _ok).groupBy("label").agg(
+    return b.results.withColumn("ok", _ok()).groupBy("label").agg(
         F.count("*").alias("n"), n(F.col("ok")).alias("detected"), F.round(100 * n(F.col("ok")) / F.count("*"), 4).alias("pct"), F.round(F.percentile(F.when(F.col("ok"), F.col("area")), 0.5), 4).alias("median_area"),
         F.round(F.avg(F.when(F.col("ok"), F.col("rt"))), 6).alias("mean_rt"), n(F.col("nl") == "OK").alias("nl_ok"), n(F.col("nl") == "NL_FAIL").alias("nl_fail"),
         n(F.col("confidence") == "HIGH").alias("high"), n(F.col("confidence") == "VERY_LOW").alias("very_low"),
@@ -34,7 +36,7 @@ def agg05(b):
 
 @query("agg06_heatmap_state", f"SELECT label, sample, CASE WHEN rt IS NULL THEN 'missing' WHEN NOT {_ACCEPTED} THEN 'rejected' WHEN flags <> '' THEN 'flagged' ELSE 'clean' END AS state FROM results")
 def agg06(b):
-    state = F.when(F.col("rt").isNull(), "missing").when(~_ok, "rejected").when(F.col("flags") != "", "flagged").otherwise("clean")
+    state = F.when(F.col("rt").isNull(), "missing").when(~_ok(), "rejected").when(F.col("flags") != "", "flagged").otherwise("clean")
     return b.results.select("label", "sample", state.alias("state"))
 
 
@@ -189,7 +191,7 @@ def agg22(b):
     from ...functions.columns import flags
 
     rows = b.results.join(F.broadcast(b.targets.select("label", "rt_min", "rt_max")), "label")
-    s = rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(_ok).alias("d"), F.percentile(F.abs(F.col("rt") - (F.col("rt_min") + F.col("rt_max")) / 2), 0.5).alias("off"))
+    s = rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(_ok()).alias("d"), F.percentile(F.abs(F.col("rt") - (F.col("rt_min") + F.col("rt_max")) / 2), 0.5).alias("off"))
     few, far = F.col("d") < 0.8 * F.col("n"), F.col("off") > 1
     gate = F.when((F.col("d") < 0.4 * F.col("n")) | (F.col("off") > 5), "FAIL").when(few | far, "WARN").otherwise("PASS")
     return s.select("label", F.round(F.col("d") / F.col("n"), 6).alias("coverage"), F.round("off", 6).alias("rt_off"), F.array_join(flags((few, "coverage"), (far, "rt")), ";").alias("failures"), gate.alias("gate"))

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TARGETS = T.StructType.fromDDL(
+TARGETS = (
     "label string, mz double, rt_min double, rt_max double, ppm_tol double, neutral_loss_da double, nl_ppm_warn double, nl_ppm_max double, is_istd boolean, istd_pair string, sample_applicability string"
 )
-SAMPLES = T.StructType.fromDDL("sample_name string, role string, batch string, injection_order int, excluded boolean")
+SAMPLES = "sample_name string, role string, batch string, injection_order int, excluded boolean"
 
 
 class ContractError(ValueError):
@@ -31,15 +31,16 @@ def require_unique(frame: DataFrame, keys: list[str], what: str) -> DataFrame:
     return frame
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, required: list[str] | None = None, sep: str = ",") -> DataFrame:
+def read_table(spark: SparkSession, path: str, ddl: str, required: list[str] | None = None, sep: str = ",") -> DataFrame:
     """A delimited text file with a header (a byte order mark is skipped); the header must hold the required columns."""
+    schema = T.StructType.fromDDL(ddl)
     header = spark.read.option("sep", sep).option("header", True).csv(path)
     names = [c.lstrip("﻿") for c in header.columns]
     if missing := [c for c in (required or schema.names) if c not in names]:
         raise ContractError(f"{path} lacks {', '.join(missing)}")
     renamed = header.toDF(*names)
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    return renamed.select(*[(F.try_cast if hasattr(F, "try_cast") else lambda x, t: x.try_cast(t))(blank(f.name), f.dataType).alias(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return renamed.select(*[blank(f.name).try_cast(f.dataType).alias(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
