@@ -21,7 +21,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).alias("_label"))
     counts = known.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(64).collect()
     if not counts:
-        return pd.DataFrame({"text": [], "label": []})
+        return pd.DataFrame({"text": pd.Series([], dtype=str), "label": pd.Series([], dtype=object)})
     place = (F.xxhash64("_id") % (1 << 31)).cast("double") / float(1 << 31)
     wanted = F.lit(False)
     for row in counts:
