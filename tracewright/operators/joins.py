@@ -44,7 +44,10 @@ def extract_traces(points: DataFrame, scans: DataFrame, requests: DataFrame, how
     hit = binned.join(wanted, (F.col("sample") == F.col("_s")) & (binned["_bin"] == wanted["_bin"]) & F.col("mz").between(F.col("_low"), F.col("_high")) & F.col("rt").between(F.col("rt_min"), F.col("rt_max")))
     value = F.max("intensity") if how == "max" else F.sum("intensity")
     found = hit.groupBy("_request", "scan_number").agg(value.alias("intensity"))
-    grid = scans.join(distinct.withColumnRenamed("sample", "_s"), (F.col("sample") == F.col("_s")) & F.col("rt").between(F.col("rt_min"), F.col("rt_max"))).select("_request", "sample", "scan_number", "rt")
+    # A request is copied to each minute of its window, so that scans meet the requests of their own minute only.
+    timed = distinct.select(F.col("sample").alias("_s"), "rt_min", "rt_max", "_request", F.explode(F.sequence(F.floor("rt_min"), F.floor("rt_max"))).alias("_minute"))
+    own = (F.col("sample") == F.col("_s")) & (F.floor("rt") == F.col("_minute")) & F.col("rt").between(F.col("rt_min"), F.col("rt_max"))
+    grid = scans.join(timed, own).select("_request", "sample", "scan_number", "rt")
     filled = grid.join(found, ["_request", "scan_number"], "left").withColumn("intensity", F.coalesce("intensity", F.lit(0.0)))
     shared = requests.select("label", F.xxhash64(*shape).alias("_request"))
     return shared.join(filled, "_request").select("label", "sample", "scan_number", "rt", "intensity")
