@@ -12,7 +12,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 #: Bytes that numpy kernels take at a time; temporaries are about ten times this.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

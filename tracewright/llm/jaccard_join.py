@@ -42,8 +42,8 @@ from .graph import components
 
 #: Slots of a bucket of counts (as bits), occurrences that make a shingle frequent at least, and the bound of the list of frequent ones.
 SLOT_BITS, FREQUENT, MOST_FREQUENT = 22, 32, 200_000
-#: Shingles that a task counts at a time, those of a bucket about, and how often it tells of one.
-FLUSH, BUCKET, TOLD = 1 << 21, 1 << 19, 64
+#: Shingles that a task counts at a time, those of a bucket about, how often it tells of one, and a bucket's entries of lists about.
+FLUSH, BUCKET, TOLD, ENTRIES = 1 << 20, 1 << 19, 64, 1 << 17
 ESCAPE = 32767
 
 
@@ -213,7 +213,7 @@ def sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], config:
 def light_lists(found: DataFrame) -> DataFrame:
     """(classes, sizes) of the classes that share a rare prefix shingle, in order of their shares of rare shingles. found: sets()."""
     total = found.agg(F.sum(F.size("light"))).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET)))))
+    bits = max(0, int(np.ceil(np.log2(max(1, total / ENTRIES)))))
     mask = np.uint64((1 << bits) - 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
