@@ -213,6 +213,17 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", text: bool = False) ->
     return frame.mapInArrow(lambda b: _decode_batches(b, path, ids, text), _fields(frame, *new))
 
 
+def coded(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """encode() and decode() in one pass, so that a task needs one Python worker: the kept columns, ids and decoded."""
+    kept = docs.columns if keep is None else keep
+    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decode_batches(_encode_batches(batches, path, pattern, text, kept, False), path, "ids", False)
+
+    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, _fields(docs.select(*kept), *new))
+
+
 def with_digests(frame: DataFrame) -> DataFrame:
     """Adds the number of ids, and SHA-256 digests of the ids joined by commas and of the decoded bytes."""
     return frame.withColumns({
@@ -224,5 +235,4 @@ def with_digests(frame: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document the number of ids, and the digests of with_digests()."""
-    coded = decode(encode(docs, path, pattern, text, [doc_id]), path)
-    return with_digests(coded).select(doc_id, "n_tokens", "ids_sha256", "decoded_sha256")
+    return with_digests(coded(docs, path, pattern, text, [doc_id])).select(doc_id, "n_tokens", "ids_sha256", "decoded_sha256")

@@ -327,14 +327,16 @@ def linked(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "do
     cross = F.expr("flatten(transform(held, x -> transform(filter(held, y -> x.class < y.class AND x.component <> y.component AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * %d), y -> struct(x.class AS a, y.class AS b))))" % config.percent)
     rare_pairs = mixed.select(F.explode(cross).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared")).select("a", "b", "shared", F.lit(1).alias("extra"))
     # And in those of frequent shingles, for pairs that share no rare one: what isn't in a list's main component, against all of the list.
-    deep = written(apt.select("class", F.explode("heavy").alias("shingle")).join(own, "class"))
+    deep = written(apt.select("class", "heavy", F.explode("heavy").alias("shingle")).join(own, "class"))
     by_part = deep.groupBy("shingle", "component").agg(F.count("*").alias("m"))
     main = by_part.groupBy("shingle").agg(F.max(F.struct("m", "component")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("shingle", F.col("x.component").alias("main"))
     deep = deep.join(main, "shingle").withColumn("h", F.col("n") - F.col("rare"))
-    left, right = (deep.select("shingle", F.col("class").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "h", "component", "main")]) for k in "ab")
+    left, right = (deep.select("shingle", F.col("class").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "h", "component", "main", "heavy")]) for k in "ab")
     enough = F.least("h_a", "h_b") * (100 + config.percent) >= (F.col("n_a") + F.col("n_b")) * config.percent
-    matched = left.where("component_a <> main_a").join(right, "shingle").where((F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main_b")) | (F.col("a") < F.col("b"))) & enough & _near_sizes(F.col("n_a"), F.col("n_b"), config.percent))
-    deep_pairs = matched.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.count("*").alias("shared")).select(F.col("x").alias("a"), F.col("y").alias("b"), "shared", F.lit(0).alias("extra"))
+    # A pair comes from the first shingle that both prefixes hold only, and not once for each.
+    both = F.array_intersect("heavy_a", "heavy_b")
+    matched = left.where("component_a <> main_a").join(right, "shingle").where((F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("main_b")) | (F.col("a") < F.col("b"))) & enough & _near_sizes(F.col("n_a"), F.col("n_b"), config.percent) & (F.array_min(both) == F.col("shingle")))
+    deep_pairs = matched.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.size(both).cast("long").alias("shared"), F.lit(0).alias("extra")).distinct()
     others = written(_possible(rare_pairs, facts, config).unionByName(_possible(deep_pairs, facts, config)).distinct())
     if not others.isEmpty():
         missing = with_text(others).join(texts.select("class"), "class", "left_anti")

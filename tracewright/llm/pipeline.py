@@ -50,8 +50,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids, with digests of the ids and of what they decode to."""
     import public_tokenizers
 
-    path = public_tokenizers.path(BPE_FILE)
-    coded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, keep=[c for c in docs.columns if c != "text"]), path)
+    coded = bpe.coded(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, keep=[c for c in docs.columns if c != "text"])
     return bpe.with_digests(coded).drop("decoded")
 
 
