@@ -213,6 +213,35 @@ def test_candidate_recall_against_true_cosines(spark):
     assert hit / len(texts) >= 0.9
 
 
+def test_decontamination_of_items_in_most_rows(spark):
+    rnd = random.Random(12)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in range(300)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    hot, short = " ".join(f"hot{i}" for i in range(30)), "one two three four five"
+    docs = [(k, f"{text(20)} {hot} {text(10)}" if k % 10 else text(60)) for k in range(200)] + [(1000 + k, f"{short} " * 40) for k in range(20)] + [(2000, f"{text(200)} {short} {text(200)}")]
+    items = spark.createDataFrame([(1, hot), (2, short), (3, text(25))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {*((k, 1) for k in range(200) if k % 10), *((1000 + k, 2) for k in range(20)), (2000, 2)}
+
+
+@pytest.mark.parametrize("item", [" ".join(f"w{i}" for i in range(30)), "one two three", "word", "same same same same", " ".join(f"w{i}" for i in range(1500))])
+def test_decontamination_of_tables_of_copies(spark, item):
+    docs = spark.createDataFrame([(k, item) for k in range(5)] + [(9, "other")], "doc_id long, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage) for r in got) == [(k, 1, 1.0) for k in range(5)]
+    assert all(0 < r.cosine <= 1 for r in got)
+
+
+def test_decontamination_leaves_texts_with_an_items_common_words(spark):
+    rnd = random.Random(13)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in range(900)]
+    plain = lambda n: " ".join(rnd.choice(["the", "of", "to", "and", "that", "is", "was"] if rnd.random() < 0.5 else words) for _ in range(n))
+    item = "the heatou ononat to to the anor shheed eronnten onnt thin ndonsh of is the was that of"
+    near = "to to the erheed inthou of is the ndst was that of"
+    docs = spark.createDataFrame([(k, f"{plain(40)} {near} {plain(40)}") for k in range(100)] + [(500, f"{plain(40)} {item} {plain(40)}")], "doc_id long, text string")
+    assert [r.doc_id for r in decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [500]
+
+
 def test_lcs_by_bits():
     rnd = random.Random(7)
     for _ in range(200):
