@@ -373,6 +373,15 @@ def test_pii(spark, odd):
     assert pii.find_pii(empty(spark)).count() == 0
 
 
+def test_pii_finds_each_form_as_a_whole_text(spark):
+    forms = [(m[2], m[1]) for line in pii.LABELLED.splitlines() for m in pii._MARK.finditer(line)]
+    inside = ["so write to Jane Dot Doe AT mail DOT com about the order", "we met at noon. later he was at home at last with the dot on it", "at the station. we dot the map and go at once"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([t for t, _ in forms] + inside)], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_pii(frame, keep=["doc_id"]).collect()}
+    assert [got[i] for i in range(len(forms))] == [[(kind, 0, len(t))] for t, kind in forms]
+    assert [got[len(forms) + i] for i in range(3)] == [[("email", 12, 40)], [], []]
+
+
 # --- WARC
 
 

@@ -7,8 +7,8 @@ steps on the exact likelihood, and decoded by Viterbi over batches of word seque
 "dot", addresses with bracketed dots, phone numbers without a plus sign and card numbers with other separators. What it labels must still
 hold what its kind needs (parts up to 255, Luhn's check, a number's length); spans that overlap base spans of any kind are left out.
 
-Sequences are the words around characters that such data needs (digits, @ and brackets), with at least REACH characters of text on either
-side; a stretch of plain words in between is never labelled, which train() checks.
+Sequences are the words around what such data needs (digits, @, brackets, and the words "at" and "dot"), with at least REACH characters of
+text on either side; a stretch of other words in between is never labelled, which train() checks.
 
 Defined results: null and empty texts have no spans; offsets count code points, ends are exclusive; spans are ordered by start, then by
 kind as in KINDS; equal texts get equal spans; further columns pass through; a clash with a new column's name raises; empty tables give
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,7 +143,7 @@ _MARK = re.compile(r"\{(" + "|".join(KINDS) + r")\|(.*?)\}(?= |$)")
 _RUN = re.compile(r"[0-9]+|[^\W\d_]+")
 _WORD = re.compile(r"\S+")
 _DOTTED = re.compile(r"[0-9]{1,3}(?:[\[({]\.[\])}][0-9]{1,3}){3}")
-_SEED = re.compile(r"[0-9@\[({]")
+_SEED = re.compile(r"[0-9@\[({]|\b(?:at|dot)\b", re.IGNORECASE)
 
 
 def shape(word: str) -> str:
@@ -166,9 +167,10 @@ def shape(word: str) -> str:
 
 
 def labelled_table() -> list[tuple[list[str], list[str]]]:
-    """(shapes, labels) of the labelled sentences; labels are O, or B- or I- with a kind."""
+    """(shapes, labels) of the labelled sentences, and of each span as a text of its own; labels are O, or B- or I- with a kind."""
     out = []
-    for line in LABELLED.strip().splitlines():
+    lines = LABELLED.strip().splitlines()
+    for line in [*lines, *(m[0] for line in lines for m in _MARK.finditer(line))]:
         words, labels, at = [], [], 0
         for m in [*_MARK.finditer(line), None]:
             plain = line[at : m.start() if m else len(line)].split()
@@ -306,6 +308,8 @@ def _valid(kind: int, text: str) -> bool:
     digits = _digits(text)
     if kind == 0:
         low = text.lower()
+        if re.search(r"[.,;:!?]\s", text):  # a sentence's end or a comma between words
+            return False
         return len(low.split()) <= 10 and ("@" in low or "at" in low) and ("dot" in low or "." in low) and any(c.isalpha() for c in low)
     if kind == 1:
         parts = _NOT_DIGITS.split(text)
@@ -383,7 +387,8 @@ def find_pii(docs: DataFrame, model: CrfModel | None = None, text: str = "text",
         for batch in batches:
             data, offsets = utf8(batch.column(text))
             hits = np.concatenate([[0], np.cumsum(_INTERESTING[data], dtype=np.int64)])
-            rows = np.flatnonzero(hits[offsets[1:]] > hits[offsets[:-1]])
+            spelled = pc.fill_null(pc.match_substring_regex(batch.column(text), r"(?i)\b(at|dot)\b"), False).to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero((hits[offsets[1:]] > hits[offsets[:-1]]) | spelled)
             base, spans = ([[] for _ in range(batch.num_rows)] for _ in range(2))
             for at in range(0, len(rows), 1000):
                 part = rows[at : at + 1000]
