@@ -196,23 +196,6 @@ def test_decontamination(spark):
     assert decontam.contaminated(frame, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_candidate_recall_against_true_cosines(spark):
-    rnd = random.Random(6)
-    words = [f"{a}{b}" for a in "abcdefghij" for b in range(200)]
-    texts = [" ".join(rnd.choice(words) for _ in range(40)) for _ in range(50)]
-    config = decontam.DecontamConfig(common=0.05)
-    source = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    idf = decontam.inverse_frequency(source, "text", config)
-    rows = source.select("text", F.lit(True).alias("is_item"))
-    features, matrix = decontam.latent_basis(rows, len(texts), idf, config)
-    block = decontam._Block(list(range(50)), texts, features, matrix, idf, config)
-    hit = 0
-    for i, t in enumerate(texts):
-        (_, hashes), = decontam._hashed(pa.array([" ".join(t.split()[5:29])]))
-        hit += i in block.candidates(np.zeros(len(hashes), int), hashes)[2]
-    assert hit / len(texts) >= 0.9
-
-
 def test_decontamination_of_items_in_most_rows(spark):
     rnd = random.Random(12)
     words = [f"{a}{b}" for a in "abcdefghij" for b in range(300)]
