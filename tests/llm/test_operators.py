@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.llm import arrowtext, bpe, decontam, jaccard_join, langid, line_dedup, pii, quality, topk, toxicity, warc
-from tracewright.llm.graph import components
+from tracewright.operators.graph import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -408,3 +408,46 @@ def test_pieces_and_words_cover_all_bytes():
 
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    rows = [(1, "a\nb\nc"), (2, "a\nb\nc\nd"), (None, "a\nb\nc")]
+    names = ["_lines", "_rid", "_rth", "_id", "_th", "runs", "_row", "first", "h1"]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame).collect()}
+    assert {k: r.text for k, r in got.items()} == {None: "a\nb\nc", 1: "", 2: "d"}
+    assert all(r[n] == n for r in got.values() for n in names)
+
+
+def test_a_long_run_is_one_word(spark):
+    raw = np.frombuffer(b"x1" * 400_000, np.uint8)
+    assert arrowtext.long_word_hash(raw, 1000) == arrowtext.word_hashes(raw, np.array([0]), np.array([len(raw)]))
+    run = "ab" * 200_000
+    rows = [(1, f"a b c {run}"), (2, f"a b c {run} d"), (3, run), (4, f"A B\tC {run}\n"), (5, f"{run} {run[:-1]} x")]
+    got = jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 4, 85)
+
+
+def test_join_where_shingles_share_slots_and_lists_are_long(spark, monkeypatch):
+    for name, value in (("SLOT_BITS", 9), ("FREQUENT", 4), ("DEALT", 8)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(60)]
+    base = [[rnd.choice(words) for _ in range(rnd.randrange(20, 60))] for _ in range(12)]
+    rows = []
+    for k in range(200):
+        t = list(rnd.choice(base))
+        for _ in range(rnd.randrange(4)):
+            t[rnd.randrange(len(t))] = rnd.choice(words)
+        rows.append((k, " ".join(t)))
+    got = jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, 4, 85)
+
+
+def test_more_labels_than_allowed_raise(spark):
+    from tracewright.llm.samples import labelled_sample
+
+    docs = spark.createDataFrame([(k, f"text {k}", f"l{k}") for k in range(70)], "doc_id long, text string, lang string")
+    assert set(labelled_sample(docs, docs, "lang", 5, 100).label) == {f"l{k}" for k in range(70)}
+    with pytest.raises(ValueError, match="more than 69 labels"):
+        labelled_sample(docs, docs, "lang", 5, 100, most_labels=69)

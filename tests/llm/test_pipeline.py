@@ -9,7 +9,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from pyspark.sql import functions as F  # noqa: E402
 
 from tracewright.llm import pipeline  # noqa: E402
-from tracewright.llm.files import written  # noqa: E402
+from tracewright.functions.tables import written  # noqa: E402
 
 
 def test_stages_are_named_and_in_order():
@@ -53,3 +53,30 @@ def test_empty_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         none = written(stage(spark, none, folder))
     assert pipeline.tokenize(spark, none, folder).count() == 0
+
+
+def test_near_duplicates_without_ids_and_with_clashing_columns(spark):
+    words = [f"w{i}" for i in range(200)]
+    text = " ".join(words[:60])
+    rows = [(None, text, 1), (None, text + " tail", 2), (7, text, 3), (7, text, 3), (5, text + " end", 4), (None, " ".join(words[100:150]), 5), (None, " ".join(words[100:150]) + " x", 6), (9, "", 7), (9, None, 8), (None, "", 9), (3, "other words here now too", 1), (3, "another text of this id now", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int").withColumns({c: F.lit(1) for c in ("_key", "component_id", "class", "th")})
+    for empty in (False, True):
+        frame = docs.where("doc_id = -1") if empty else docs
+        got = pipeline.dedup_near(spark, frame, "")
+        assert got.columns == docs.columns
+        if empty:
+            assert got.count() == 0
+            continue
+        kept = [(r.doc_id, r.text) for r in got.collect()]
+        assert sorted(k for k in kept if k[0] is not None and k[1]) == [(3, "another text of this id now"), (3, "other words here now too"), (5, text + " end")]
+        # Of the linked texts without an id one stays, and texts without words stay.
+        assert len([k for k in kept if k[0] is None and k[1]]) == 1
+        assert sorted((k[0] is None, k[1] is None) for k in kept if not k[1]) == [(False, False), (False, True), (True, False)]
+
+
+def test_decontamination_keeps_clashing_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({"_key": F.lit("own"), "_KEY_": F.lit(2), "item_id": F.lit(3)})
+    got = pipeline.decontaminate(spark, docs, folder)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert {r._key for r in rows} == {"own"} and 600 not in {r.doc_id for r in rows} and len(rows) == docs.count() - 1

@@ -44,11 +44,11 @@ def spans(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         at = end
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets): every row whole or, if longer than `limit`, cut after a separator.
 
     Operators whose result is a sum over words may add up the pieces of a row. A run of more than `limit` bytes without a separator is
-    cut where no character is split.
+    cut where no character is split or, with `whole`, is a piece of its own, whatever its length.
     """
     for at, end in spans(offsets, limit):
         lo, hi = int(offsets[at]), int(offsets[end])
@@ -61,6 +61,11 @@ def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = BLOCK_BYTES) -> I
                 found = np.flatnonzero(IS_SPACE[data[lo:cut]])
                 if len(found):
                     cut = lo + int(found[-1]) + 1
+                elif whole:
+                    while cut < hi and not IS_SPACE[data[cut : min(hi, cut + limit)]].any():
+                        cut = min(hi, cut + limit)
+                    if cut < hi:
+                        cut += int(np.flatnonzero(IS_SPACE[data[cut : cut + limit]])[0])
                 else:
                     while cut > lo + 1 and data[cut] & 0xC0 == 0x80:
                         cut -= 1
@@ -122,6 +127,17 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def long_word_hash(data: np.ndarray, limit: int = BLOCK_BYTES) -> np.ndarray:
+    """What word_hashes() gives for a single word, from parts of `limit` bytes."""
+    base, total = int(_powers(2)[0]), 0
+    with np.errstate(over="ignore"):
+        for at in range(0, len(data), limit):
+            part = data[at : at + limit]
+            own = int((mix(part.astype(np.uint64) + np.uint64(1)) * _powers(max(2, len(part)))[: len(part)]).sum(dtype=np.uint64))
+            total = (total + own * pow(base, at, 1 << 64)) % (1 << 64)
+        return mix(np.array([total], np.uint64) + np.uint64(len(data)) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of each run of `width` consecutive word hashes; of all of them if they are fewer; none without words."""
     if not len(hashes):

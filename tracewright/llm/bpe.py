@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a result batch, and distinct cuts that a task remembers before it forgets them all.
-ROWS, REMEMBERED = 512, 150_000
+#: Rows of a result batch, bytes of distinct cuts and their ids that a task remembers before it forgets them all, and characters of one.
+ROWS, REMEMBERED, LONGEST = 512, 24 << 20, 256
 
 # Where a cut before a space could fall inside a match: white space on both sides, or before the end of the text.
 _UNSAFE = re.compile(r"\s (?:\s|\Z)")
@@ -117,17 +117,23 @@ def _cuts(text: str) -> list[str]:
 
 
 def _encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, text: str, kept: list[str], offsets: bool) -> Iterator[pa.RecordBatch]:
-    encode, memo, starts = _encoder(path, pattern), {}, _lengths(path)
+    encode, memo, starts, held = _encoder(path, pattern), {}, _lengths(path), 0
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
             texts = [x or "" for x in part.column(text).to_pylist()]
             cuts = [_cuts(t) for t in texts]
-            if len(memo) > REMEMBERED:
+            if held > REMEMBERED:
                 memo.clear()
+                held = 0
             new = list({c for cs in cuts for c in cs if c not in memo})
             memo.update(zip(new, encode(new), strict=True))
             ids = [np.frombuffer(b"".join([memo[c] for c in cs]), np.int32) for cs in cuts]
+            for c in new:
+                if len(c) > LONGEST:
+                    del memo[c]
+                else:
+                    held += 2 * len(c) + len(memo[c])
             out = {n: part.column(n) for n in kept}
             out["ids"] = _lists(ids)
             if offsets:

@@ -13,16 +13,18 @@ share more. A pair must share the smaller l of the two.
    of near copies lies nearest to the original. First only centres are compared with their lists, and links make components.
 4. Then the remaining pairs, those of different components, are counted in all lists. A pair stays if it shares enough shingles and could,
    with all that lies beyond the prefix, still reach the threshold. No pair of different components is left out, so the components are
-   exact, although a large group of near copies is never expanded into its pairs.
+   exact, although a large group of near copies is never expanded into its pairs. Only lists with several components take part; their
+   entries meet by list and range of sizes, and a long list's are dealt over as many tasks as its length asks for.
 5. Verification compares the whole sets of a pair.
 
-Frequent shingles' lists aren't shuffled by shingle for the centres: those of the bounded list are broadcast. Documents' texts are
-shuffled once to those that have candidates.
+What a frequent shingle's list needs to know of itself, its centre and its main component, is broadcast, as frequent shingles are a bounded
+list. Of equal texts, one row's is shuffled to where it is verified.
 
 Defined results: null texts, and texts without words, have an empty set and link with nothing; with fewer words than a shingle has, the
 whole sequence is one shingle; null ids take part, but a component's id is its smallest id that isn't null; equal rows are one class;
-further columns are ignored; empty tables give no rows. Hashes of 64 bits stand for words, shingles and classes: among n classes the odds
-that two different ones count as one are below n * n / 2**65.
+further columns are ignored, whatever their names; empty tables give no rows; very long texts are read whole, in parts. Hashes of 64 bits
+stand for words, shingles, rows and classes: among n of them the odds that two different ones count as one are below n * n / 2**65. Frequent
+shingles are named by the slots in which they are counted; those of one set that share a slot are numbered, so that none is counted once less.
 """
 
 from __future__ import annotations
@@ -36,15 +38,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import lower_ascii, mix, pieces, shingle_hashes, spans, utf8, word_hashes, words
-from .files import written
-from .graph import components
+from ..functions.tables import written
+from ..operators.graph import components
+from .arrowtext import BLOCK_BYTES, long_word_hash, lower_ascii, mix, pieces, shingle_hashes, spans, utf8, word_hashes, words
 
 #: Slots of a bucket of counts (as bits), occurrences that make a shingle frequent at least, and the bound of the list of frequent ones.
 SLOT_BITS, FREQUENT, MOST_FREQUENT = 22, 32, 200_000
 #: Shingles that a task counts at a time, those of a bucket about, how often it tells of one, and a bucket's entries of lists about.
 FLUSH, BUCKET, TOLD, ENTRIES = 1 << 20, 1 << 19, 64, 1 << 17
 ESCAPE = 32767
+#: Bits that number the shingles of a set in one slot, classes that a task remembers, and entries of a list that a task pairs with all of it.
+SAME_BITS, SEEN, DEALT = 11, 1 << 20, 4096
 
 
 @dataclass(frozen=True)
@@ -63,8 +67,12 @@ def word_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     for a, b in spans(offsets):
         lo = offsets[a]
         held, owner = [], []
-        for rows, raw, ends in pieces(data[lo : offsets[b]], offsets[a : b + 1] - lo):
+        for rows, raw, ends in pieces(data[lo : offsets[b]], offsets[a : b + 1] - lo, whole=True):
             raw = lower_ascii(raw)
+            if len(rows) == 1 and len(raw) > BLOCK_BYTES:  # a word
+                held.append(long_word_hash(raw))
+                owner.append(rows)
+                continue
             start, end, row = words(raw, ends)
             held.append(word_hashes(raw, start, end))
             owner.append(rows[row])
@@ -191,14 +199,18 @@ def sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray, int], config:
                 out["class"][i], out["n"][i] = name, n
                 if name in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(name)
                 key = (own >> shift).astype(np.int64)
                 maybe = np.flatnonzero(known[key & 0xFFFFFF])
                 at = np.minimum(np.searchsorted(keys, key[maybe]), max(0, len(keys) - 1))
                 hit = keys[at] == key[maybe] if len(keys) else np.zeros(0, bool)
-                place = np.sort(ranks[at[hit]]) if len(keys) else np.zeros(0, np.int64)
+                rank = np.sort(ranks[at[hit]]) if len(keys) else np.zeros(0, np.int64)
+                same = np.arange(len(rank)) - np.searchsorted(rank, rank)
+                place = rank << SAME_BITS | np.minimum(same, (1 << SAME_BITS) - 1)
                 rare = n - len(place)
-                least, length = prefix_length(n, place + 1.0, rare, config)
+                least, length = prefix_length(n, rank + 1.0, rare, config)
                 first = own if rare == n else np.delete(own, maybe[hit])
                 light[i] = first[: min(length, rare)].view(np.int64)
                 heavy[i] = place[: max(0, length - rare)].astype(np.int32)
@@ -222,10 +234,10 @@ def light_lists(found: DataFrame) -> DataFrame:
             token = batch.column("light").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             if not len(token):
                 continue
-            bucket, short = (token & mask).astype(np.int64), ((token >> np.uint64(bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            bucket = (token & mask).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]).astype(np.int32)
-            lists = {"tokens": short[order]} | {k: np.repeat(batch.column(k).to_numpy(), size)[order] for k in ("class", "n", "rare")}
+            lists = {"tokens": token[order].view(np.int64)} | {k: np.repeat(batch.column(k).to_numpy(), size)[order] for k in ("class", "n", "rare")}
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[order][cut[:-1]])} | {k: pa.ListArray.from_arrays(cut, pa.array(v)) for k, v in lists.items()})
 
     def lists(table: pa.Table) -> pa.Table:
@@ -241,7 +253,7 @@ def light_lists(found: DataFrame) -> DataFrame:
         ends = np.concatenate([[0], np.cumsum(size[size >= 2])]).astype(np.int32)
         return pa.table({"classes": pa.ListArray.from_arrays(ends, pa.array(name[several])), "sizes": pa.ListArray.from_arrays(ends, pa.array(n[several]))})
 
-    dealt = found.where("size(light) > 0").select("class", "n", "rare", "light").mapInArrow(deal, "bucket long, tokens array<int>, class array<long>, n array<int>, rare array<int>")
+    dealt = found.where("size(light) > 0").select("class", "n", "rare", "light").mapInArrow(deal, "bucket long, tokens array<long>, class array<long>, n array<int>, rare array<int>")
     return dealt.groupBy("bucket").applyInArrow(lists, "classes array<long>, sizes array<int>")
 
 
@@ -294,7 +306,8 @@ def _texts(source: DataFrame, classes: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    # `th` names a row, so that equal texts of different rows aren't sent to one task.
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id).cast("long"), text).alias("th"), F.col(text).alias("text"))
     found = written(sets(source, frequent_shingles(source, "text", config), config))
     full = found.where("light IS NOT NULL")
     # `deep`: frequent shingles in the prefix.
@@ -322,15 +335,21 @@ def linked(docs: DataFrame, config: JoinConfig = JoinConfig(), doc_id: str = "do
 
     own = written(facts.select("class", "n", "rare").join(owner.withColumnRenamed("node", "class"), "class", "left").select("class", "n", "rare", F.coalesce("component", "class").alias("component")))
     # Pairs of different components in the lists of rare shingles.
-    placed = lists.select("list", F.explode("classes").alias("class")).join(own, "class")
-    mixed = placed.groupBy("list").agg(F.min("component").alias("_least"), F.max("component").alias("_most"), F.collect_list(F.struct("component", "class", "n")).alias("held")).where("_least <> _most")
-    cross = F.expr("flatten(transform(held, x -> transform(filter(held, y -> x.class < y.class AND x.component <> y.component AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * %d), y -> struct(x.class AS a, y.class AS b))))" % config.percent)
-    rare_pairs = mixed.select(F.explode(cross).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared")).select("a", "b", "shared", F.lit(1).alias("extra"))
+    placed = written(lists.select("list", F.explode("classes").alias("class")).join(own, "class").select("list", "class", "component", "n"))
+    several = placed.groupBy("list").agg(F.min("component").alias("_least"), F.max("component").alias("_most"), F.ceil(F.count("*") / DEALT).cast("int").alias("parts")).where("_least <> _most").select("list", "parts")
+    entries = placed.join(several, "list").withColumn("range", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / config.percent))))
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    one = entries.select("list", "range", part.alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("class", "component", "n")])
+    # Sizes within the threshold lie in the same range or in a neighbouring one.
+    every = entries.select("list", F.explode(F.array(F.col("range") - 1, F.col("range"), F.col("range") + 1)).alias("range"), "parts", *[F.col(c).alias(f"{c}_b") for c in ("class", "component", "n")])
+    every = every.select("list", "range", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "class_b", "component_b", "n_b")
+    cross = one.join(every, ["list", "range", "part"]).where((F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & _near_sizes(F.col("n_a"), F.col("n_b"), config.percent))
+    rare_pairs = cross.groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b")).agg(F.count("*").alias("shared")).select("a", "b", "shared", F.lit(1).alias("extra"))
     # And in those of frequent shingles, for pairs that share no rare one: what isn't in a list's main component, against all of the list.
     deep = written(apt.select("class", "heavy", F.explode("heavy").alias("shingle")).join(own, "class"))
     by_part = deep.groupBy("shingle", "component").agg(F.count("*").alias("m"))
     main = by_part.groupBy("shingle").agg(F.max(F.struct("m", "component")).alias("x"), F.count("*").alias("parts")).where("parts > 1").select("shingle", F.col("x.component").alias("main"))
-    deep = deep.join(main, "shingle").withColumn("h", F.col("n") - F.col("rare"))
+    deep = deep.join(F.broadcast(main), "shingle").withColumn("h", F.col("n") - F.col("rare"))  # at most MOST_FREQUENT rows, times what shares a slot
     left, right = (deep.select("shingle", F.col("class").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "h", "component", "main", "heavy")]) for k in "ab")
     enough = F.least("h_a", "h_b") * (100 + config.percent) >= (F.col("n_a") + F.col("n_b")) * config.percent
     # A pair comes from the first shingle that both prefixes hold only, and not once for each.

@@ -6,8 +6,9 @@ are covered. Covered places merge into runs, and a text keeps what lies between
 
 Defined results: a document's key is its id (null first) and the hash of its text, so that equal rows get equal results and none of them
 is the later one; null texts stay null, with 0 lines; texts of fewer than three lines that aren't blank are kept whole; a text of which
-every line is covered becomes empty; overlapping repeats inside a text keep the first occurrence's lines. Further columns pass through;
-a clash with the new columns' names raises. Empty tables give no rows.
+every line is covered becomes empty; overlapping repeats inside a text keep the first occurrence's lines. Further columns pass through,
+whatever their names, but a clash with the new columns n_lines and n_removed raises. Very long texts are cut like others; their windows are
+an array of the row. Empty tables give no rows.
 
 Only hashes and places are shuffled by window; their first occurrences are found by partial aggregates, and the join back to all
 occurrences is a plain equi-join, whose hot windows Spark splits. Texts are shuffled once, by document key.
@@ -62,14 +63,14 @@ def covered_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with covered lines removed from their texts, and n_lines and n_removed, the lines before and those removed."""
-    if clash := {*_NEW, "_id", "_th", "runs"} & set(docs.columns):
+    if clash := set(_NEW) & {c.lower() for c in docs.columns}:
         raise ValueError(f"the input already has {sorted(clash)}")
     runs = covered_runs(docs, doc_id, text)
-    keyed = docs.select("*", F.xxhash64(text).alias("_th"))
-    joined = keyed.join(
-        runs.withColumnsRenamed({"_id": "_rid", "_th": "_rth"}), (F.col("_th") == F.col("_rth")) & F.col(doc_id).eqNullSafe(F.col("_rid")), "left"
-    )
-    lines, count = F.split(text, "\n", -1), F.size("runs")
+    # The input's columns travel as one, so that their names meet none of the names here.
+    keyed = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th"))
+    joined = keyed.join(runs.withColumnsRenamed({"_id": "_rid", "_th": "_rth"}), (F.col("_th") == F.col("_rth")) & F.col("_id").eqNullSafe(F.col("_rid")), "left")
+    whole = F.col("_row").getField(text)
+    lines, count = F.split(whole, "\n", -1), F.size("runs")
 
     def kept(k: Column) -> Column:
         start = F.when(k == 0, F.lit(0)).otherwise(F.get("runs", k - 1)["last"] + 1)
@@ -80,9 +81,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rest = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), count), kept)), "\n")
     cut = joined.select("*", F.when(F.col("runs").isNotNull(), lines).alias("_lines"))
     return cut.select(
-        *[F.when(F.col("runs").isNull(), F.col(text)).otherwise(rest).alias(text) if c == text else F.col(c) for c in docs.columns],
+        *[F.when(F.col("runs").isNull(), whole).otherwise(rest).alias(text) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns],
         # Lines are the line feeds and one more.
-        F.coalesce(F.octet_length(text) - F.octet_length(F.translate(F.col(text), "\n", "")) + 1, F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.octet_length(whole) - F.octet_length(F.translate(whole, "\n", "")) + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
     )
 

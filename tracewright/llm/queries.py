@@ -1,4 +1,7 @@
-"""The queries of this subpackage, as the driver contract wants them: each applies an operator to its whole table."""
+"""The queries of this subpackage, as the driver contract wants them: each applies an operator to its whole table.
+
+Documents without an id are in no fold: nothing is learned from them, and held_out is false.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +24,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(crc_fold("doc_id", 5) != 0))
     return toxicity.score(docs, model, keep=["doc_id"]).select(
-        "doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+        "doc_id", crc_fold("doc_id", 5).eqNullSafe(0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
@@ -41,7 +44,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = quality.fit(docs, labels.where(crc_fold("doc_id", 4) != 2))
     return quality.score(docs, model, keep=["doc_id"]).select(
-        "doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= model.config.threshold).cast("int").alias("predicted"), "evidence"
+        "doc_id", crc_fold("doc_id", 4).eqNullSafe(2).alias("held_out"), "score", (F.col("score") >= model.config.threshold).cast("int").alias("predicted"), "evidence"
     )
 
 
@@ -60,7 +63,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     model = langid.fit(docs, docs.where(crc_fold("doc_id", 4) != 2))
-    return langid.predict(docs, model, keep=["doc_id"]).select("doc_id", (crc_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model, keep=["doc_id"]).select("doc_id", crc_fold("doc_id", 4).eqNullSafe(2).alias("held_out"), "lang_pred", "score")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

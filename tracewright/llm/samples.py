@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 
 
 def crc_fold(doc_id: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo `folds`; null ids are in no fold."""
+    """crc32 of the id as text, modulo `folds`; null, and so equal to no fold, for null ids."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_bytes: int, doc_id: str = "doc_id", text: str = "text") -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_bytes: int, doc_id: str = "doc_id", text: str = "text", most_labels: int = 1000) -> pd.DataFrame:
     """Columns text and label: about `per_label` rows of each label, chosen by a hash of the id, with texts of at most `max_bytes`.
 
-    labels: ids and labels to choose from; rows whose label is null don't count. At most 64 labels are learned, the most frequent ones,
-    so that the driver receives at most 128 * per_label rows. The rows' order is fixed by the ids' hashes.
+    labels: ids and labels to choose from; rows whose label is null don't count. More than `most_labels` labels raise, so that the driver
+    receives at most 2 * per_label * most_labels rows. The rows' order is fixed by the ids' hashes.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).alias("_label"))
-    counts = known.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(64).collect()
+    counts = known.groupBy("_label").count().orderBy(F.desc("count"), "_label").limit(most_labels + 1).collect()
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels")
     if not counts:
         return pd.DataFrame({"text": pd.Series([], dtype=str), "label": pd.Series([], dtype=object)})
     place = (F.xxhash64("_id") % (1 << 31)).cast("double") / float(1 << 31)
