@@ -2,12 +2,13 @@
 
 The rules assign rows in a fixed order to the first group that takes them, so they are no equivalence relations. Data are cut where no
 group can cross: into islands between gaps that are wider than the rule allows, or into the components of the pairs that may share a group.
-Each island is then grouped by the rule itself. Islands are bounded by the rule's tolerances, not by the table.
+Each island is then grouped by the rule itself. Where gaps never open, an island is long; then its rows stream by, and only the groups that may
+still take rows are held.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,43 +19,55 @@ from .graph import components
 from .traces import gap_islands
 
 
-def assign_in_islands(rows: DataFrame, keys: list[str], order: list[str], fits: Callable[[list[dict], dict], bool], row_id: str) -> DataFrame:
-    """(keys, row_id, group_id): rows in the given order join the first group that takes them, else start one, named by its first row."""
-    kind = rows.schema[row_id].dataType.simpleString()
-    names = [*dict.fromkeys([*keys, *order, row_id, *rows.columns])]
+class _Group:
+    """A group of seeds: its first row's id, its last RT, and the least and greatest value of each compared column."""
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island, groups = None, []
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                own = tuple(row[k] for k in keys)
-                if own != island:
-                    island, groups = own, []
-                group = next((g for g in groups if fits(g, row)), None)
-                if group is None:
-                    groups.append(group := [])
-                group.append(row)
-                out.append((row[row_id], group[0][row_id]))
-            yield pd.DataFrame(out, columns=[row_id, "group_id"])
+    __slots__ = ("name", "last", "low", "high")
+
+    def __init__(self, name: int, rt: float, values: tuple[float, ...]) -> None:
+        self.name, self.last, self.low, self.high = name, rt, values, values
+
+    def fits(self, values: tuple[float, ...], ppm: float) -> bool:
+        # The relative difference to a member grows away from the value, so that the outermost members decide.
+        return all(m > 0 and abs(v - m) / m * 1e6 <= ppm for ends in (self.low, self.high) for v, m in zip(values, ends, strict=True))
 
-    # Islands lie in one partition each, one after the other, so that only the current one's groups are held.
-    placed = rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order)
-    return placed.mapInPandas(place, f"{row_id} {kind}, group_id {kind}")
+    def take(self, rt: float, values: tuple[float, ...]) -> None:
+        self.last, self.low, self.high = rt, tuple(map(min, self.low, values)), tuple(map(max, self.high, values))
 
 
 def group_seeds(seeds: DataFrame, gap: float, ppm: float) -> DataFrame:
-    """Seeds of one sample and tag: the first group whose last RT is within the gap and whose members all fit in m/z, product and loss."""
+    """(seed_id, group_id): seeds of one sample and tag join the first group whose last RT is within the gap and whose members all fit in m/z,
+    product and loss, else start one, named by its first seed.
+
+    Rows of an island lie in one partition in the order of their RT, so that a group whose last RT is further back than the gap is closed;
+    only open ones are held.
+    """
     step = ppm / 1e6 * 1.001
+    kind = seeds.schema["seed_id"].dataType.simpleString()
     # Neighbours in m/z that are further apart than the tolerance share no group; the logarithm makes the tolerance one width.
     by_mz = gap_islands(seeds.withColumn("_log", F.log("precursor_mz")), ["sample", "tag"], "_log", step, "seed_id").withColumnRenamed("island", "_mz")
-    by_rt = gap_islands(by_mz, ["sample", "tag", "_mz"], "rt", gap, "seed_id").withColumnRenamed("island", "_rt")
-    within = lambda a, b: b > 0 and abs(a - b) / abs(b) * 1e6 <= ppm
+    rows = gap_islands(by_mz, ["sample", "tag", "_mz"], "rt", gap, "seed_id").withColumnRenamed("island", "_rt")
+    keys, compared = ["sample", "tag", "_mz", "_rt"], ["precursor_mz", "product_mz", "loss_da"]
 
-    def fits(group: list[dict], row: dict) -> bool:
-        return row["rt"] - group[-1]["rt"] <= gap and all(within(row[c], m[c]) for m in group for c in ("precursor_mz", "product_mz", "loss_da"))
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        island, groups = None, []
+        for batch in batches:
+            names = []
+            columns = [batch[c].tolist() for c in (*keys, "seed_id", "rt", *compared)]
+            for *own, seed, rt, mz, product, loss in zip(*columns, strict=True):
+                if own != island:
+                    island, groups = own, []
+                groups = [g for g in groups if rt - g.last <= gap]
+                values = (mz, product, loss)
+                group = next((g for g in groups if g.fits(values, ppm)), None)
+                if group is None:
+                    groups.append(group := _Group(seed, rt, values))
+                group.take(rt, values)
+                names.append(group.name)
+            yield pd.DataFrame({"seed_id": batch["seed_id"], "group_id": names})
 
-    return assign_in_islands(by_rt, ["sample", "tag", "_mz", "_rt"], ["rt", "scan_number", "precursor_mz", "seed_id"], fits, "seed_id")
+    placed = rows.select(*keys, "seed_id", "rt", "scan_number", *compared).repartition(*keys).sortWithinPartitions(*keys, "rt", "scan_number", "precursor_mz", "seed_id")
+    return placed.mapInPandas(place, f"seed_id {kind}, group_id {kind}")
 
 
 def complete_link(owners: DataFrame, edges: DataFrame) -> DataFrame:

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.tables import written
 
 
-def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, width: float, on: list[str], where: Column, how: str = "inner") -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, left_value: str | Column, right_value: str | Column, width: float, on: list[str], where: Column, how: str = "inner") -> DataFrame:
     """Rows of equal `on` columns whose values lie within `width`, and for which `where` holds. how: inner, left_semi or left_anti.
 
     Both sides' other columns must have different names. width: at least the largest tolerance.
     """
-    bucket = lambda c: F.floor(F.col(c) / width)
+    bucket = lambda c: F.floor((F.col(c) if isinstance(c, str) else c) / width)
     near = right.withColumn("_bucket", F.explode(F.sequence(bucket(right_value) - 1, bucket(right_value) + 1)))
     marked = left.withColumn("_bucket", bucket(left_value))
     condition = [marked[c] == near[c] for c in [*on, "_bucket"]]
@@ -31,6 +31,15 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: s
     return joined.drop(*[near[c] for c in [*on, "_bucket"]]).drop("_bucket")
 
 
+def ppm_join(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, ppm: float, on: list[str], where: Column, how: str = "inner") -> DataFrame:
+    """A band join of values above 0 whose relative difference, to either of them, is at most so many parts per million.
+
+    Buckets are as wide as the tolerance on the scale of logarithms, on which it is the same everywhere. `where` tells how the difference is taken.
+    """
+    log = lambda c: F.when(F.col(c) > 0, F.log(c))
+    return band_join(left, right, log(left_mz), log(right_mz), ppm / 1e6 * 1.01, on, where, how)
+
+
 def extract_traces(points: DataFrame, scans: DataFrame, requests: DataFrame, how: str = "max") -> DataFrame:
     """(label, sample, scan_number, rt, intensity): for every request and scan in its window, the max or sum of the points within ppm.
 
@@ -39,8 +48,9 @@ def extract_traces(points: DataFrame, scans: DataFrame, requests: DataFrame, how
     shape = ["sample", "mz", "rt_min", "rt_max", "ppm_tol"]
     distinct = requests.select(*shape).distinct().select(*shape, F.xxhash64(*shape).alias("_request"))
     low, high = F.col("mz") * (1 - F.col("ppm_tol") / 1e6), F.col("mz") * (1 + F.col("ppm_tol") / 1e6)
-    wanted = distinct.select(F.col("sample").alias("_s"), low.alias("_low"), high.alias("_high"), "rt_min", "rt_max", "_request").withColumn("_bin", F.explode(F.sequence(F.floor("_low"), F.floor("_high"))))
-    binned = points.withColumn("_bin", F.floor("mz"))
+    bin_ = lambda c: F.floor(F.log(c) * 1e4)  # noqa: E731 (bins of 100 ppm: a request lies in one or two of them at usual tolerances)
+    wanted = distinct.select(F.col("sample").alias("_s"), low.alias("_low"), high.alias("_high"), "rt_min", "rt_max", "_request").withColumn("_bin", F.explode(F.sequence(bin_("_low"), bin_("_high"))))
+    binned = points.where("mz > 0").withColumn("_bin", bin_("mz"))
     hit = binned.join(wanted, (F.col("sample") == F.col("_s")) & (binned["_bin"] == wanted["_bin"]) & F.col("mz").between(F.col("_low"), F.col("_high")) & F.col("rt").between(F.col("rt_min"), F.col("rt_max")))
     value = F.max("intensity") if how == "max" else F.sum("intensity")
     found = hit.groupBy("_request", "scan_number").agg(value.alias("intensity"))
@@ -53,12 +63,6 @@ def extract_traces(points: DataFrame, scans: DataFrame, requests: DataFrame, how
     return shared.join(filled, "_request").select("label", "sample", "scan_number", "rt", "intensity")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], distance: Column, tie: list[Column], left_id: list[str]) -> DataFrame:
-    """For each left row the right row of equal keys at the least distance."""
-    by = W.partitionBy(*left_id).orderBy(distance.asc_nulls_last(), *tie)
-    return left.join(right, keys).withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
-
-
 def table_diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str], tolerance: float = 0.0) -> DataFrame:
     """Rows that were added, removed or changed, with the names of the changed columns; numbers may differ by the tolerance."""
     old, new = (t.select(*keys, *[F.col(v).alias(f"{v}_{k}") for v in values], F.lit(True).alias(f"_in_{k}")) for t, k in ((before, "before"), (after, "after")))
@@ -75,10 +79,33 @@ def table_diff(before: DataFrame, after: DataFrame, keys: list[str], values: lis
     return both.where((F.col("change") != "changed") | (F.size("columns") > 0)).drop("_in_before", "_in_after")
 
 
-def k_nearest(left: DataFrame, right: DataFrame, keys: list[str], distance: Column, k: int, left_id: list[str], tie: list[Column]) -> DataFrame:
-    """The k nearest right rows of each left row, numbered from 1 as `rank`."""
-    by = W.partitionBy(*left_id).orderBy(distance, *tie)
-    return left.join(right, keys).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+def numbered(rows: DataFrame, keys: list[str], order: str, tie: list[Column], name: str, width: int, counted: Column | None = None) -> DataFrame:
+    """Numbers the rows of each key by an integer column and ties, from 1; with `counted`, a row gets the number of such rows up to itself.
+
+    Numbers within ranges of `width` are added to the counts of the ranges before, so that no task sorts all rows of a key.
+    """
+    one = F.lit(1) if counted is None else F.coalesce(counted, F.lit(False)).cast("int")
+    ranged = rows.withColumn("_range", F.floor(F.col(order) / width))
+    totals = ranged.groupBy(*keys, "_range").agg(F.sum(one).alias("_n"))
+    before = totals.select(*keys, "_range", F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum(one).over(W.partitionBy(*keys, "_range").orderBy(order, *tie).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn("_own", own).join(before, [*keys, "_range"]).withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_range", "_own", "_before")
+
+
+def k_nearest(rows: DataFrame, is_anchor: Column, is_probe: Column, keys: list[str], order: str, name: str, k: int, carried: list[str], width: int = 4096) -> DataFrame:
+    """The k anchors nearest to each probe by an integer column, with `anchor`, their name, `anchor_*`, the carried columns, and their `rank`.
+
+    Anchors are numbered by their order; a probe meets the numbers around its own place only, by an equi-join. Ties go to the smaller name; a row
+    isn't its own anchor. Anchors of one order and key, at most, are expected to be fewer than k on a side.
+    """
+    known = rows.withColumns({"_a": F.coalesce(is_anchor, F.lit(False)), "_p": F.coalesce(is_probe, F.lit(False))}).where("_a OR _p")
+    placed = written(numbered(known, keys, order, [F.col(name)], "_at", width, F.col("_a")))
+    shown = [F.col(name).alias("anchor"), F.col(order).alias(f"anchor_{order}"), *[F.col(c).alias(f"anchor_{c}") for c in carried]]
+    anchors = placed.where("_a").select(*keys, F.col("_at").alias("_number"), *shown)
+    probes = placed.where("_p").select("*", F.explode(F.sequence(F.col("_at") - k - 1, F.col("_at") + k + 1)).alias("_number"))
+    near = probes.join(anchors, [*keys, "_number"]).where(F.col(name) != F.col("anchor"))
+    by = W.partitionBy(*keys, name).orderBy(F.abs(F.col(order) - F.col(f"anchor_{order}")), "anchor")
+    return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("_a", "_p", "_at", "_number")
 
 
 def one_to_one(edges: DataFrame, a: str, b: str, order: list[str]) -> DataFrame:

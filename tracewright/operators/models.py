@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,52 +11,109 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _penalised(weights: np.ndarray, smoothness: float, target: np.ndarray) -> np.ndarray:
-    """Solves (diag(weights) + smoothness * second-difference penalty) z = target by elimination along the five diagonals."""
-    n = len(weights)
-    main, one, two = np.zeros(n), np.zeros(n), np.zeros(n)
-    for k, c in enumerate((1.0, -2.0, 1.0)):
-        main[k : n - 2 + k] += c * c
-    one[: n - 2] += -2.0
-    one[1 : n - 1] += -2.0
-    two[: n - 2] = 1.0
-    main, one, two = weights + smoothness * main, smoothness * one, smoothness * two
-    d, e, f = np.zeros(n), np.zeros(n), np.zeros(n)
-    y = target.astype(float).copy()
+def _penalised(weights: np.ndarray, smoothness: float, target: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Solves (diag(weights) + smoothness * second-difference penalty) z = target for each row, of which `size` values count.
+
+    The matrix has five diagonals; all rows are factored as L D Lᵀ and solved together, one column after the other.
+    """
+    rows, n = weights.shape
+    col = np.arange(n)[None]
+    inside, ahead = col < size[:, None], size[:, None] - col  # values from a column to the row's end
+    # Second differences begin at the columns from which three values are left.
+    starts = lambda k: ((col - k >= 0) & (ahead + k >= 3)).astype(float)
+    main = np.where(inside, weights + smoothness * (starts(0) + 4 * starts(1) + starts(2)), 1.0)
+    one = -2.0 * smoothness * (starts(0) + starts(1)) * (ahead >= 2)
+    two = smoothness * starts(0)
+    y = np.where(inside, target, 0.0)
+    d, e, f = np.ones((rows, n)), np.zeros((rows, n)), np.zeros((rows, n))
     for i in range(n):
-        d[i] = main[i] - (e[i - 1] ** 2 * d[i - 1] if i > 0 else 0.0) - (f[i - 2] ** 2 * d[i - 2] if i > 1 else 0.0)
-        if i + 1 < n:
-            e[i] = (one[i] - (e[i - 1] * f[i - 1] * d[i - 1] if i > 0 else 0.0)) / d[i]
-        if i + 2 < n:
-            f[i] = two[i] / d[i]
-        y[i] -= (e[i - 1] * y[i - 1] if i > 0 else 0.0) + (f[i - 2] * y[i - 2] if i > 1 else 0.0)
+        d[:, i] = main[:, i]
+        side = one[:, i]
+        if i:
+            d[:, i] -= e[:, i - 1] ** 2 * d[:, i - 1]
+            side = side - e[:, i - 1] * f[:, i - 1] * d[:, i - 1]
+            y[:, i] -= e[:, i - 1] * y[:, i - 1]
+        if i > 1:
+            d[:, i] -= f[:, i - 2] ** 2 * d[:, i - 2]
+            y[:, i] -= f[:, i - 2] * y[:, i - 2]
+        e[:, i], f[:, i] = side / d[:, i], two[:, i] / d[:, i]
     z = y / d
     for i in range(n - 2, -1, -1):
-        z[i] -= e[i] * z[i + 1] + (f[i] * z[i + 2] if i + 2 < n else 0.0)
+        z[:, i] -= e[:, i] * z[:, i + 1] + (f[:, i] * z[:, i + 2] if i + 2 < n else 0.0)
     return z
 
 
-def asls(values: np.ndarray, smoothness: float = 1e5, asymmetry: float = 0.01, rounds: int = 10) -> np.ndarray:
-    """Asymmetric least-squares baseline; traces under three points are their own baseline."""
-    if len(values) < 3:
-        return values.astype(float)
-    weights = np.ones(len(values))
+def asls_rows(rows: list[np.ndarray], smoothness: float = 1e5, asymmetry: float = 0.01, rounds: int = 10) -> list[np.ndarray]:
+    """Asymmetric least-squares baselines of traces; those under three points are their own baseline."""
+    if not (smoothness > 0 and np.isfinite(smoothness)):
+        raise ValueError("smoothness must be above 0")
+    if not 0 < asymmetry < 1:
+        raise ValueError("asymmetry must lie between 0 and 1")
+    if rounds < 1:
+        raise ValueError("at least one round")
+    if any(not np.isfinite(r).all() for r in rows):
+        raise ValueError("intensities must be finite")
+    out = [np.asarray(r, float).copy() for r in rows]
+    long = [i for i, r in enumerate(out) if len(r) >= 3]
+    if not long:
+        return out
+    size = np.array([len(out[i]) for i in long])
+    grid = np.zeros((len(long), int(size.max())))
+    for k, i in enumerate(long):
+        grid[k, : size[k]] = out[i]
+    weights, base = np.ones_like(grid), grid
     for _ in range(rounds):
-        base = _penalised(weights, smoothness, weights * values)
-        weights = np.where(values > base, asymmetry, 1 - asymmetry)
-    return base
+        base = _penalised(weights, smoothness, weights * grid, size)
+        weights = np.where(grid > base, asymmetry, 1 - asymmetry)
+    for k, i in enumerate(long):
+        out[i] = base[k, : size[k]]
+    return out
 
 
-def correct_baseline(traces: DataFrame, smoothness: float = 1e5, asymmetry: float = 0.01) -> DataFrame:
-    """Adds the baseline and the positive residual to every point; a trace is solved at once, traces in parallel."""
+def asls(values: np.ndarray, smoothness: float = 1e5, asymmetry: float = 0.01, rounds: int = 10) -> np.ndarray:
+    """The baseline of one trace."""
+    return asls_rows([values], smoothness, asymmetry, rounds)[0]
 
-    def solve(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("idx")
-        base = asls(own.intensity.to_numpy(float), smoothness, asymmetry)
-        return own.assign(baseline=base, residual=np.maximum(own.intensity.to_numpy(float) - base, 0))
 
+def correct_baseline(traces: DataFrame, smoothness: float = 1e5, asymmetry: float = 0.01, rounds: int = 10, cells: int = 1 << 18) -> DataFrame:
+    """Adds the baseline and the positive residual to every point. Traces lie whole in their partitions, and a task solves those of about
+    equal length together, up to `cells` points at a time (or one trace)."""
     fields = ["trace_id", "idx", "rt", "intensity"]
-    return traces.select(*fields).groupBy("trace_id").applyInPandas(solve, "trace_id int, idx int, rt double, intensity double, baseline double, residual double")
+
+    def solved(own: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = sorted(own, key=len)
+        at = 0
+        while at < len(own):
+            upto = at + 1
+            while upto < len(own) and (upto + 1 - at) * len(own[upto]) <= cells:
+                upto += 1
+            base = asls_rows([g.intensity.to_numpy(float) for g in own[at:upto]], smoothness, asymmetry, rounds)
+            for g, b in zip(own[at:upto], base, strict=True):
+                yield g.assign(baseline=b, residual=np.maximum(g.intensity.to_numpy(float) - b, 0))
+            at = upto
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        rest: pd.DataFrame | None = None
+        points = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            cut = np.flatnonzero(np.diff(batch.trace_id.to_numpy())) + 1
+            parts = np.split(np.arange(len(batch)), cut)
+            rest = batch.iloc[parts[-1]].reset_index(drop=True)
+            for p in parts[:-1]:
+                held.append(batch.iloc[p])
+                points += len(p)
+            if points > cells:
+                yield pd.concat(solved(held), ignore_index=True)
+                held, points = [], 0
+        if rest is not None:
+            yield pd.concat(solved([*held, rest]), ignore_index=True)
+
+    placed = traces.select(*fields).repartition("trace_id").sortWithinPartitions("trace_id", "idx")
+    return placed.mapInPandas(run, "trace_id int, idx int, rt double, intensity double, baseline double, residual double")
 
 
 def fit_rt_models(anchors: DataFrame) -> DataFrame:

@@ -13,6 +13,16 @@ def ordered() -> WindowSpec:
     return W.partitionBy("trace_id").orderBy("idx")
 
 
+def upto() -> WindowSpec:
+    """A trace's points up to each one."""
+    return ordered().rowsBetween(W.unboundedPreceding, 0)
+
+
+def backwards() -> WindowSpec:
+    """A trace's points after each one, as a running window from the end, which costs no more than one from the start."""
+    return W.partitionBy("trace_id").orderBy(F.desc("idx")).rowsBetween(W.unboundedPreceding, -1)
+
+
 def whole_trace() -> WindowSpec:
     return ordered().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
@@ -95,7 +105,7 @@ def threshold_bounds(traces: DataFrame, peaks: DataFrame, levels: DataFrame) ->
     near = marked.select(
         "trace_id", "idx",
         F.max(F.when(F.col("_below"), F.col("idx"))).over(ordered().rowsBetween(W.unboundedPreceding, -1)).alias("_lo"),
-        F.min(F.when(F.col("_below"), F.col("idx"))).over(ordered().rowsBetween(1, W.unboundedFollowing)).alias("_hi"),
+        F.min(F.when(F.col("_below"), F.col("idx"))).over(backwards()).alias("_hi"),
         F.max("idx").over(W.partitionBy("trace_id")).alias("_end"),
     )
     return peaks.select("trace_id", "idx").join(near, ["trace_id", "idx"]).select(
@@ -109,10 +119,10 @@ def valley_splits(traces: DataFrame, peaks: DataFrame, min_gap: float, min_ratio
     pairs = peaks.select(
         "trace_id", F.lag("idx").over(by).alias("left_peak"), F.col("idx").alias("right_peak"), F.lag("rt").over(by).alias("_lrt"), F.col("rt").alias("_rrt"), F.lag("intensity").over(by).alias("_li"), F.col("intensity").alias("_ri")
     ).where("left_peak IS NOT NULL")
-    # Points of a trace belong to the pair whose peaks enclose them; a shared peak belongs to both.
-    inside = pairs.join(traces.select("trace_id", "idx", "intensity"), "trace_id").where("idx BETWEEN left_peak AND right_peak")
-    lowest = F.min(F.struct("intensity", "idx"))
-    found = inside.groupBy(*pairs.columns).agg(lowest.alias("_v"))
+    # Points belong to the last peak up to them; between two peaks there is a lower point than either.
+    marked = traces.select("trace_id", "idx", "intensity").join(peaks.select("trace_id", "idx", F.col("idx").alias("_peak")), ["trace_id", "idx"], "left")
+    lowest = marked.withColumn("left_peak", F.last("_peak", ignorenulls=True).over(upto())).groupBy("trace_id", "left_peak").agg(F.min(F.struct("intensity", "idx")).alias("_v"))
+    found = pairs.join(lowest, ["trace_id", "left_peak"])
     depth = F.col("_v.intensity")
     split = (F.col("_rrt") - F.col("_lrt") >= min_gap) & ((depth <= 0) | ((F.col("_li") / depth >= min_ratio) & (F.col("_ri") / depth >= min_ratio)))
     return found.select("trace_id", "left_peak", "right_peak", F.col("_v.idx").alias("valley"), F.coalesce(split, F.lit(False)).alias("split"))
@@ -131,10 +141,19 @@ def regions(traces: DataFrame, fraction: float, min_gap: float, min_ratio: float
     return numbered.select("trace_id", F.col("region").cast("int").alias("region"), F.col("left").cast("int").alias("left"), F.coalesce(F.col("_stop") + 1, F.col("_last")).cast("int").alias("right"))
 
 
+def inside(traces: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ("trace_id", "region")) -> DataFrame:
+    """Points with the interval [left, right) that holds them. Intervals of a trace don't overlap, so a point's is the last one that begins
+    up to it, which a running window carries along."""
+    own = [k for k in keys if k != "trace_id"]
+    carried = F.struct(*own, "left", "right")
+    starts = intervals.select("trace_id", F.col("left").alias("idx"), carried.alias("_interval"))
+    marked = traces.join(starts, ["trace_id", "idx"], "left").withColumn("_interval", F.last("_interval", ignorenulls=True).over(upto()))
+    return marked.where(F.col("idx") < F.col("_interval.right")).select(*traces.columns, *[F.col(f"_interval.{k}").alias(k) for k in (*own, "left", "right")])
+
+
 def apexes(traces: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ("trace_id", "region")) -> DataFrame:
-    """The first maximum inside each interval [left, right)."""
-    inside = intervals.join(traces, "trace_id").where("idx >= left AND idx < right")
-    return inside.groupBy(*keys, "left", "right").agg(F.min(F.struct((-F.col("intensity")).alias("minus"), "idx", "rt")).alias("_a"), F.count("*").alias("scans")).select(
+    """The first maximum inside each interval [left, right); intervals of a trace don't overlap."""
+    return inside(traces, intervals, keys).groupBy(*keys, "left", "right").agg(F.min(F.struct((-F.col("intensity")).alias("minus"), "idx", "rt")).alias("_a"), F.count("*").alias("scans")).select(
         *keys, "left", "right", "scans", F.col("_a.idx").alias("apex_idx"), F.col("_a.rt").alias("apex_rt"), (-F.col("_a.minus")).alias("apex_intensity")
     )
 
@@ -160,17 +179,36 @@ def jaggedness(traces: DataFrame) -> DataFrame:
     return facts.select("trace_id", jag.alias("jaggedness"), F.when(jag > 0.5, 2).when(jag > 0.3, 1).otherwise(0).alias("severity"))
 
 
+def crossings(traces: DataFrame, peaks: DataFrame, levels: DataFrame, block: int = 64, inclusive: bool = False) -> DataFrame:
+    """(trace_id, idx, left, right): the last point before each peak and the first one after it that lie below the peak's level, or on it if
+    inclusive; null where there is none. levels: (trace_id, idx, level), of the peaks.
+
+    Points are summed up as blocks with their least intensity. Each peak looks for the nearest block that goes below its level, and then
+    for the point in that block, so that it meets the blocks of its trace and the points of at most four of them.
+    """
+    blocks = traces.groupBy("trace_id", F.floor(F.col("idx") / block).alias("block")).agg(F.min("intensity").alias("least"))
+    wanted = peaks.select("trace_id", "idx").join(levels, ["trace_id", "idx"]).withColumn("own", F.floor(F.col("idx") / block))
+    sign = "<=" if inclusive else "<"
+    low = wanted.join(blocks, "trace_id").where(f"least {sign} level")
+    near = low.groupBy("trace_id", "idx", "level", "own").agg(
+        F.max(F.when(F.col("block") < F.col("own"), F.col("block"))).alias("_l"), F.min(F.when(F.col("block") > F.col("own"), F.col("block"))).alias("_r")
+    )
+    sought = near.select("trace_id", "idx", "level", F.explode(F.array_distinct(F.array_compact(F.array("_l", "own", "_r")))).alias("block"))
+    points = traces.select("trace_id", F.floor(F.col("idx") / block).alias("block"), F.col("idx").alias("_i"), F.col("intensity").alias("_v"))
+    hit = sought.join(points, ["trace_id", "block"]).where(f"_v {sign} level")
+    side = lambda c: F.when(c, F.col("_i"))
+    found = hit.groupBy("trace_id", "idx").agg(F.max(side(F.col("_i") < F.col("idx"))).alias("left"), F.min(side(F.col("_i") > F.col("idx"))).alias("right"))
+    return wanted.select("trace_id", "idx").join(found, ["trace_id", "idx"], "left")
+
+
 def half_height(traces: DataFrame, peaks: DataFrame) -> DataFrame:
     """Half-height interval of each peak: its bounds, width in minutes and the ratio of its sides."""
-    levels = peaks.select("trace_id", "idx", (F.col("intensity") / 2).alias("_level"), F.col("rt").alias("_rt"))
-    near = levels.withColumnRenamed("idx", "_apex").join(traces, "trace_id")
-    below = F.col("intensity") < F.col("_level")
-    found = near.groupBy("trace_id", "_apex", "_rt").agg(
-        F.max(F.when(below & (F.col("idx") < F.col("_apex")), F.col("idx"))).alias("_l"), F.min(F.when(below & (F.col("idx") > F.col("_apex")), F.col("idx"))).alias("_r"), F.max("idx").alias("_end")
-    )
+    ends = traces.groupBy("trace_id").agg(F.max("idx").alias("_end"))
+    found = crossings(traces, peaks, peaks.select("trace_id", "idx", (F.col("intensity") / 2).alias("level"))).withColumnsRenamed({"left": "_l", "right": "_r"})
+    found = found.join(ends, "trace_id").join(peaks.select("trace_id", "idx", F.col("rt").alias("_rt")), ["trace_id", "idx"])
     left, right = F.coalesce(F.col("_l") + 1, F.lit(0)), F.coalesce(F.col("_r") - 1, F.col("_end"))
     at = lambda k: traces.select("trace_id", F.col("idx").alias(k), F.col("rt").alias(f"{k}_rt"))
-    placed = found.select("trace_id", F.col("_apex").alias("idx"), "_rt", left.alias("left"), right.alias("right")).join(at("left"), ["trace_id", "left"]).join(at("right"), ["trace_id", "right"])
+    placed = found.select("trace_id", "idx", "_rt", left.alias("left"), right.alias("right")).join(at("left"), ["trace_id", "left"]).join(at("right"), ["trace_id", "right"])
     a, b = F.col("_rt") - F.col("left_rt"), F.col("right_rt") - F.col("_rt")
     return placed.select("trace_id", "idx", F.col("left").cast("int").alias("left"), F.col("right").cast("int").alias("right"), (F.col("right_rt") - F.col("left_rt")).alias("fwhm"), F.when(a > 0, b / a).alias("half_width_ratio"))
 

@@ -37,7 +37,7 @@ SELECT concat('T', p_partkey) AS label, 100e0 + p_partkey / 10e0 + 0.0004e0 AS m
   p_partkey % 80 = 0 AS is_istd, CASE WHEN p_partkey % 80 <> 0 THEN concat('T', p_partkey - p_partkey % 80) ELSE '' END AS istd_pair,
   CASE p_partkey % 3 WHEN 0 THEN 'all' WHEN 1 THEN 'rna_containing' ELSE 'plasma' END AS sample_applicability,
   CASE WHEN p_partkey % 120 <> 40 THEN 116.0474e0 END AS neutral_loss_da
-FROM {part} WHERE p_partkey % 40 = 0""",
+FROM {part}""",
     "neutral_tags": "SELECT 'dR' AS tag, 116.0474e0 AS loss_da, 1 AS tag_rank UNION ALL SELECT 'MeR', 119.0474e0, 2 UNION ALL SELECT 'R', 122.0474e0, 3",
     # Samples with roles and injection orders.
     "samples": """
@@ -51,19 +51,15 @@ SELECT sample_name, label, injection_order, 4e0 + k + ((s_suppkey * 13 + k * 7)
 ) q JOIN (SELECT n_nationkey AS k, concat('ISTD', n_nationkey) AS label FROM {nation} WHERE n_nationkey < 5) t ON (s_suppkey + k) % 7 <> 0""",
     # Results of targets in samples.
     "results": """
-SELECT sample, label, is_istd, istd_pair, rt, area, confidence, nl, fwhm, flags FROM (
-  SELECT concat('S', l_suppkey % 20) AS sample, l_partkey - l_partkey % 40 AS k, min(l_quantity) / 8e0 + min(l_linenumber) / 50e0 AS rt0,
+SELECT sample, label, is_istd, istd_pair, CASE WHEN g.u % 13 <> 0 THEN rt0 END AS rt, CASE WHEN g.u % 13 <> 0 THEN area0 END AS area,
+  CASE WHEN u % 10 < 6 THEN 'HIGH' WHEN u % 10 < 8 THEN 'MEDIUM' WHEN u % 10 < 9 THEN 'LOW' ELSE 'VERY_LOW' END AS confidence,
+  CASE WHEN u % 7 < 3 THEN 'OK' WHEN u % 7 = 3 THEN 'NO_MS2' WHEN u % 7 = 4 THEN 'NL_FAIL' WHEN u % 7 = 5 THEN 'WARN_5' ELSE '' END AS nl, 0.1e0 + v / 100e0 AS fwhm,
+  CASE WHEN v % 5 = 0 THEN 'low_scan_support;too_broad' WHEN v % 5 = 1 THEN 'low_trace_continuity' ELSE '' END AS flags
+FROM (
+  SELECT concat('S', l_suppkey % 20) AS sample, concat('T', l_partkey) AS label, min(l_quantity) / 8e0 + min(l_linenumber) / 50e0 AS rt0,
     max(l_extendedprice) AS area0, min(l_partkey * 7 + l_orderkey) % 100 AS u, max(l_orderkey) % 50 AS v
-  FROM {lineitem} WHERE l_partkey % 40 < 20 GROUP BY l_suppkey % 20, l_partkey - l_partkey % 40
-) g JOIN (
-  SELECT u1.u, CASE WHEN u1.u % 10 < 6 THEN 'HIGH' WHEN u1.u % 10 < 8 THEN 'MEDIUM' WHEN u1.u % 10 < 9 THEN 'LOW' ELSE 'VERY_LOW' END AS confidence,
-    CASE WHEN u1.u % 7 < 3 THEN 'OK' WHEN u1.u % 7 = 3 THEN 'NO_MS2' WHEN u1.u % 7 = 4 THEN 'NL_FAIL' WHEN u1.u % 7 = 5 THEN 'WARN_5' ELSE '' END AS nl
-  FROM (SELECT DISTINCT o_orderkey % 100 AS u FROM {orders}) u1
-) c ON g.u = c.u JOIN (
-  SELECT DISTINCT o_orderkey % 50 AS v, 0.1e0 + (o_orderkey % 50) / 100e0 AS fwhm,
-    CASE WHEN o_orderkey % 50 % 5 = 0 THEN 'low_scan_support;too_broad' WHEN o_orderkey % 50 % 5 = 1 THEN 'low_trace_continuity' ELSE '' END AS flags FROM {orders}
-) w ON g.v = w.v JOIN (SELECT label, is_istd, istd_pair FROM {targets}) t ON t.label = concat('T', g.k)
-CROSS JOIN (SELECT 1 AS one) z WHERE TRUE""".replace("SELECT sample, label, is_istd, istd_pair, rt, area,", "SELECT sample, label, is_istd, istd_pair, CASE WHEN g.u % 13 <> 0 THEN rt0 END AS rt, CASE WHEN g.u % 13 <> 0 THEN area0 END AS area,"),
+  FROM {lineitem} GROUP BY l_suppkey % 20, l_partkey
+) g JOIN (SELECT label, is_istd, istd_pair FROM {targets}) t USING (label)""",
     # Peaks of single samples that a cross-sample alignment links.
     "owners": """
 SELECT o_orderkey AS owner_id, concat('S', o_custkey % 12) AS sample, CASE WHEN o_orderkey % 5 = 4 THEN '' ELSE concat('tag', o_orderkey % 5) END AS tag,
@@ -82,17 +78,17 @@ SELECT o_orderkey AS candidate_id, concat('S', o_custkey % 12) AS sample, concat
 SELECT l_orderkey * 10 + l_linenumber AS seed_id, concat('S', l_suppkey % 10) AS sample, concat('tag', l_partkey % 3) AS tag, l_orderkey / 1000e0 AS rt, CAST(l_orderkey AS INT) AS scan_number,
   300e0 + (l_partkey % 50) AS precursor_mz, 183.9526e0 + (l_partkey % 50) AS product_mz, 116.0474e0 AS loss_da, l_extendedprice AS intensity, l_discount * 100 AS loss_error_ppm,
   CASE WHEN l_linenumber % 3 = 0 THEN 'product_plus_neutral_loss' ELSE 'scan_precursor' END AS mz_basis FROM {lineitem}""",
-    # Families of aligned features and their cells.
+    # Families of aligned features, of which four in a row nearly coincide, and their cells. Five parts make a family.
     "cells": """
 SELECT concat('F', f) AS family_id, concat('S', s) AS sample, CASE WHEN v < 9 THEN 'detected' WHEN v < 13 THEN 'rescued' WHEN v < 15 THEN 'absent' WHEN v < 16 THEN 'unchecked' WHEN v < 17 THEN 'duplicate_assigned' WHEN v < 18 THEN 'ambiguous_ms1_owner' ELSE 'odd' END AS status,
   CASE WHEN v % 8 <> 7 THEN area END AS area, 2e0 + (f % 300) / 20e0 + dt / 500e0 AS apex_rt, CASE WHEN v <> 11 THEN area / 30 END AS height,
   2e0 + (f % 300) / 20e0 + dt / 500e0 - 0.1e0 AS start_rt, 2e0 + (f % 300) / 20e0 + dt / 500e0 + 0.15e0 AS end_rt, CASE WHEN v <> 12 THEN dt * 3e0 - 90e0 END AS rt_delta_sec
-FROM (SELECT l_partkey % 300 AS f, l_suppkey % 25 AS s, max(l_extendedprice) AS area, min(l_orderkey) % 20 AS v, max(l_orderkey) % 60 AS dt FROM {lineitem} GROUP BY l_partkey % 300, l_suppkey % 25) g""",
+FROM (SELECT CAST(floor(l_partkey / 5e0) AS INT) AS f, l_suppkey % 25 AS s, max(l_extendedprice) AS area, min(l_orderkey) % 20 AS v, max(l_orderkey) % 60 AS dt FROM {lineitem} GROUP BY CAST(floor(l_partkey / 5e0) AS INT), l_suppkey % 25) g""",
     "families": """
-SELECT DISTINCT concat('F', l_partkey % 300) AS family_id, concat('tag', l_partkey % 300 % 4) AS tag, 200e0 + l_partkey % 300 % 60 + (l_partkey % 300 % 7) * 0.0006e0 AS center_mz,
-  2e0 + (l_partkey % 300 % 60) / 10e0 + (l_partkey % 300 % 11) * 0.02e0 AS center_rt, 83.9526e0 + l_partkey % 300 % 60 + (l_partkey % 300 % 5) * 0.0003e0 AS product_mz, 116.0474e0 AS loss_da,
-  CASE l_partkey % 300 % 6 WHEN 0 THEN 'single_sample_local_owner' WHEN 1 THEN 'owner_complete_link:3' WHEN 2 THEN 'owner_identity' WHEN 3 THEN 'cid_nl_only' WHEN 4 THEN '' ELSE 'folded' END AS evidence,
-  l_partkey % 300 % 2 = 0 AS has_anchor FROM {lineitem}""",
+SELECT concat('F', f) AS family_id, concat('tag', g % 4) AS tag, 200e0 + g % 4999 / 10e0 + f % 4 * 0.0006e0 AS center_mz, 2e0 + g * 8 % 401 / 10e0 + f % 4 * 0.02e0 AS center_rt,
+  83.9526e0 + g % 4999 / 10e0 + f % 3 * 0.0003e0 AS product_mz, 116.0474e0 AS loss_da,
+  CASE f % 6 WHEN 0 THEN 'single_sample_local_owner' WHEN 1 THEN 'owner_complete_link:3' WHEN 2 THEN 'owner_identity' WHEN 3 THEN 'cid_nl_only' WHEN 4 THEN '' ELSE 'folded' END AS evidence, f % 2 = 0 AS has_anchor
+FROM (SELECT DISTINCT CAST(floor(l_partkey / 5e0) AS INT) AS f, CAST(floor(l_partkey / 20e0) AS INT) AS g FROM {lineitem}) x""",
     # Standards of an instrument's runs over injections.
     "trends": """
 SELECT concat('R', o_orderkey) AS sample_name, concat('C', o_custkey % 6) AS compound, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(o_orderkey AS INT) END AS injection_order,

@@ -66,7 +66,7 @@ def agg08(b):
 @query("agg10_sample_drift", """
 SELECT sample, round(coalesce(median(rt - (rt_min + rt_max) / 2) FILTER (WHERE r.is_istd), 0), 6) AS drift FROM results r JOIN targets USING (label) GROUP BY sample""")
 def agg10(b):
-    rows = b.results.drop("is_istd").join(F.broadcast(b.targets.select("label", "is_istd", "rt_min", "rt_max")), "label")
+    rows = b.results.drop("is_istd").join(b.targets.select("label", "is_istd", "rt_min", "rt_max"), "label")
     off = F.when(F.col("is_istd"), F.col("rt") - (F.col("rt_min") + F.col("rt_max")) / 2)
     return rows.groupBy("sample").agg(F.round(F.coalesce(F.percentile(off, 0.5), F.lit(0.0)), 6).alias("drift"))
 
@@ -75,7 +75,7 @@ def agg10(b):
 WITH r AS (SELECT label, median(rt) AS ref FROM standards WHERE role = 'qc' GROUP BY label) SELECT sample_name, round(median(rt - ref), 6) AS delta, min(injection_order) AS injection_order, count(DISTINCT injection_order) > 1 AS conflict FROM standards JOIN r USING (label) GROUP BY sample_name""")
 def agg11(b):
     reference = b.standards.where("role = 'qc'").groupBy("label").agg(F.percentile("rt", 0.5).alias("ref"))
-    rows = b.standards.join(F.broadcast(reference), "label")
+    rows = b.standards.join(reference, "label")
     return rows.groupBy("sample_name").agg(F.round(F.percentile(F.col("rt") - F.col("ref"), 0.5), 6).alias("delta"), F.min("injection_order").alias("injection_order"), (F.count_distinct("injection_order") > 1).alias("conflict"))
 
 
@@ -140,7 +140,7 @@ SELECT metric, round(value, 6) AS value, CASE WHEN value <= ok THEN 'OK' WHEN va
 def agg18(b):
     limits = b.spark.createDataFrame([("median_ppm", 5.0, 15.0), ("p95_rt_sec", 5.0, 10.0), ("mean_jaccard", 1.0, 2.0), ("pairs", 100.0, 200.0)], "metric string, ok double, warn double")
     one = near_families(b).agg(F.percentile("ppm", 0.5).alias("median_ppm"), F.percentile("rt_sec", 0.95).alias("p95_rt_sec"), F.avg("jaccard").alias("mean_jaccard"), F.count("*").cast("double").alias("pairs"))
-    rows = one.unpivot([], one.columns, "metric", "value").join(F.broadcast(limits), "metric")
+    rows = one.unpivot([], one.columns, "metric", "value").join(limits, "metric")
     return rows.select("metric", F.round("value", 6).alias("value"), F.when(F.col("value") <= F.col("ok"), "OK").when(F.col("value") <= F.col("warn"), "WARN").otherwise("BLOCK").alias("status"))
 
 
@@ -190,7 +190,7 @@ SELECT label, round(CAST(d AS DOUBLE) / n, 6) AS coverage, round(off, 6) AS rt_o
 def agg22(b):
     from ...functions.columns import flags
 
-    rows = b.results.join(F.broadcast(b.targets.select("label", "rt_min", "rt_max")), "label")
+    rows = b.results.join(b.targets.select("label", "rt_min", "rt_max"), "label")
     s = rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if(_ok()).alias("d"), F.percentile(F.abs(F.col("rt") - (F.col("rt_min") + F.col("rt_max")) / 2), 0.5).alias("off"))
     few, far = F.col("d") < 0.8 * F.col("n"), F.col("off") > 1
     gate = F.when((F.col("d") < 0.4 * F.col("n")) | (F.col("off") > 5), "FAIL").when(few | far, "WARN").otherwise("PASS")
@@ -265,7 +265,7 @@ o AS (SELECT label, median(rt) AS md FROM standards GROUP BY label)
 SELECT s.sample_name, s.label, round(CASE WHEN n >= 3 THEN r END, 6) AS injection_local, round(md, 6) AS observed FROM standards s JOIN o USING (label) JOIN w USING (sample_name, label) WHERE n >= 3""")
 def win03(b):
     observed = b.standards.groupBy("label").agg(F.percentile("rt", 0.5).alias("md"))
-    return rolling(b).where("rolling IS NOT NULL").join(F.broadcast(observed), "label").select("sample_name", "label", F.round("rolling", 6).alias("injection_local"), F.round("md", 6).alias("observed"))
+    return rolling(b).where("rolling IS NOT NULL").join(observed, "label").select("sample_name", "label", F.round("rolling", 6).alias("injection_local"), F.round("md", 6).alias("observed"))
 
 
 @query("win04_drift_evidence", """
@@ -274,7 +274,7 @@ SELECT sample_name, label, round(rt - r, 6) AS delta, dense_rank() OVER (ORDER B
 def win04(b):
     # Labels are few, so that their ranks are joined rather than computed over all rows.
     labels = b.standards.select("label").distinct().withColumn("trend_id", F.dense_rank().over(W.orderBy("label")).cast("long"))
-    return rolling(b).where("rolling IS NOT NULL").join(F.broadcast(labels), "label").select("sample_name", "label", F.round(F.col("rt") - F.col("rolling"), 6).alias("delta"), "trend_id")
+    return rolling(b).where("rolling IS NOT NULL").join(labels, "label").select("sample_name", "label", F.round(F.col("rt") - F.col("rolling"), 6).alias("delta"), "trend_id")
 
 
 @query("win02_loess_reference", """
@@ -290,7 +290,7 @@ def win02(b):
     other = rows.select("label", F.col("sample_name").alias("o_name"), F.col("x").alias("o_x"), F.col("rt").alias("o_rt"))
     own = W.partitionBy("sample_name", "label")
     dist = F.abs(F.col("o_x") - F.col("x"))
-    near = rows.join(other, "label").where("o_name <> sample_name").withColumn("dist", dist).withColumn("r", F.row_number().over(own.orderBy("dist", "o_name"))).join(F.broadcast(k), "label").where("r <= k").withColumn("far", F.max("dist").over(own))
+    near = rows.join(other, "label").where("o_name <> sample_name").withColumn("dist", dist).withColumn("r", F.row_number().over(own.orderBy("dist", "o_name"))).join(k, "label").where("r <= k").withColumn("far", F.max("dist").over(own))
     w = F.when(F.col("far") > 0, F.pow(1 - F.pow(F.col("dist") / F.col("far"), 3), 3)).otherwise(1.0)
     t = near.withColumn("w", w).groupBy("sample_name", "label", "x").agg(
         F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("o_x")).alias("sx"), F.sum(F.col("w") * F.col("o_rt")).alias("sy"), F.sum(F.col("w") * F.col("o_x") * F.col("o_x")).alias("sxx"), F.sum(F.col("w") * F.col("o_x") * F.col("o_rt")).alias("sxy")
@@ -318,7 +318,7 @@ WITH m AS (SELECT label, CASE WHEN count(*) FILTER (WHERE role = 'qc') >= 3 THEN
 def win28(b):
     qc = F.when(F.col("role") == "qc", F.col("rt"))
     md = b.standards.groupBy("label").agg(F.when(F.count(qc) >= 3, F.percentile(qc, 0.5)).otherwise(F.percentile("rt", 0.5)).alias("md"))
-    return b.standards.join(F.broadcast(md), "label").select("sample_name", "label", F.round(F.col("rt") - F.col("md"), 6).alias("delta"))
+    return b.standards.join(md, "label").select("sample_name", "label", F.round(F.col("rt") - F.col("md"), 6).alias("delta"))
 
 
 @query("win30_pattern_coherence", """
@@ -334,7 +334,7 @@ FROM trends JOIN m USING (compound) WHERE status = 'detected' AND apex_rt IS NOT
 def srt02(b):
     detected = b.trends.where("status = 'detected'")
     md = detected.groupBy("compound").agg(F.percentile("apex_rt", 0.5).alias("md"), F.percentile("area", 0.5).alias("ma"))
-    rows = detected.where("apex_rt IS NOT NULL").join(F.broadcast(md), "compound")
+    rows = detected.where("apex_rt IS NOT NULL").join(md, "compound")
     worst = lambda off, fine=F.lit(True): F.min(F.when(fine, F.struct((-off).alias("o"), F.col("sample_name").alias("s"))))["s"]
     return rows.groupBy("compound").agg(worst(F.abs(F.col("apex_rt") - F.col("md"))).alias("worst_rt"), worst(F.abs(F.log2(F.col("area") / F.col("ma"))), F.col("area").isNotNull()).alias("worst_area"))
 

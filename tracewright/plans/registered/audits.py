@@ -62,7 +62,7 @@ def flt22(b):
         (F.col("sample_applicability") == "plasma", "excluded"), (F.col("flags").contains("too_broad") & (F.col("nl") == "NL_FAIL"), "ambiguous"), (F.col("rt").isNull() & F.col("is_istd"), "istd_dropout"),
         (F.col("rt").isNull(), "missing"), (~ok, "not_counted"), (F.col("flags") != "", "flagged"), otherwise="clean",
     )
-    return b.results.join(F.broadcast(b.targets.select("label", "sample_applicability")), "label").select("sample", "label", state.alias("state"))
+    return b.results.join(b.targets.select("label", "sample_applicability"), "label").select("sample", "label", state.alias("state"))
 
 
 @query("flt23_primary_area", "SELECT family_id, sample, CASE WHEN height IS NOT NULL AND area > 0 THEN area END AS value, CASE WHEN height IS NOT NULL AND area > 0 THEN '' ELSE 'missing_ms1_morphology_area' END AS reason FROM cells")
@@ -141,7 +141,7 @@ def flt36(b):
     istd = b.results.where("is_istd AND rt IS NOT NULL").select("sample", F.col("label").alias("istd_pair"), F.col("rt").alias("i_rt"))
     pairs = b.results.where("rt IS NOT NULL").join(istd, ["sample", "istd_pair"]).select("label", (F.col("rt") - F.col("i_rt")).alias("delta"))
     off = F.abs(F.col("delta") - F.col("ref"))
-    return pairs.join(F.broadcast(pairs.groupBy("label").agg(F.percentile("delta", 0.5).alias("ref"))), "label").groupBy("label").agg(F.count("*").alias("n"), F.count_if(off > 1).alias("proposed"), F.count_if(off > 3).alias("blocked"))
+    return pairs.join(pairs.groupBy("label").agg(F.percentile("delta", 0.5).alias("ref")), "label").groupBy("label").agg(F.count("*").alias("n"), F.count_if(off > 1).alias("proposed"), F.count_if(off > 3).alias("blocked"))
 
 
 @query("jon10_one_to_one_match")
@@ -151,7 +151,7 @@ def jon10(b):
     left = left.select(F.col("family_id").alias("a"), F.lit(0).alias("one"), F.col("center_mz").alias("a_mz"), F.col("center_rt").alias("a_rt"))
     right = right.select(F.col("family_id").alias("b"), F.lit(0).alias("one"), (F.col("center_mz") - 1.0).alias("b_mz"), F.col("center_rt").alias("b_rt"))
     ppm, rt = ppm_distance(F.col("a_mz"), F.col("b_mz")), F.abs(F.col("a_rt") - F.col("b_rt"))
-    edges = J.band_join(left, right, "a_mz", "b_mz", 1.0, ["one"], (ppm <= 20) & (rt <= 0.5)).withColumn("score", F.greatest(ppm / 20, rt / 0.5))
+    edges = J.ppm_join(left, right, "a_mz", "b_mz", 20.0, ["one"], (ppm <= 20) & (rt <= 0.5)).withColumn("score", F.greatest(ppm / 20, rt / 0.5))
     return J.one_to_one(edges, "a", "b", ["score", "a", "b"]).select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -167,13 +167,13 @@ def jon13(b):
 
 
 @query("jon22_seed_lookup", """
-SELECT c.candidate_id, coalesce(a.evidence_score, s.best) AS score, CASE WHEN a.owner_id IS NOT NULL THEN 'id' WHEN s.best IS NOT NULL THEN 'sample_tag' ELSE 'missing' END AS via FROM candidates c LEFT JOIN (SELECT * FROM owners WHERE owner_id % 3 = 0) a ON a.owner_id = c.candidate_id
+SELECT c.candidate_id, coalesce(a.evidence_score, s.best) AS score, CASE WHEN a.owner_id IS NOT NULL THEN 'id' WHEN s.best IS NOT NULL THEN 'sample_tag' ELSE 'missing' END AS via FROM candidates c LEFT JOIN (SELECT * FROM owners WHERE NOT identity_conflict AND tag <> '') a ON a.owner_id = c.candidate_id
 LEFT JOIN (SELECT sample, tag, max(evidence_score) AS best FROM owners WHERE tag <> 'tag3' GROUP BY ALL) s ON s.sample = c.sample AND s.tag = c.tag""")
 def jon22(b):
     """A candidate's seed by its id, else by sample and tag."""
-    by_id = b.owners.where("owner_id % 3 = 0").select(F.col("owner_id").alias("candidate_id"), F.col("evidence_score").alias("own"))
+    by_id = b.owners.where("NOT identity_conflict AND tag <> ''").select(F.col("owner_id").alias("candidate_id"), F.col("evidence_score").alias("own"))
     by_tag = b.owners.where("tag <> 'tag3'").groupBy("sample", "tag").agg(F.max("evidence_score").alias("best"))
-    rows = b.candidates.select("candidate_id", "sample", "tag").join(by_id, "candidate_id", "left").join(F.broadcast(by_tag), ["sample", "tag"], "left")
+    rows = b.candidates.select("candidate_id", "sample", "tag").join(by_id, "candidate_id", "left").join(by_tag, ["sample", "tag"], "left")
     return rows.select("candidate_id", F.coalesce("own", "best").alias("score"), F.when(F.col("own").isNotNull(), "id").when(F.col("best").isNotNull(), "sample_tag").otherwise("missing").alias("via"))
 
 
@@ -182,7 +182,7 @@ WITH m AS (SELECT r.sample, r.label, count(c.family_id) AS n FROM results r LEFT
 def jon26(b):
     truth = b.results.select("sample", "label", F.col("rt").alias("want"))
     cells = b.cells.where("status = 'detected'").select("sample", "family_id", "apex_rt")
-    near = J.band_join(truth.where("want IS NOT NULL"), cells, "want", "apex_rt", 0.5, ["sample"], F.abs(F.col("apex_rt") - F.col("want")) <= 0.004).groupBy("sample", "label").agg(F.count("*").alias("n"))
+    near = J.band_join(truth.where("want IS NOT NULL"), cells, "want", "apex_rt", 0.005, ["sample"], F.abs(F.col("apex_rt") - F.col("want")) <= 0.004).groupBy("sample", "label").agg(F.count("*").alias("n"))
     return truth.select("sample", "label").join(near, ["sample", "label"], "left").select("sample", "label", F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "single").otherwise("ambiguous").alias("match"))
 
 
@@ -194,7 +194,7 @@ def jon28(b):
     keys = ["family_id", "sample"]
     a = b.cells.where("status = 'detected'").select(*keys, F.col("rt_delta_sec").alias("a"))
     n = b.cells.where("area > 30000").select(*keys, (F.col("rt_delta_sec") / 2).alias("n"))
-    t = F.broadcast(b.cells.groupBy("sample").agg(F.avg("rt_delta_sec").alias("t")))
+    t = b.cells.groupBy("sample").agg(F.avg("rt_delta_sec").alias("t"))
     rows = b.cells.select(*keys).join(a, keys, "left").join(n, keys, "left").join(t, "sample", "left")
     source = first_of((F.col("a").isNotNull(), "owner_edge"), (F.col("n").isNotNull(), "rt_normalisation"), (F.col("t").isNotNull(), "anchor_trend"), otherwise="none")
     return rows.select(*keys, source.alias("source"), F.round(F.coalesce("a", "n", "t"), 5).alias("drift_sec"))
@@ -254,7 +254,7 @@ def win18(b):
     """RT modes: a hard gap, or a soft one of three times the typical gap, starts the next."""
     by = W.partitionBy("family_id").orderBy("apex_rt", "sample")
     rows = b.cells.where("status = 'detected'").select("family_id", "sample", "apex_rt", (F.col("apex_rt") - F.lag("apex_rt").over(by)).alias("gap"))
-    rows = rows.join(F.broadcast(rows.groupBy("family_id").agg(F.percentile("gap", 0.5).alias("typical"))), "family_id")
+    rows = rows.join(rows.groupBy("family_id").agg(F.percentile("gap", 0.5).alias("typical")), "family_id")
     new = (F.col("gap") > 0.05) | ((F.col("gap") >= 0.02) & (F.col("gap") >= 3 * F.col("typical")))
     return rows.select("family_id", "sample", F.sum(F.coalesce(new.cast("int"), F.lit(0))).over(by).alias("mode"))
 
@@ -292,7 +292,7 @@ def grp11(b):
 SELECT f.family_id, o.owner_id, CASE WHEN abs(o.product_mz - f.product_mz) / f.product_mz * 1e6 <= 20 AND abs(o.observed_loss - f.loss_da) / f.loss_da * 1e6 <= 5 THEN 'complete' WHEN abs(o.product_mz - f.product_mz) / f.product_mz * 1e6 <= 20 THEN 'loss_differs' ELSE 'product_differs' END AS match
 FROM families f JOIN owners o ON o.tag = f.tag AND abs(o.precursor_mz - f.center_mz) / greatest(abs(o.precursor_mz), 1e-12) * 1e6 <= 20""")
 def idc01(b):
-    near = J.band_join(b.families.select("family_id", "tag", "center_mz", F.col("product_mz").alias("f_product"), "loss_da"), b.owners.select("owner_id", "tag", "precursor_mz", "product_mz", "observed_loss"), "center_mz", "precursor_mz", 1.0, ["tag"], ppm_distance(F.col("precursor_mz"), F.col("center_mz")) <= 20)
+    near = J.ppm_join(b.families.select("family_id", "tag", "center_mz", F.col("product_mz").alias("f_product"), "loss_da"), b.owners.select("owner_id", "tag", "precursor_mz", "product_mz", "observed_loss"), "center_mz", "precursor_mz", 20.0, ["tag"], ppm_distance(F.col("precursor_mz"), F.col("center_mz")) <= 20)
     product = F.abs(F.col("product_mz") - F.col("f_product")) / F.col("f_product") * 1e6 <= 20
     loss = F.abs(F.col("observed_loss") - F.col("loss_da")) / F.col("loss_da") * 1e6 <= 5
     return near.select("family_id", "owner_id", F.when(product & loss, "complete").when(product, "loss_differs").otherwise("product_differs").alias("match"))
@@ -330,7 +330,7 @@ def trc10(b):
 WITH {_MATRIX}, s AS (SELECT sample, median(rt_delta_sec) AS shift, count(rt_delta_sec) AS n FROM cells GROUP BY sample) SELECT mx.family_id, mx.sample, round(c.apex_rt - shift / 60, 6) AS corrected, CASE WHEN c.apex_rt IS NULL THEN 'no_peak' WHEN n < 20 THEN 'blocked' ELSE 'shadow' END AS status
 FROM mx LEFT JOIN cells c ON c.family_id = mx.family_id AND c.sample = mx.sample JOIN s ON s.sample = mx.sample""")
 def mtx08(b):
-    shift = F.broadcast(b.cells.groupBy("sample").agg(F.percentile("rt_delta_sec", 0.5).alias("shift"), F.count("rt_delta_sec").alias("n")))
+    shift = b.cells.groupBy("sample").agg(F.percentile("rt_delta_sec", 0.5).alias("shift"), F.count("rt_delta_sec").alias("n"))
     rows = matrix(b).select("family_id", "sample").join(b.cells.select("family_id", "sample", "apex_rt"), ["family_id", "sample"], "left").join(shift, "sample")
     return rows.select("family_id", "sample", F.round(F.col("apex_rt") - F.col("shift") / 60, 6).alias("corrected"), F.when(F.col("apex_rt").isNull(), "no_peak").when(F.col("n") < 20, "blocked").otherwise("shadow").alias("status"))
 

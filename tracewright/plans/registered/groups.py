@@ -15,7 +15,7 @@ from ...operators.graph import components
 from ...sources import readers, sinks
 from ...streaming import streams
 from ..catalog import query
-from .joins import _EDGES, _NEAR, near_families, owner_edges
+from .joins import _EDGES, _NEAR, near_anchors, near_families, owner_edges
 from .rules import _QUALITY, quality_cells
 
 _R6 = lambda c, n=None: F.round(c, 6).alias(n or c)
@@ -44,7 +44,7 @@ def _local_edges(b):
     left, right = (b.owners.select(F.col("owner_id").alias(k), "sample", "tag", F.col("precursor_mz").alias(f"{k}_mz"), F.col("apex_rt").alias(f"{k}_rt")) for k in ("a", "b"))
     off = F.abs(F.col("a_rt") - F.col("b_rt"))
     near = (F.col("a") < F.col("b")) & (ppm_distance(F.col("a_mz"), F.col("b_mz")) <= 20) & (off <= 0.5)
-    return J.band_join(left, right, "a_mz", "b_mz", 1.0, ["sample", "tag"], near).select("a", "b", (off > 0.3).alias("multiplet"))
+    return J.ppm_join(left, right, "a_mz", "b_mz", 20.0, ["sample", "tag"], near).select("a", "b", (off > 0.3).alias("multiplet"))
 
 
 @query("grp09_connected_components", f"WITH RECURSIVE {_LOCAL} SELECT owner_id, comp AS component FROM cm")
@@ -117,7 +117,7 @@ FROM families f CROSS JOIN (SELECT DISTINCT sample FROM cells) s LEFT JOIN cells
 
 def matrix(b):
     """Every family and sample with the status that takes precedence, absent where there is no cell."""
-    grid = b.families.select("family_id").crossJoin(F.broadcast(b.cells.select("sample").distinct()))
+    grid = b.families.select("family_id").crossJoin(b.cells.select("sample").distinct())
     rows = grid.join(b.cells.select("family_id", "sample", "status", "area"), ["family_id", "sample"], "left")
     status = F.when(F.col("status") == "ambiguous_ms1_owner", "ambiguous").when(F.col("status").isin("detected", "rescued"), F.col("status")).otherwise("absent")
     return rows.select("family_id", "sample", status.alias("status"), F.when(F.col("status").isin("detected", "rescued"), F.col("area")).alias("area"))
@@ -226,19 +226,17 @@ def trc06(b):
     return b.standards.join(M.fit_rt_models(_anchors(b)), "sample_name").select("sample_name", "label", F.round(M.normalised_rt(F.col("rt")), 5).alias("normalised"))
 
 
-_DRIFT = """ac AS (SELECT compound, sample_name AS an, injection_order AS ao, apex_rt AS art, apex_rt - median(apex_rt) OVER (PARTITION BY compound) AS delta FROM trends WHERE status = 'detected' AND injection_order IS NOT NULL AND apex_rt IS NOT NULL AND injection_order % 25 = 1),
-pb AS (SELECT sample_name, compound, injection_order, apex_rt FROM trends WHERE injection_order IS NOT NULL AND apex_rt IS NOT NULL AND injection_order % 40 = 3),
-kn AS (SELECT pb.*, an, art, ao, delta, row_number() OVER (PARTITION BY sample_name ORDER BY abs(injection_order - ao), an) AS rank FROM pb JOIN ac USING (compound)),
-pd AS (SELECT sample_name, sum(delta / (0.25e0 + abs(apex_rt - art)) / (1 + abs(injection_order - ao) / 10e0)) / sum(1 / (0.25e0 + abs(apex_rt - art)) / (1 + abs(injection_order - ao) / 10e0)) AS predicted, count(*) AS anchors, median(delta) AS md, quantile_cont(abs(delta), 0.95) AS p95 FROM kn WHERE rank <= 8 GROUP BY sample_name)"""
+# Anchors are the compound's detected rows with an RT; a row isn't its own anchor.
+_DRIFT = """tn AS (SELECT sample_name, compound, injection_order AS o, apex_rt AS r, status = 'detected' AND apex_rt IS NOT NULL AS anchors, count(*) FILTER (WHERE status = 'detected' AND apex_rt IS NOT NULL) OVER (PARTITION BY compound ORDER BY injection_order, sample_name) AS pos FROM trends WHERE injection_order IS NOT NULL),
+ac AS (SELECT *, r - median(r) OVER (PARTITION BY compound) AS delta FROM tn WHERE anchors),
+kn AS (SELECT p.sample_name, p.o, p.r, p.anchors, a.o AS ao, a.r AS art, a.delta, row_number() OVER (PARTITION BY p.sample_name ORDER BY abs(p.o - a.o), a.sample_name) AS rank FROM (SELECT *, unnest(range(pos - 9, pos + 10)) AS n FROM tn WHERE r IS NOT NULL) p JOIN ac a ON a.compound = p.compound AND a.pos = n WHERE a.sample_name <> p.sample_name),
+pd AS (SELECT sample_name, bool_or(anchors) AS own, sum(delta / (0.25e0 + abs(r - art)) / (1 + abs(o - ao) / 10e0)) / sum(1 / (0.25e0 + abs(r - art)) / (1 + abs(o - ao) / 10e0)) AS predicted, count(*) AS anchors, median(delta) AS md, quantile_cont(abs(delta), 0.95) AS p95 FROM kn WHERE rank <= 8 GROUP BY sample_name)"""
 
 
 def _drift_pairs(b):
-    own = W.partitionBy("compound")
-    known = b.trends.where("status = 'detected' AND injection_order IS NOT NULL AND apex_rt IS NOT NULL AND injection_order % 25 = 1")
-    anchors = known.select("compound", F.col("sample_name").alias("an"), F.col("injection_order").alias("ao"), F.col("apex_rt").alias("art"), (F.col("apex_rt") - F.percentile("apex_rt", 0.5).over(own)).alias("delta"))
-    probes = b.trends.where("injection_order IS NOT NULL AND apex_rt IS NOT NULL AND injection_order % 40 = 3").select("sample_name", "compound", "injection_order", "apex_rt")
-    near = J.k_nearest(probes, anchors, ["compound"], F.abs(F.col("injection_order") - F.col("ao")), 8, ["sample_name"], [F.col("an")])
-    return near.withColumn("d_rt", F.col("apex_rt") - F.col("art")).withColumn("d_order", F.col("injection_order") - F.col("ao"))
+    centres = b.trends.where("status = 'detected' AND injection_order IS NOT NULL AND apex_rt IS NOT NULL").groupBy("compound").agg(F.percentile("apex_rt", 0.5).alias("centre"))
+    near = near_anchors(b, 8, F.col("apex_rt").isNotNull()).join(centres, "compound")
+    return near.withColumns({"delta": F.col("anchor_apex_rt") - F.col("centre"), "d_rt": F.col("apex_rt") - F.col("anchor_apex_rt"), "d_order": F.col("injection_order") - F.col("anchor_injection_order")})
 
 
 @query("trc07_local_drift", f"WITH {_DRIFT} SELECT sample_name, round(predicted, 6) AS predicted, anchors, round(md, 6) AS median_delta, round(p95, 6) AS p95 FROM pd")
@@ -246,16 +244,11 @@ def trc07(b):
     return M.predicted_delta(_drift_pairs(b), ["sample_name"]).select("sample_name", _R6("predicted"), "anchors", _R6("median_delta"), _R6("p95"))
 
 
-@query("trc08_leave_one_anchor_out", """
-WITH ac AS (SELECT compound, sample_name, injection_order AS ao, apex_rt AS art, apex_rt - median(apex_rt) OVER (PARTITION BY compound) AS delta FROM trends WHERE status = 'detected' AND injection_order IS NOT NULL AND apex_rt IS NOT NULL AND injection_order % 50 = 1),
-kn AS (SELECT p.sample_name, p.delta AS own, a.delta, abs(p.art - a.art) AS dr, abs(p.ao - a.ao) AS dord, row_number() OVER (PARTITION BY p.sample_name ORDER BY abs(p.ao - a.ao), a.sample_name) AS rank FROM ac p JOIN ac a ON p.compound = a.compound AND p.sample_name <> a.sample_name),
-e AS (SELECT sample_name, abs(min(own) - sum(delta / (0.25e0 + dr) / (1 + dord / 10e0)) / sum(1 / (0.25e0 + dr) / (1 + dord / 10e0))) AS err FROM kn WHERE rank <= 8 GROUP BY sample_name) SELECT sample_name, round(err, 6) AS error, CASE WHEN err <= 0.15 THEN 'PASS' WHEN err <= 0.3 THEN 'WARN' ELSE 'FAIL' END AS status FROM e""")
+@query("trc08_leave_one_anchor_out", f"""
+WITH {_DRIFT}, e AS (SELECT sample_name, abs(delta - predicted) AS err FROM pd JOIN ac USING (sample_name)) SELECT sample_name, round(err, 6) AS error, CASE WHEN err <= 0.15 THEN 'PASS' WHEN err <= 0.3 THEN 'WARN' ELSE 'FAIL' END AS status FROM e""")
 def trc08(b):
-    known = b.trends.where("status = 'detected' AND injection_order IS NOT NULL AND apex_rt IS NOT NULL AND injection_order % 50 = 1")
-    rows = known.select("compound", "sample_name", F.col("injection_order").alias("o"), F.col("apex_rt").alias("r"), (F.col("apex_rt") - F.percentile("apex_rt", 0.5).over(W.partitionBy("compound"))).alias("own"))
-    other = rows.select("compound", F.col("sample_name").alias("an"), F.col("o").alias("ao"), F.col("r").alias("art"), F.col("own").alias("delta"))
-    pairs = rows.join(other, "compound").where("sample_name <> an").withColumn("rank", F.row_number().over(W.partitionBy("sample_name").orderBy(F.abs(F.col("o") - F.col("ao")), "an"))).where("rank <= 8")
-    guess = M.predicted_delta(pairs.withColumn("d_rt", F.col("r") - F.col("art")).withColumn("d_order", F.col("o") - F.col("ao")), ["sample_name", "own"])
+    pairs = _drift_pairs(b).where("status = 'detected'").withColumn("own", F.col("apex_rt") - F.col("centre"))
+    guess = M.predicted_delta(pairs, ["sample_name", "own"])
     err = F.abs(F.col("own") - F.col("predicted"))
     return guess.select("sample_name", F.round(err, 6).alias("error"), F.when(err <= 0.15, "PASS").when(err <= 0.3, "WARN").otherwise("FAIL").alias("status"))
 
@@ -302,7 +295,7 @@ SELECT family_id, sample, CASE WHEN w IS NULL THEN 'no_prototype' WHEN (end_rt -
 def idc04(b):
     width = F.col("end_rt") - F.col("start_rt")
     p = b.cells.where("status = 'detected'").groupBy("family_id").agg(F.when(F.count("*") >= 3, F.percentile(width, 0.5)).alias("w"))
-    return b.cells.join(F.broadcast(p), "family_id").select("family_id", "sample", F.when(F.col("w").isNull(), "no_prototype").when((width / F.col("w")).between(0.5, 2), "compatible").otherwise("incompatible").alias("verdict"))
+    return b.cells.join(p, "family_id").select("family_id", "sample", F.when(F.col("w").isNull(), "no_prototype").when((width / F.col("w")).between(0.5, 2), "compatible").otherwise("incompatible").alias("verdict"))
 
 
 _TIERS = f"""{_QUALITY}, tr AS (SELECT c.family_id, sample, CASE WHEN quality = 'detected_quantifiable' AND has_anchor THEN 1 WHEN quality = 'detected_quantifiable' THEN 2 WHEN quality = 'rescue_quantifiable' THEN 3 ELSE 4 END AS tier FROM c JOIN families USING (family_id))"""
@@ -336,7 +329,7 @@ def idc09(b):
 
     real = b.families.select("family_id", "tag", F.col("center_mz").alias("want"), F.lit(False).alias("decoy"))
     asked = real.unionByName(real.withColumn("want", F.col("want") * (1 + 200.0 / 1e6)).withColumn("decoy", F.lit(True)))
-    hits = J.band_join(asked, b.owners.select("tag", "precursor_mz"), "want", "precursor_mz", 1.0, ["tag"], ppm_distance(F.col("precursor_mz"), F.col("want")) <= 20, "left_semi")
+    hits = J.ppm_join(asked, b.owners.select("tag", "precursor_mz"), "want", "precursor_mz", 20.0, ["tag"], ppm_distance(F.col("precursor_mz"), F.col("want")) <= 20, "left_semi")
     return asked.join(hits.select("family_id", "decoy", F.lit(True).alias("h")).distinct(), ["family_id", "decoy"], "left").groupBy("decoy").agg(F.count("*").alias("requests"), F.count_if(F.coalesce("h", F.lit(False))).alias("hits"))
 
 
@@ -374,9 +367,9 @@ def snk03(b):
     return wide.count().na.fill(0)
 
 
-@query("snk07_text_safe", "SELECT doc_id, CASE WHEN regexp_matches(left(text, 20), '^[=+\\-@]') THEN '''' || left(text, 20) ELSE left(text, 20) END AS shown, printf('%.4f', n_chars / 7e0) AS number FROM documents")
+@query("snk07_text_safe", "SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@]') THEN '''' || text ELSE text END AS shown, printf('%.4f', n_chars / 7e0) AS number FROM documents")
 def snk07(b):
-    return b.documents.select("doc_id", sinks.text_safe(F.left("text", F.lit(20))).alias("shown"), sinks.number_text(F.col("n_chars") / 7.0).alias("number"))
+    return b.documents.select("doc_id", sinks.text_safe(F.col("text")).alias("shown"), sinks.number_text(F.col("n_chars") / 7.0).alias("number"))
 
 
 @query("str03_trend_flags_stream", """

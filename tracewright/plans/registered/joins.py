@@ -19,7 +19,7 @@ xi AS (SELECT gr.label, gr.sample, gr.scan_number, gr.rt, coalesce(max(p.intensi
 
 
 def _requests(b):
-    return F.broadcast(b.targets.select("label", "mz", "rt_min", "rt_max", "ppm_tol")).crossJoin(b.scans.select("sample").distinct())
+    return b.targets.select("label", "mz", "rt_min", "rt_max", "ppm_tol").crossJoin(b.scans.select("sample").distinct())
 
 
 def _xic(b, how="max"):
@@ -40,7 +40,7 @@ def jon01s(b):
 WITH rq AS (SELECT label, 'S' || (k % 3) AS sample, mz, rt_min, rt_max, ppm_tol FROM targets, range(6) t(k)), n AS (SELECT sample, mz, rt_min, rt_max, ppm_tol, count(*) AS requests FROM rq GROUP BY ALL)
 SELECT sample, round(mz, 6) AS mz, requests FROM n""")
 def jon02(b):
-    doubled = F.broadcast(b.targets).crossJoin(b.spark.range(6)).withColumn("sample", F.concat(F.lit("S"), (F.col("id") % 3).cast("string")))
+    doubled = b.targets.crossJoin(b.spark.range(6)).withColumn("sample", F.concat(F.lit("S"), (F.col("id") % 3).cast("string")))
     return doubled.groupBy("sample", "mz", "rt_min", "rt_max", "ppm_tol").agg(F.count("*").alias("requests")).select("sample", F.round("mz", 6).alias("mz"), "requests")
 
 
@@ -83,10 +83,16 @@ mp AS (SELECT mt.*, min(abs(p.precursor_mz - p.mz - neutral_loss_da) / neutral_l
 
 
 def _matched(b):
-    targets = F.broadcast(b.targets.where("neutral_loss_da IS NOT NULL").select("label", F.col("mz").alias("tmz"), "rt_min", "rt_max", "neutral_loss_da"))
-    # One row for a scan and target in the window: the precursor fits, or the scan could not be read.
-    hit = F.col("rt").between(F.col("rt_min"), F.col("rt_max")) & (F.col("parse_error").isNotNull() | (F.abs(F.col("precursor_mz") - (F.col("tmz") + 100)) <= 2))
-    scans = b.ms2_scans.join(targets, hit)
+    targets = b.targets.where("neutral_loss_da IS NOT NULL").select("label", F.col("mz").alias("tmz"), "rt_min", "rt_max", "neutral_loss_da").withColumn("one", F.lit(0))
+    # One row for a scan and target in the window: the precursor fits, or the scan could not be read. Targets go to each minute of their windows.
+    inside = F.col("rt").between(F.col("rt_min"), F.col("rt_max"))
+    timed = targets.withColumn("minute", F.explode(F.sequence(F.floor("rt_min"), F.floor("rt_max"))))
+    scans = b.ms2_scans.withColumn("minute", F.floor("rt"))
+    fits = F.abs(F.col("precursor_mz") - (F.col("tmz") + 100)) <= 2
+    read = J.band_join(scans.where("parse_error IS NULL"), timed, F.col("precursor_mz"), F.col("tmz") + 100, 2.0, ["minute"], inside & fits)
+    unread = scans.where("parse_error IS NOT NULL").join(timed, "minute").where(inside)
+    names = ["sample", "scan_number", "rt", "parse_error", "label", "neutral_loss_da"]
+    scans = read.select(*names).unionByName(unread.select(*names))
     ions = b.products.select("sample", "scan_number", (F.col("precursor_mz") - F.col("mz")).alias("loss"), "intensity")
     gap = F.abs(F.col("loss") - F.col("neutral_loss_da")) / F.col("neutral_loss_da") * 1e6
     return scans.join(ions, ["sample", "scan_number"], "left").groupBy("label", "sample", "scan_number", "rt", "parse_error", "neutral_loss_da").agg(F.min(gap).alias("ppm"), F.max("intensity").alias("base"))
@@ -141,7 +147,7 @@ def owner_edges(b):
     left, right = (b.owners.select(F.col("owner_id").alias(f"{k}_id"), "tag", *[F.col(c).alias(f"{k}_{c}") for c in cols]) for k in ("left", "right"))
     col = lambda k: (F.col(f"left_{k}"), F.col(f"right_{k}"))
     close = (F.col("left_id") < F.col("right_id")) & (ppm_distance(*col("precursor_mz")) <= 20)
-    pairs = J.band_join(left, right, "left_precursor_mz", "right_precursor_mz", 1.0, ["tag"], close)
+    pairs = J.ppm_join(left, right, "left_precursor_mz", "right_precursor_mz", 20.0, ["tag"], close)
     rt = F.abs(F.col("left_apex_rt") - F.col("right_apex_rt")) * 60
     failure = (
         F.when(F.col("left_identity_conflict") | F.col("right_identity_conflict"), "identity_conflict").when(F.col("left_sample") == F.col("right_sample"), "same_sample").when(F.col("tag") == "", "neutral_loss_tag_mismatch")
@@ -171,7 +177,7 @@ def near_families(b):
     """Pairs of families of one tag close in m/z and RT, with the samples that both are present in."""
     left, right = (b.families.select(F.col("family_id").alias(f"{k}_id"), "tag", F.col("center_mz").alias(f"{k}_mz"), F.col("center_rt").alias(f"{k}_rt")) for k in ("left", "right"))
     ppm, rt = ppm_distance(F.col("left_mz"), F.col("right_mz")), F.abs(F.col("left_rt") - F.col("right_rt")) * 60
-    pairs = J.band_join(left, right, "left_mz", "right_mz", 1.0, ["tag"], (F.col("left_id") < F.col("right_id")) & (ppm <= 20) & (rt <= 15)).select("left_id", "right_id", ppm.alias("ppm"), rt.alias("rt_sec"))
+    pairs = J.ppm_join(left, right, "left_mz", "right_mz", 20.0, ["tag"], (F.col("left_id") < F.col("right_id")) & (ppm <= 20) & (rt <= 15)).select("left_id", "right_id", ppm.alias("ppm"), rt.alias("rt_sec"))
     present = b.cells.where(F.col("status").isin("detected", "rescued")).groupBy("family_id").agg(F.collect_set("sample").alias("samples"))  # at most one for each sample of a run
     side = lambda k: present.select(F.col("family_id").alias(f"{k}_id"), F.col("samples").alias(f"{k}_samples"))
     joined = pairs.join(side("left"), "left_id").join(side("right"), "right_id").withColumn("shared", F.size(F.array_intersect("left_samples", "right_samples")).cast("long")).where("shared > 0")
@@ -210,9 +216,10 @@ JOIN ad ON abs(b.center_mz - a.center_mz - delta) / b.center_mz * 1e6 <= 10""")
 def jon09(b):
     adducts = F.broadcast(b.spark.createDataFrame([("Na", 21.98194), ("NH4", 17.02655), ("unit", 5.0)], "adduct string, delta double"))
     left, right = (b.families.select(F.col("family_id").alias(f"{k}_id"), F.lit(0).alias("one"), F.col("center_mz").alias(f"{k}_mz"), F.col("center_rt").alias(f"{k}_rt")) for k in ("left", "right"))
-    near = J.band_join(left, right, "left_rt", "right_rt", 0.6, ["one"], (F.col("left_id") != F.col("right_id")) & (F.abs(F.col("left_rt") - F.col("right_rt")) <= 0.6))
     ppm = F.abs(F.col("right_mz") - F.col("left_mz") - F.col("delta")) / F.col("right_mz") * 1e6
-    return near.join(adducts, ppm <= 10).select("left_id", "right_id", "adduct", F.round(ppm, 4).alias("ppm"))
+    near = (F.col("left_id") != F.col("right_id")) & (F.abs(F.col("left_rt") - F.col("right_rt")) <= 0.6) & (ppm <= 10)
+    wanted = left.crossJoin(adducts).withColumn("want_mz", F.col("left_mz") + F.col("delta"))
+    return J.ppm_join(wanted, right, "want_mz", "right_mz", 10.0, ["one"], near).select("left_id", "right_id", "adduct", F.round(ppm, 4).alias("ppm"))
 
 
 @query("jon11_target_family_match", """
@@ -225,7 +232,7 @@ def jon11(b):
     ppm = F.abs(F.col("center_mz") - F.col("mz") - F.col("da")) / (F.col("mz") + F.col("da")) * 1e6
     wanted = wanted.withColumn("want_mz", F.col("mz") + F.col("da")).withColumn("one", F.lit(0))
     families = b.families.select("family_id", "center_mz", "center_rt", F.lit(0).alias("one"))
-    hits = J.band_join(wanted, families, "want_mz", "center_mz", 1.0, ["one"], ppm <= 500).withColumn("ppm", ppm)
+    hits = J.ppm_join(wanted, families, "want_mz", "center_mz", 500.0, ["one"], ppm <= 500).withColumn("ppm", ppm)
     primary = F.max((F.col("shift") == 0).cast("int")).over(W.partitionBy("label"))
     off = F.when(F.col("center_rt") < F.col("rt_min"), F.col("rt_min") - F.col("center_rt")).when(F.col("center_rt") > F.col("rt_max"), F.col("center_rt") - F.col("rt_max")).otherwise(0.0)
     return hits.withColumn("p", primary).where("shift = 0 OR p = 0").select("label", "family_id", "shift", F.round("ppm", 4).alias("ppm"), F.round(off, 6).alias("rt_off"))
@@ -253,7 +260,7 @@ LEFT JOIN dt ON dt.family_id = fs.family_id AND dt.sample = fs.sample WHERE n >=
 def jon14(b):
     detected = b.cells.where("status = 'detected'").select("family_id", "sample", "area")
     seeded = detected.groupBy("family_id").agg(F.count("*").alias("n"), F.percentile("area", 0.5).alias("med")).where("n >= 5")
-    grid = b.families.join(seeded, "family_id").crossJoin(F.broadcast(b.cells.select("sample").distinct()))
+    grid = b.families.join(seeded, "family_id").crossJoin(b.cells.select("sample").distinct())
     joined = grid.join(detected.withColumn("seen", F.lit(True)), ["family_id", "sample"], "left").where(F.col("seen").isNull() | (F.col("area") <= 0.25 * F.col("med")))
     return joined.select("family_id", "sample", F.when(F.col("seen").isNull(), "not_detected").otherwise("supersedable").alias("reason"), F.round("center_mz", 6).alias("seed_mz"), F.round("center_rt", 6).alias("seed_rt"))
 
@@ -263,7 +270,7 @@ SELECT a.family_id FROM families a WHERE EXISTS (SELECT 1 FROM families b WHERE
 def jon15(b):
     other = b.families.select("tag", F.col("family_id").alias("o_id"), F.col("center_mz").alias("o_mz"), F.col("center_rt").alias("o_rt"), F.col("product_mz").alias("o_p"))
     near = (F.col("o_id") != F.col("family_id")) & (F.abs(F.col("center_mz") - F.col("o_mz")) <= 1.1) & (F.abs(F.col("center_rt") - F.col("o_rt")) <= 0.1) & (F.abs((F.col("product_mz") - F.col("o_p")) - (F.col("center_mz") - F.col("o_mz"))) <= 0.02)
-    return J.band_join(b.families, other, "center_rt", "o_rt", 0.2, ["tag"], near, "left_semi").select("family_id")
+    return J.band_join(b.families, other, F.col("center_mz") - F.col("product_mz"), F.col("o_mz") - F.col("o_p"), 0.021, ["tag"], near, "left_semi").select("family_id")
 
 
 @query("jon16_rt_band_pairs", "SELECT a.family_id AS left_id, b.family_id AS right_id FROM families a JOIN families b ON a.tag = b.tag AND a.family_id < b.family_id AND abs(a.center_rt - b.center_rt) * 60 <= 10")
@@ -273,14 +280,18 @@ def jon16(b):
 
 
 @query("jon17_k_nearest_anchors", """
-WITH a AS (SELECT compound, injection_order AS ao, apex_rt AS art, sample_name AS an FROM trends WHERE status = 'detected' AND injection_order IS NOT NULL AND apex_rt IS NOT NULL AND injection_order % 25 = 1),
-p AS (SELECT sample_name, compound, injection_order FROM trends WHERE injection_order IS NOT NULL AND injection_order % 40 = 3),
-k AS (SELECT p.sample_name, a.an AS anchor, row_number() OVER (PARTITION BY p.sample_name ORDER BY abs(injection_order - ao), an) AS rank FROM p JOIN a USING (compound))
+WITH p AS (SELECT sample_name, compound, injection_order, apex_rt, status = 'detected' AND apex_rt IS NOT NULL AS anchors, count(*) FILTER (WHERE status = 'detected' AND apex_rt IS NOT NULL) OVER (PARTITION BY compound ORDER BY injection_order, sample_name) AS pos FROM trends WHERE injection_order IS NOT NULL),
+k AS (SELECT p.sample_name, a.sample_name AS anchor, row_number() OVER (PARTITION BY p.sample_name ORDER BY abs(p.injection_order - a.injection_order), a.sample_name) AS rank FROM (SELECT *, unnest(range(pos - 9, pos + 10)) AS n FROM p) p JOIN p a ON a.compound = p.compound AND a.pos = n AND a.anchors WHERE a.sample_name <> p.sample_name)
 SELECT sample_name, anchor, CAST(rank AS INT) AS rank FROM k WHERE rank <= 8""")
 def jon17(b):
-    anchors = b.trends.where("status = 'detected' AND injection_order IS NOT NULL AND apex_rt IS NOT NULL AND injection_order % 25 = 1").select("compound", F.col("injection_order").alias("ao"), F.col("sample_name").alias("anchor"))
-    probes = b.trends.where("injection_order IS NOT NULL AND injection_order % 40 = 3").select("sample_name", "compound", "injection_order")
-    return J.k_nearest(probes, anchors, ["compound"], F.abs(F.col("injection_order") - F.col("ao")), 8, ["sample_name"], [F.col("anchor")]).select("sample_name", "anchor", "rank")
+    return near_anchors(b, 8).select("sample_name", "anchor", "rank")
+
+
+def near_anchors(b, k, probes=None):
+    """The k anchors of a compound, detected rows with an RT, that were injected nearest to each row."""
+    anchor = F.expr("status = 'detected' AND apex_rt IS NOT NULL")
+    rows = b.trends.where("injection_order IS NOT NULL")
+    return J.k_nearest(rows, anchor, F.lit(True) if probes is None else probes, ["compound"], "injection_order", "sample_name", k, ["apex_rt"])
 
 
 @query("jon18_paired_standard", "SELECT r.sample, r.label, i.label AS istd, round(r.area / i.area, 6) AS ratio, round(r.rt - i.rt, 6) AS rt_delta FROM results r JOIN results i ON i.sample = r.sample AND i.label = r.istd_pair AND i.is_istd WHERE NOT r.is_istd")
@@ -301,7 +312,7 @@ SELECT sample, label, arg_min(family_id, (d, family_id)) AS family_id, round(min
 def jon19(b):
     truth = b.results.select("sample", "label", F.col("rt").alias("want"))
     cells = b.cells.where("status = 'detected'").select("sample", "family_id", "apex_rt")
-    near = J.band_join(truth.where("want IS NOT NULL"), cells, "want", "apex_rt", 0.5, ["sample"], F.abs(F.col("apex_rt") - F.col("want")) <= 0.02).withColumn("d", F.abs(F.col("apex_rt") - F.col("want")))
+    near = J.band_join(truth.where("want IS NOT NULL"), cells, "want", "apex_rt", 0.021, ["sample"], F.abs(F.col("apex_rt") - F.col("want")) <= 0.02).withColumn("d", F.abs(F.col("apex_rt") - F.col("want")))
     best = near.groupBy("sample", "label").agg(F.min_by("family_id", F.struct("d", "family_id")).alias("family_id"), F.round(F.min("d"), 6).alias("off"))
     return truth.select("sample", "label").join(best, ["sample", "label"], "left").withColumn("outcome", F.when(F.col("family_id").isNull(), "no_cell_in_window").otherwise("matched"))
 

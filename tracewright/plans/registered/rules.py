@@ -35,7 +35,7 @@ def flt03(b):
 WITH j AS (SELECT sample_name, label, sample_applicability AS k, contains(regexp_replace(lower(sample_name), '[^a-z0-9]', '', 'g'), 'rna') AS rna FROM samples, targets)
 SELECT sample_name, label, CASE WHEN k = 'all' OR k = 'rna_containing' AND rna THEN NULL ELSE 'target_sample_applicability:' || k END AS reason FROM j""")
 def flt04(b):
-    return b.samples.crossJoin(F.broadcast(b.targets)).select("sample_name", "label", R.exclusion_reason(F.col("sample_applicability"), F.col("sample_name")).alias("reason"))
+    return b.samples.crossJoin(b.targets).select("sample_name", "label", R.exclusion_reason(F.col("sample_applicability"), F.col("sample_name")).alias("reason"))
 
 
 @query("flt05_sample_group", r"""
@@ -183,7 +183,7 @@ s AS (SELECT sample, label, CASE WHEN fwhm * 5 < 0.3 OR fwhm * 5 > 3 THEN 2 WHEN
   CASE WHEN fwhm / 0.25e0 < 0.3 OR fwhm / 0.25e0 > 3 THEN 2 WHEN fwhm / 0.25e0 < 0.5 OR fwhm / 0.25e0 > 2 THEN 1 ELSE 0 END AS width FROM k)
 SELECT *, CASE WHEN symmetry + nl_support + rt_prior + centrality + width = 0 THEN 'HIGH' WHEN symmetry + nl_support + rt_prior + centrality + width <= 2 THEN 'MEDIUM' WHEN symmetry + nl_support + rt_prior + centrality + width <= 4 THEN 'LOW' ELSE 'VERY_LOW' END AS confidence FROM s""")
 def flt18(b):
-    rows = b.results.join(F.broadcast(b.targets.select("label", "rt_min", "rt_max")), "label")
+    rows = b.results.join(b.targets.select("label", "rt_min", "rt_max"), "label")
     rt = F.col("rt")
     graded = rows.select(
         "sample", "label", R.symmetry_severity(F.col("fwhm") * 5).alias("symmetry"), R.loss_severity(~F.col("nl").isin("NO_MS2", ""), F.col("nl") == "OK").alias("nl_support"),
@@ -225,5 +225,5 @@ SELECT sample_name, compound, concat_ws(';', CASE WHEN pr THEN 'PRIOR_RT_SHIFT'
   CASE WHEN status <> 'detected' THEN 'not_detected_or_error' WHEN median_rt IS NULL THEN 'identity_evidence_insufficient' WHEN abs(d) > 0.2 AND injection_order IS NOT NULL THEN 'rt_drift_review' WHEN a < -1 OR a > 1 THEN 'sensitivity_trend_review'
     WHEN w < 0.6 OR w > 1.6 THEN 'width_definition_review' WHEN pr THEN 'prior_reference_mismatch' WHEN pw THEN 'width_definition_review' ELSE 'stable_ms1_trend' END AS bucket FROM k""")
 def flt29(b):
-    rows = b.trends.join(F.broadcast(compound_medians(b)), "compound", "left")
+    rows = b.trends.join(compound_medians(b), "compound", "left")
     return rows.select("sample_name", "compound", *[c.alias(n) for n, c in R.trend_review(F.lit(3)).items()])

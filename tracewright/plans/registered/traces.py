@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ...operators import peaks as P
 from ...operators import traces as T
 from ..catalog import query
 
@@ -119,7 +120,7 @@ def win14(b):
 
 
 def _in_regions(b):
-    return _regions(b).join(b.traces, "trace_id").where("idx >= left AND idx < right")
+    return T.inside(b.traces, _regions(b))
 
 
 _CONT = """ins AS (SELECT rg.trace_id, region, idx, intensity FROM rg JOIN traces t ON t.trace_id = rg.trace_id AND idx >= l AND idx < r),
@@ -136,10 +137,6 @@ def win12(b):
     return T.continuity(_in_regions(b), ("trace_id", "region")).select("trace_id", "region", _R6("continuity"))
 
 
-#: Settings of the local-minimum resolver in these queries.
-_MIN_SCANS, _MIN_MINUTES, _MAX_MINUTES, _MIN_HEIGHT, _MIN_RELATIVE = 5, 0.15, 2.0, 20.0, 0.05
-
-
 @query("win11_local_minimum_resolver", f"""
 WITH {_REGIONS}, {_CONT}, mx AS (SELECT trace_id, max(intensity) AS top, count(*) AS points FROM traces GROUP BY trace_id),
 cd AS (SELECT ap.*, (SELECT rt FROM traces t WHERE t.trace_id = ap.trace_id AND t.idx = r - 1) - (SELECT rt FROM traces t WHERE t.trace_id = ap.trace_id AND t.idx = l) AS minutes,
@@ -150,19 +147,7 @@ SELECT trace_id, region, apex_idx, apex_intensity, scans, round(minutes, 6) AS m
     CASE WHEN edge > 0 AND apex_intensity / edge < 1.7 THEN 'poor_edge_recovery' END, CASE WHEN continuity < 0.5 THEN 'low_trace_continuity' END) AS flags
 FROM cd WHERE scans >= 2 AND minutes > 0 AND apex_intensity >= 20 AND apex_intensity >= top * 0.05""")
 def win11(b):
-    from ...functions.columns import flags
-
-    at = lambda k, shift: b.traces.select("trace_id", (F.col("idx") + shift).alias(k), F.col("rt").alias(f"{k}_rt"), F.col("intensity").alias(f"{k}_i"))
-    rows = T.apexes(b.traces, _regions(b)).join(at("left", 0), ["trace_id", "left"]).join(at("right", 1), ["trace_id", "right"])
-    rows = rows.join(T.continuity(_in_regions(b), ("trace_id", "region")), ["trace_id", "region"])
-    rows = rows.join(b.traces.groupBy("trace_id").agg(F.max("intensity").alias("top"), F.count("*").alias("points")), "trace_id")
-    minutes, edge, apex = F.col("right_rt") - F.col("left_rt"), F.greatest("left_i", "right_i"), F.col("apex_intensity")
-    names = flags(
-        ((F.col("left") == 0) | (F.col("right") == F.col("points")), "edge_clipped"), (F.col("scans") < _MIN_SCANS, "low_scan_support"), (minutes < _MIN_MINUTES - 1e-9, "too_short"), (minutes > _MAX_MINUTES + 1e-9, "too_broad"),
-        ((edge > 0) & (apex / edge < 1.7), "poor_edge_recovery"), (F.col("continuity") < 0.5, "low_trace_continuity"),
-    )
-    kept = rows.where((F.col("scans") >= 2) & (minutes > 0) & (apex >= _MIN_HEIGHT) & (apex >= F.col("top") * _MIN_RELATIVE))
-    return kept.select("trace_id", "region", "apex_idx", "apex_intensity", "scans", F.round(minutes, 6).alias("minutes"), F.round(F.greatest(F.lit(0.0), apex - edge), 6).alias("prominence"), F.array_join(names, ";").alias("flags"))
+    return P.resolve(b.traces).select("trace_id", "region", "apex_idx", "apex_intensity", "scans", F.round("minutes", 6).alias("minutes"), F.round("prominence", 6).alias("prominence"), F.array_join("flags", ";").alias("flags"))
 
 
 @query("win13_jaggedness", """

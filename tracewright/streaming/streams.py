@@ -31,6 +31,6 @@ def seed_sessions(seeds: DataFrame, gap: str, delay: str) -> DataFrame:
 
 def trend_flags_stream(rows: DataFrame, medians: DataFrame) -> DataFrame:
     """Rows of standards as they arrive, against medians of a batch: a stream-static join; late rows are judged anew by the next batch."""
-    joined = rows.join(F.broadcast(medians), "compound", "left")
+    joined = rows.join(medians, "compound", "left")
     off = F.col("apex_rt") - F.col("median_rt")
     return joined.withColumn("rt_outlier", F.coalesce(F.abs(off) > 0.20, F.lit(False)))
