@@ -47,8 +47,9 @@ SLOT_BITS, FREQUENT, MOST_FREQUENT = 22, 32, 200_000
 #: Shingles that a task counts at a time, those of a bucket about, how often it tells of one, and a bucket's entries of lists about.
 FLUSH, BUCKET, TOLD, ENTRIES = 1 << 20, 1 << 19, 64, 1 << 17
 ESCAPE = 32767
-#: Bits that number the shingles of a set in one slot, classes that a task remembers, and entries of a list that a task pairs with all of it.
-SAME_BITS, SEEN, DEALT = 11, 1 << 20, 4096
+#: Bits that number the shingles of a set in one slot, classes that a task remembers, entries of a list that a
+#: task pairs with all of it, and pairs of a centre that are verified together.
+SAME_BITS, SEEN, DEALT, PAIRS = 11, 1 << 20, 4096, 128
 
 
 @dataclass(frozen=True)
@@ -274,7 +275,7 @@ def _possible(pairs: DataFrame, facts: DataFrame, config: JoinConfig) -> DataFra
 
 def verified(pairs: DataFrame, texts: DataFrame, config: JoinConfig) -> DataFrame:
     """The pairs (a, b) whose whole sets link. texts: (class, text). Each a is sent to as many groups as its pairs need, each b to its a's."""
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).cast("int").alias("_groups"))
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("_groups"))
     dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_groups")).cast("int").alias("part"))
     centres = groups.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("part"))
     sent = dealt.unionByName(centres).join(texts.withColumnRenamed("class", "b"), "b")
