@@ -70,6 +70,66 @@ def group_seeds(seeds: DataFrame, gap: float, ppm: float) -> DataFrame:
     return placed.mapInPandas(place, f"seed_id {kind}, group_id {kind}")
 
 
+def shared_peaks(candidates: DataFrame, mz_ppm: float, product_ppm: float, loss_ppm: float) -> DataFrame:
+    """(group_id, sample, candidates, representative, events, seed_min, seed_max, intensity): candidates of a sample merged one after the other, in
+    the order of their ids, into the first merged one that shares their MS1 peak.
+
+    Two share a peak if their m/z and, with one tag, their products and losses are near, their peaks overlap and the seeds of each touch the
+    other's peak. A merged candidate spans the seeds of both; the stronger product (then the smaller loss error, earlier seed, smaller id) represents
+    it. Candidates without peak bounds stay alone. Only candidates whose peaks chain by overlap, within one m/z island, can merge: these
+    islands are placed in one partition each and stream by.
+
+    candidates: candidate_id, sample, tag, precursor_mz, product_mz, loss_da, start_rt, end_rt, seed_min, seed_max, intensity, events, loss_ppm.
+    """
+    step = mz_ppm / 1e6 * 1.001
+    by_mz = gap_islands(candidates.withColumn("_log", F.log("precursor_mz")), ["sample"], "_log", step, "candidate_id").withColumnRenamed("island", "_mz")
+    own = W.partitionBy("sample", "_mz").orderBy("start_rt", "candidate_id")
+    reach = F.max("end_rt").over(own.rowsBetween(W.unboundedPreceding, -1))
+    cut = by_mz.withColumn("_new", F.coalesce((F.col("start_rt") > reach).cast("int"), F.lit(1)))
+    rows = cut.withColumn("_rt", F.sum("_new").over(own))
+    names = ["candidate_id", "tag", "precursor_mz", "product_mz", "loss_da", "start_rt", "end_rt", "seed_min", "seed_max", "intensity", "events", "loss_ppm"]
+    within = lambda a, b, ppm: b > 0 and abs(a - b) / abs(b) * 1e6 <= ppm
+    touches = lambda a, b: a["seed_min"] <= b["end_rt"] and a["seed_max"] >= b["start_rt"]
+
+    def shares(a: dict, b: dict) -> bool:
+        near = within(a["precursor_mz"], b["precursor_mz"], mz_ppm) and max(a["start_rt"], b["start_rt"]) <= min(a["end_rt"], b["end_rt"]) and touches(a, b) and touches(b, a)
+        return near and a["tag"] == b["tag"] and within(a["product_mz"], b["product_mz"], product_ppm) and within(a["loss_da"], b["loss_da"], loss_ppm)
+
+    def merged(a: dict, b: dict) -> dict:
+        first = min((a, b), key=lambda x: (-x["intensity"], abs(x["loss_ppm"]), x["seed_min"], x["candidate_id"]))
+        return first | {
+            "group": a["group"], "n": a["n"] + 1, "events": a["events"] + b["events"], "seed_min": min(a["seed_min"], b["seed_min"]), "seed_max": max(a["seed_max"], b["seed_max"]), "intensity": max(a["intensity"], b["intensity"]),
+        }
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        island, held, sample = None, [], None
+
+        def told(groups: list[dict]) -> pd.DataFrame:
+            rows = [(g["group"], sample, g["n"], g["candidate_id"], g["events"], g["seed_min"], g["seed_max"], g["intensity"]) for g in groups]
+            return pd.DataFrame(rows, columns=["group_id", "sample", "candidates", "representative", "events", "seed_min", "seed_max", "intensity"])
+
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                key = (row["sample"], row["_mz"], row["_rt"])
+                if key != island:
+                    if held:
+                        yield told(held)
+                    island, held, sample = key, [], row["sample"]
+                row |= {"group": row["candidate_id"], "n": 1}
+                bounded = row["start_rt"] is not None and row["start_rt"] <= row["end_rt"]
+                at = next((k for k, g in enumerate(held) if shares(g, row)), None) if bounded else None
+                if at is None:
+                    held.append(row)
+                else:
+                    held[at] = merged(held[at], row)
+        if held:
+            yield told(held)
+
+    kind = candidates.schema["candidate_id"].dataType.simpleString()
+    placed = rows.select("sample", "_mz", "_rt", *names).repartition("sample", "_mz", "_rt").sortWithinPartitions("sample", "_mz", "_rt", "candidate_id")
+    return placed.mapInPandas(place, f"group_id {kind}, sample string, candidates long, representative {kind}, events long, seed_min double, seed_max double, intensity double")
+
+
 def complete_link(owners: DataFrame, edges: DataFrame) -> DataFrame:
     """(owner_id, group_id): owners in order join the group to all of whose members they have a strong edge, with no second owner of a
     sample; among several the one with the smallest worst distance. Owners without an edge are groups of their own.

@@ -298,14 +298,6 @@ def idc01(b):
     return near.select("family_id", "owner_id", F.when(product & loss, "complete").when(product, "loss_differs").otherwise("product_differs").alias("match"))
 
 
-@query("idc02_seed_gate", """
-SELECT owner_id, CASE WHEN tag = '' THEN 'missing_tag' WHEN identity_conflict THEN 'identity_conflict' WHEN area IS NULL OR area <= 0 THEN 'invalid_area' WHEN seed_event_count < 2 THEN 'too_few_events' WHEN evidence_score < 40 THEN 'weak_evidence' ELSE '' END AS reason FROM owners""")
-def idc02(b):
-    """Why an owner can't seed a row; the first reason counts."""
-    reason = first_of((F.col("tag") == "", "missing_tag"), (F.col("identity_conflict"), "identity_conflict"), (F.col("area").isNull() | (F.col("area") <= 0), "invalid_area"), (F.col("seed_event_count") < 2, "too_few_events"), (F.col("evidence_score") < 40, "weak_evidence"), otherwise="")
-    return b.owners.select("owner_id", reason.alias("reason"))
-
-
 @query("idc10_bundle_comparison", f"""
 WITH {_MATRIX}, v AS (SELECT mx.family_id, mx.sample, mx.status, CASE WHEN c.rt_delta_sec > 60 THEN 'absent' ELSE mx.status END AS other FROM mx LEFT JOIN cells c ON c.family_id = mx.family_id AND c.sample = mx.sample)
 SELECT count(*) AS cells, count(*) FILTER (WHERE status <> other) AS changed, CASE WHEN count(*) FILTER (WHERE status <> other) <= 0.2 * count(*) THEN 'accepted' ELSE 'rejected' END AS verdict FROM v""")
@@ -333,10 +325,3 @@ def mtx08(b):
     shift = b.cells.groupBy("sample").agg(F.percentile("rt_delta_sec", 0.5).alias("shift"), F.count("rt_delta_sec").alias("n"))
     rows = matrix(b).select("family_id", "sample").join(b.cells.select("family_id", "sample", "apex_rt"), ["family_id", "sample"], "left").join(shift, "sample")
     return rows.select("family_id", "sample", F.round(F.col("apex_rt") - F.col("shift") / 60, 6).alias("corrected"), F.when(F.col("apex_rt").isNull(), "no_peak").when(F.col("n") < 20, "blocked").otherwise("shadow").alias("status"))
-
-
-@query("udf02_pluggable_edges", f"WITH {_EDGES} SELECT left_id, right_id, CASE WHEN rt_sec <= 30 THEN 'near' ELSE 'far' END AS decision FROM ed WHERE failure = ''")
-def udf02(b):
-    """Edges judged by an expression that the caller gives."""
-    decide = F.when(F.col("rt_sec") <= 30, "near").otherwise("far")
-    return owner_edges(b).where("failure = ''").select("left_id", "right_id", decide.alias("decision"))

@@ -141,10 +141,17 @@ es AS (SELECT *, CASE WHEN failure <> '' THEN 0 ELSE CASE WHEN rt_sec <= 60 THEN
 ed AS (SELECT *, CASE WHEN failure <> '' THEN 'blocked_edge' WHEN rt_sec <= 60 AND support <> 'weak' AND score >= 45 THEN 'strong_edge' ELSE 'weak_edge' END AS decision FROM es)"""
 
 
-def owner_edges(b):
-    """Pairs of owners of one tag and nearly one m/z, with the first gate that blocks them, a score and a decision."""
+def owner_edges(b, decide=None, drift=None):
+    """Pairs of owners of one tag and nearly one m/z, with the first gate that blocks them, a score and a decision.
+
+    decide: an expression over a pair's columns that gives the decision instead of the rule here. drift: (sample, drift_min), which is taken
+    from the RTs of the sample's owners; samples that it lacks have none.
+    """
     cols = ["sample", "precursor_mz", "apex_rt", "product_mz", "observed_loss", "evidence_score", "seed_event_count", "identity_conflict"]
-    left, right = (b.owners.select(F.col("owner_id").alias(f"{k}_id"), "tag", *[F.col(c).alias(f"{k}_{c}") for c in cols]) for k in ("left", "right"))
+    owners = b.owners
+    if drift is not None:
+        owners = owners.join(drift.select("sample", "drift_min"), "sample", "left").withColumn("apex_rt", F.col("apex_rt") - F.coalesce("drift_min", F.lit(0.0)))
+    left, right = (owners.select(F.col("owner_id").alias(f"{k}_id"), "tag", *[F.col(c).alias(f"{k}_{c}") for c in cols]) for k in ("left", "right"))
     col = lambda k: (F.col(f"left_{k}"), F.col(f"right_{k}"))
     close = (F.col("left_id") < F.col("right_id")) & (ppm_distance(*col("precursor_mz")) <= 20)
     pairs = J.ppm_join(left, right, "left_precursor_mz", "right_precursor_mz", 20.0, ["tag"], close)
@@ -157,6 +164,8 @@ def owner_edges(b):
     rows = pairs.select("left_id", "right_id", "left_sample", "right_sample", rt.alias("rt_sec"), failure.alias("failure"), F.when(several & good, "strong").when(several | good, "moderate").otherwise("weak").alias("support"))
     points = F.when(F.col("rt_sec") <= 60, 30).when(F.col("rt_sec") <= 180, 10).otherwise(0) + F.when(F.col("support") == "strong", 15).when(F.col("support") == "moderate", 5).otherwise(-30) + 10
     scored = rows.withColumn("score", F.when(F.col("failure") != "", 0).otherwise(points))
+    if decide is not None:
+        return scored.withColumn("decision", decide)
     strong = (F.col("rt_sec") <= 60) & (F.col("support") != "weak") & (F.col("score") >= 45)
     return scored.withColumn("decision", F.when(F.col("failure") != "", "blocked_edge").when(strong, "strong_edge").otherwise("weak_edge"))
 

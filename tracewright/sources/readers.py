@@ -98,3 +98,31 @@ def traces_of(json_traces: DataFrame) -> DataFrame:
     """Overlay traces, nested as arrays for each family, in long form."""
     rows = json_traces.select("family_id", F.explode("traces").alias("t")).select("family_id", F.col("t.sample").alias("sample"), F.posexplode(F.arrays_zip("t.rt", "t.intensity")).alias("idx", "x"))
     return rows.select("family_id", "sample", "idx", F.col("x.rt").alias("rt"), F.col("x.intensity").alias("intensity"))
+
+
+BATCH = "sample_stem string, candidate_csv string, raw_file string, review_csv string"
+
+
+def read_discovery_batch(spark: SparkSession, path: str) -> DataFrame:
+    """The index of a discovery batch: a sample and the place of its candidates in each row, both required; relative places are those beside the index."""
+    rows = read_table(spark, path, BATCH, ["sample_stem", "candidate_csv"])
+    require(rows, F.col("sample_stem").isNull(), "sample_stem is required", "candidate_csv")
+    require(rows, F.col("candidate_csv").isNull(), "candidate_csv is required", "sample_stem")
+    require_unique(rows, ["sample_stem"], "sample not unique")
+    beside = path.rsplit("/", 1)[0]
+    placed = lambda c: F.when(F.col(c).rlike(r"^(/|[a-z0-9]+:)"), F.col(c)).otherwise(F.concat(F.lit(f"{beside}/"), F.col(c))).alias(c)
+    return rows.select("sample_stem", placed("candidate_csv"), "raw_file", placed("review_csv"))
+
+
+PROFILES = "`Tag Category` string, `Tag No.` string, `Tag Name` string, `Tag Parameters (Da or m/z)` double, `Mass Tolerance (ppm)` double, `Intensity Cutoff (height)` double"
+
+
+def read_tag_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """(tag_id, tag, loss_da, ppm, least_intensity) of the neutral losses of a tag list (category 1); product tags (category 2) are left out, and
+    other categories and incomplete rows raise."""
+    rows = read_table(spark, path, PROFILES)
+    require(rows, ~F.coalesce(F.col("Tag Category").isin("1", "2"), F.lit(False)), "unsupported tag category", "`Tag No.`")
+    own = rows.where(F.col("Tag Category") == "1")
+    names = {"Tag No.": "tag_id", "Tag Name": "tag", "Tag Parameters (Da or m/z)": "loss_da", "Mass Tolerance (ppm)": "ppm", "Intensity Cutoff (height)": "least_intensity"}
+    require(own, sum((F.col(f"`{c}`").isNull().cast("int") for c in names), F.lit(0)) > 0, "tag row incomplete", "`Tag No.`")
+    return own.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])

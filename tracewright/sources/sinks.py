@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -44,7 +45,11 @@ def fingerprint(frame: DataFrame) -> DataFrame:
 
 
 def append_new_runs(frame: DataFrame, folder: str) -> DataFrame:
-    """Appends the runs whose content isn't there yet, and returns (run, fingerprint, appended) of all of them."""
+    """Stores the runs whose content isn't there yet, and returns (run, fingerprint, appended) of all of them.
+
+    A run's rows lie in a folder named by its fingerprint, which is overwritten as a whole, and the fingerprint's row in the ledger follows.
+    A batch that is written once more after a crash thus changes nothing; of equal runs within a batch, the first by name is stored.
+    """
     spark = frame.sparkSession
     own = fingerprint(frame)
     try:
@@ -53,9 +58,38 @@ def append_new_runs(frame: DataFrame, folder: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         known = spark.createDataFrame([], "run string, fingerprint string")
-    verdict = own.join(known.select("fingerprint").distinct().withColumn("_known", F.lit(True)), "fingerprint", "left").withColumn("appended", F.col("_known").isNull()).select("run", "fingerprint", "appended")
+    first = F.row_number().over(W.partitionBy("fingerprint").orderBy("run")) == 1
+    marked = own.join(known.select("fingerprint").distinct().withColumn("_known", F.lit(True)), "fingerprint", "left")
+    verdict = marked.withColumn("appended", F.col("_known").isNull() & first).select("run", "fingerprint", "appended")
     rows = verdict.collect()  # one row for each run of a batch
-    fresh = spark.createDataFrame([(r.run, r.fingerprint) for r in rows if r.appended], "run string, fingerprint string")
-    frame.join(F.broadcast(fresh.select("run")), "run", "left_semi").write.mode("append").parquet(f"{folder}/rows")
-    fresh.write.mode("append").parquet(f"{folder}/fingerprints")
+    fresh = [(r.run, r.fingerprint) for r in rows if r.appended]
+    if fresh:
+        named = spark.createDataFrame(fresh, "run string, fingerprint string")
+        stored = frame.join(named, "run").withColumn("content", F.col("fingerprint")).drop("fingerprint")
+        stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("content").parquet(f"{folder}/rows")
+        named.coalesce(1).write.mode("append").parquet(f"{folder}/fingerprints")
     return spark.createDataFrame([tuple(r) for r in rows], verdict.schema)
+
+
+def alignment_review(families: DataFrame) -> DataFrame:
+    """The review table of aligned families, as text and counts. families: family_id, tag, evidence, center_mz, center_rt, detected, rescued, cell_count."""
+    others = F.col("cell_count") - F.col("detected") - F.col("rescued")
+    return families.select("family_id", "tag", number_text(F.col("center_mz")).alias("mz"), number_text(F.col("center_rt")).alias("rt"), "detected", "rescued", others.alias("others"), text_safe(F.col("evidence")).alias("evidence"))
+
+
+def write_alignment(families: DataFrame, matrix: DataFrame, folder: str) -> str:
+    """Publishes the review table and the matrix (family_id, sample, area) together; returns the run's id."""
+    return publish({"review": alignment_review(families), "matrix": matrix.select("family_id", "sample", number_text(F.col("area")).alias("area"))}, folder)
+
+
+def owner_assignments(rows: DataFrame) -> DataFrame:
+    """The table of candidates and the owners that they were assigned to, with ids and reasons as safe text."""
+    text = lambda c: text_safe(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c)
+    return rows.select("candidate_id", text("owner_id"), "assignment_status", text("reason"))
+
+
+def write_pending_priors(entries: DataFrame, library: str) -> str:
+    """Writes proposed rows of a prior library beside it, in place of earlier proposals; the library itself stays as it is."""
+    path = f"{library.rstrip('/')}.pending"
+    entries.write.mode("overwrite").parquet(path)
+    return path
