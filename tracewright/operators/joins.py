@@ -108,6 +108,15 @@ def k_nearest(rows: DataFrame, is_anchor: Column, is_probe: Column, keys: list[s
     return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("_a", "_p", "_at", "_number")
 
 
+def total_order(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Numbers all rows in a strict order, from 1: rows are dealt by range, numbered within their range, and the ranges before are added."""
+    placed = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    totals = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = totals.select("_part", (F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))  # a row for each partition
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_own", own).join(before, "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("int")).drop("_part", "_own", "_before")
+
+
 def one_to_one(edges: DataFrame, a: str, b: str, order: list[str]) -> DataFrame:
     """The greedy matching that takes edges in the given strict order and skips those with a used end.
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 
 def _penalised(weights: np.ndarray, smoothness: float, target: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Solves (diag(weights) + smoothness * second-difference penalty) z = target for each row, of which `size` values count.
@@ -158,3 +160,17 @@ def shape_vectors(traces: DataFrame, points: int = 25) -> DataFrame:
         return pd.DataFrame({"trace_id": [own.trace_id.iloc[0]], "vector": [(v / norm if norm else v).tolist()]})
 
     return traces.select("trace_id", "idx", "rt", "intensity").groupBy("trace_id").applyInPandas(sample, "trace_id int, vector array<double>")
+
+
+def medoids(shapes: DataFrame) -> DataFrame:
+    """(family, trace_id, similarity): in each family the shape with the highest mean cosine to the others. shapes: family, trace_id, vector.
+
+    The sum of a vector's products with all of its family is its product with the family's sum, so that shapes never meet in pairs.
+    """
+    shapes = written(shapes)
+    sums = shapes.select("family", F.posexplode("vector").alias("at", "x")).groupBy("family", "at").agg(F.sum("x").alias("x"))
+    whole = sums.groupBy("family").agg(F.array_sort(F.collect_list(F.struct("at", "x")))["x"].alias("_sum")).join(shapes.groupBy("family").agg(F.count("*").alias("_n")), "family")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    means = shapes.join(whole.where("_n > 1"), "family").select("family", "trace_id", ((dot("vector", "_sum") - dot("vector", "vector")) / (F.col("_n") - 1)).alias("similarity"))
+    best = F.min(F.struct((-F.round("similarity", 9)).alias("minus"), "trace_id", "similarity")).alias("b")
+    return means.groupBy("family").agg(best).select("family", "b.trace_id", "b.similarity")

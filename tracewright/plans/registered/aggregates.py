@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ...operators import joins as J
 from ...operators import rules as R
 from ..catalog import query
 from .joins import _NEAR, near_families, paired
@@ -310,7 +311,7 @@ def win25(b):
 
 @query("win27_injection_column_order", "SELECT sample_name, CAST(row_number() OVER (ORDER BY injection_order NULLS LAST, sample_name) AS INT) AS position FROM samples")
 def win27(b):
-    return b.samples.select("sample_name", F.row_number().over(W.orderBy(F.col("injection_order").asc_nulls_last(), "sample_name")).alias("position"))
+    return J.total_order(b.samples, [F.col("injection_order").asc_nulls_last(), F.col("sample_name")], "position").select("sample_name", "position")
 
 
 @query("win28_trend_medians", """
@@ -341,7 +342,7 @@ def srt02(b):
 
 @query("srt03_total_order", "SELECT family_id, CAST(row_number() OVER (ORDER BY tag, center_mz, center_rt NULLS LAST, family_id) AS INT) AS rank FROM families")
 def srt03(b):
-    return b.families.select("family_id", F.row_number().over(W.orderBy("tag", "center_mz", F.col("center_rt").asc_nulls_last(), "family_id")).alias("rank"))
+    return J.total_order(b.families, [F.col("tag"), F.col("center_mz"), F.col("center_rt").asc_nulls_last(), F.col("family_id")], "rank").select("family_id", "rank")
 
 
 @query("srt04_category_order", "SELECT candidate_id, CASE upper(trace_quality) WHEN 'GOOD' THEN 1 WHEN 'CLEAN' THEN 2 WHEN 'FAIR' THEN 3 ELSE 0 END AS rank FROM candidates")

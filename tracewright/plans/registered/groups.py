@@ -137,7 +137,8 @@ def mtx02(b):
 
 @query("mtx03_matrix_identity", "SELECT CAST(row_number() OVER (ORDER BY center_mz, center_rt, family_id) AS INT) AS row_index, family_id, family_id || '#1' AS hypothesis FROM families")
 def mtx03(b):
-    return b.families.select(F.row_number().over(W.orderBy("center_mz", "center_rt", "family_id")).alias("row_index"), "family_id", F.concat("family_id", F.lit("#1")).alias("hypothesis"))
+    rows = J.total_order(b.families, [F.col("center_mz"), F.col("center_rt"), F.col("family_id")], "row_index")
+    return rows.select("row_index", "family_id", F.concat("family_id", F.lit("#1")).alias("hypothesis"))
 
 
 @query("mtx04_detected_only", f"WITH {_MATRIX} SELECT family_id, sample, area FROM mx WHERE status = 'detected' AND area IS NOT NULL")
@@ -271,12 +272,7 @@ def idc05(b):
 
 @query("idc06_medoid_shape")
 def idc06(b):
-    shapes = M.shape_vectors(b.traces).withColumn("family", F.col("trace_id") % 10)
-    other = shapes.select("family", F.col("trace_id").alias("o"), F.col("vector").alias("v"))
-    dot = F.aggregate(F.zip_with("vector", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    means = shapes.join(other, "family").where("trace_id <> o").groupBy("family", "trace_id").agg(F.avg(dot).alias("similarity"))
-    by = W.partitionBy("family").orderBy(F.desc(F.round("similarity", 9)), "trace_id")
-    return means.select("family", "trace_id", _R6("similarity"), F.row_number().over(by).alias("n")).where("n = 1").drop("n")
+    return M.medoids(M.shape_vectors(b.traces).withColumn("family", F.col("trace_id") % 10)).select("family", "trace_id", _R6("similarity"))
 
 
 @query("idc03_rt_centre", """

@@ -39,7 +39,7 @@ def read_table(spark: SparkSession, path: str, ddl: str, required: list[str] | N
     if missing := [c for c in (required or schema.names) if c not in names]:
         raise ContractError(f"{path} lacks {', '.join(missing)}")
     renamed = header.toDF(*names)
-    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    blank = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
     return renamed.select(*[blank(f.name).try_cast(f.dataType).alias(f.name) if f.name in names else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
