@@ -451,3 +451,11 @@ def test_more_labels_than_allowed_raise(spark):
     assert set(labelled_sample(docs, docs, "lang", 5, 100).label) == {f"l{k}" for k in range(70)}
     with pytest.raises(ValueError, match="more than 69 labels"):
         labelled_sample(docs, docs, "lang", 5, 100, most_labels=69)
+
+
+def test_fixity_of_long_contents_and_clashing_columns(spark):
+    pages = [(1, "u", "x" * 3_000_000), (2, None, None), (2, None, None), (300, "v", "")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("own") for c in ("file_id", "ordinal", "sha256", "offset", "_record", "length")})
+    got = warc.records(frame).collect()
+    assert len(got) == 4 and max(r.length for r in got) > 3_000_000
+    assert {r.status for r in warc.audit(warc.records(frame), warc.records(frame.repartition(3))).collect()} == {"ok"}

@@ -9,7 +9,8 @@ For prediction the weights of bytes 0-1 and of bytes 2-3 of each filter are adde
 that a place costs two table reads for all filters together.
 
 Defined results: null texts and texts without a letter are `und` with score 0; empty tables give no rows; if there is nothing to learn
-from, every text with a letter is `und` with score 0; equal texts get equal predictions; ties go to the first language by name. Ids,
+from, every text with a letter is `und` with score 0; equal texts, and so repeated rows, get equal predictions; ties go to the first language
+by name; very long texts are read whole, window by window; further columns pass through, and a clash with `lang_pred` or `score` raises. Ids,
 sources and languages of the scored rows are not read.
 """
 

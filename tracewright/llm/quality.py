@@ -5,8 +5,9 @@ the sizes, the evidence is (B - G) / (B + G): above 0, the text looks more like
 fitted on labelled texts that the dictionaries haven't seen and weighted to the labels' own shares, turns it into a probability.
 
 Defined results: null and empty texts have evidence 0 and get the share of good labels; if one label is missing from what may be learned,
-every text gets the share of good labels (0.5 without labels); equal texts get equal scores; labels other than 0 and 1, or null, are not
-learned from; empty tables give no rows. Ids, sources, languages and labels of the scored rows are not read.
+every text gets the share of good labels (0.5 without labels); equal texts, and so repeated rows, get equal scores; labels other than 0 and 1,
+or null, and rows with a null id are not learned from; very long texts are scored whole, piece by piece; further columns pass through, and a
+clash with `score` or `evidence` raises; empty tables give no rows. Ids, sources, languages and labels of the scored rows are not read.
 """
 
 from __future__ import annotations

@@ -10,9 +10,10 @@ each n-gram, in one pass over the characters. Texts of more than 1.5 windows are
 and the text's log odds are those of its most toxic window, so that an insult isn't averaged away by a long text around it.
 
 Defined results: null and empty texts, and texts without words, have an empty bag and get the score of the softmax's offset alone; with
-one label missing from what may be learned, every text gets that label's share (0 without labels); equal texts get equal scores; labels
-other than 0 and 1, or null, are not learned from; empty tables give no rows. Ids, sources, languages and labels of scored rows are not
-read.
+one label missing from what may be learned, every text gets that label's share (0 without labels); equal texts, and so repeated rows, get
+equal scores; labels other than 0 and 1, or null, and rows with a null id are not learned from; very long texts are scored whole, window by
+window; further columns pass through, and a clash with `score` raises; empty tables give no rows. Ids, sources, languages and labels of
+scored rows are not read.
 """
 
 from __future__ import annotations

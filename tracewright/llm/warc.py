@@ -6,11 +6,11 @@ the children of mismatching nodes only, level by level, down to the records that
 
 Defined results: records are ordered by page id, then by url and content (nulls first), so equal rows lie side by side; records without
 an id go to files of their own, numbered below 0 by the hash of their content; null urls and contents are empty; a file that one replica
-lacks has every record `missing` (from the second) or `extra` (in the second only). Further columns of pages are ignored. Empty tables
-give no rows.
+lacks has every record `missing` (from the second) or `extra` (in the second only). Further columns of pages are ignored, whatever their
+names. Very long contents are hashed whole. Empty tables give no rows.
 
-A file holds about a fixed number of records (more only if ids repeat), and a node a fixed number of children, so that no group grows with
-the table. Only mismatching files and branches are joined with their children.
+A file holds about a fixed number of records, more only if ids repeat or are missing: records without an id share UNNUMBERED files. A node has
+a fixed number of children. Only mismatching files and branches are joined with their children.
 """
 
 from __future__ import annotations
