@@ -40,27 +40,56 @@ def ppm_join(left: DataFrame, right: DataFrame, left_mz: str, right_mz: str, ppm
     return band_join(left, right, log(left_mz), log(right_mz), ppm / 1e6 * 1.01, on, where, how)
 
 
+def _hits(points: DataFrame, requests: DataFrame) -> DataFrame:
+    """Points within each distinct request's m/z tolerance and window, named by the request. Both sides meet in bins of 100 ppm."""
+    low, high = F.col("mz") * (1 - F.col("ppm_tol") / 1e6), F.col("mz") * (1 + F.col("ppm_tol") / 1e6)
+    bin_ = lambda c: F.floor(F.log(c) * 1e4)  # noqa: E731 (a request lies in one or two bins at usual tolerances)
+    distinct = requests.select(*_SHAPE).distinct().select(*_SHAPE, F.xxhash64(*_SHAPE).alias("_request"))
+    wanted = distinct.select(F.col("sample").alias("_s"), low.alias("_low"), high.alias("_high"), "rt_min", "rt_max", "_request").withColumn("_bin", F.explode(F.sequence(bin_("_low"), bin_("_high"))))
+    binned = points.where("mz > 0").withColumn("_bin", bin_("mz"))
+    inside = F.col("mz").between(F.col("_low"), F.col("_high")) & F.col("rt").between(F.col("rt_min"), F.col("rt_max"))
+    return binned.join(wanted, (F.col("sample") == F.col("_s")) & (binned["_bin"] == wanted["_bin"]) & inside)
+
+
+_SHAPE = ["sample", "mz", "rt_min", "rt_max", "ppm_tol"]
+_WINDOW = ["sample", "rt_min", "rt_max"]
+
+
+def _scans_in(scans: DataFrame, requests: DataFrame) -> DataFrame:
+    """Scans of each distinct window of a sample. A window is copied to each of its minutes, so that scans meet windows of their minute only."""
+    windows = requests.select(*_WINDOW).distinct()
+    timed = windows.select(F.col("sample").alias("_s"), "rt_min", "rt_max", F.explode(F.sequence(F.floor("rt_min"), F.floor("rt_max"))).alias("_minute"))
+    own = (F.col("sample") == F.col("_s")) & (F.floor("rt") == F.col("_minute")) & F.col("rt").between(F.col("rt_min"), F.col("rt_max"))
+    return scans.join(timed, own).select(*_WINDOW, "scan_number", "rt")
+
+
 def extract_traces(points: DataFrame, scans: DataFrame, requests: DataFrame, how: str = "max") -> DataFrame:
     """(label, sample, scan_number, rt, intensity): for every request and scan in its window, the max or sum of the points within ppm.
 
-    requests: (label, sample, mz, rt_min, rt_max, ppm_tol); scans without a point give 0. Equal requests are extracted once.
+    requests: (label, sample, mz, rt_min, rt_max, ppm_tol); scans without a point give 0. Points of equal requests are looked for once, and
+    scans of equal windows, too.
     """
-    shape = ["sample", "mz", "rt_min", "rt_max", "ppm_tol"]
-    distinct = requests.select(*shape).distinct().select(*shape, F.xxhash64(*shape).alias("_request"))
-    low, high = F.col("mz") * (1 - F.col("ppm_tol") / 1e6), F.col("mz") * (1 + F.col("ppm_tol") / 1e6)
-    bin_ = lambda c: F.floor(F.log(c) * 1e4)  # noqa: E731 (bins of 100 ppm: a request lies in one or two of them at usual tolerances)
-    wanted = distinct.select(F.col("sample").alias("_s"), low.alias("_low"), high.alias("_high"), "rt_min", "rt_max", "_request").withColumn("_bin", F.explode(F.sequence(bin_("_low"), bin_("_high"))))
-    binned = points.where("mz > 0").withColumn("_bin", bin_("mz"))
-    hit = binned.join(wanted, (F.col("sample") == F.col("_s")) & (binned["_bin"] == wanted["_bin"]) & F.col("mz").between(F.col("_low"), F.col("_high")) & F.col("rt").between(F.col("rt_min"), F.col("rt_max")))
     value = F.max("intensity") if how == "max" else F.sum("intensity")
-    found = hit.groupBy("_request", "scan_number").agg(value.alias("intensity"))
-    # A request is copied to each minute of its window, so that scans meet the requests of their own minute only.
-    timed = distinct.select(F.col("sample").alias("_s"), "rt_min", "rt_max", "_request", F.explode(F.sequence(F.floor("rt_min"), F.floor("rt_max"))).alias("_minute"))
-    own = (F.col("sample") == F.col("_s")) & (F.floor("rt") == F.col("_minute")) & F.col("rt").between(F.col("rt_min"), F.col("rt_max"))
-    grid = scans.join(timed, own).select("_request", "sample", "scan_number", "rt")
-    filled = grid.join(found, ["_request", "scan_number"], "left").withColumn("intensity", F.coalesce("intensity", F.lit(0.0)))
-    shared = requests.select("label", F.xxhash64(*shape).alias("_request"))
-    return shared.join(filled, "_request").select("label", "sample", "scan_number", "rt", "intensity")
+    found = _hits(points, requests).groupBy("_request", "scan_number").agg(value.alias("intensity"))
+    grid = requests.select("label", *_WINDOW, F.xxhash64(*_SHAPE).alias("_request")).join(_scans_in(scans, requests), _WINDOW)
+    filled = grid.join(found, ["_request", "scan_number"], "left")
+    return filled.select("label", "sample", "scan_number", "rt", F.coalesce("intensity", F.lit(0.0)).alias("intensity"))
+
+
+def trace_areas(points: DataFrame, scans: DataFrame, requests: DataFrame) -> DataFrame:
+    """(label, sample, area): the trapezoid area, in intensity times seconds, of each request's trace, which isn't built.
+
+    A scan without a point adds nothing, and one with a point adds its intensity times half of the way to its neighbouring scans, as far as they
+    lie in the window. Requests without a scan in their window give no row.
+    """
+    by = W.partitionBy("sample").orderBy("rt", "scan_number")
+    placed = scans.select("sample", "scan_number", F.lag("rt").over(by).alias("_before"), F.lead("rt").over(by).alias("_after"))
+    found = _hits(points, requests).groupBy("_request", "sample", "scan_number", "rt", "rt_min", "rt_max").agg(F.max("intensity").alias("intensity"))
+    way = F.when(F.col("_before") >= F.col("rt_min"), F.col("rt") - F.col("_before")).otherwise(0.0) + F.when(F.col("_after") <= F.col("rt_max"), F.col("_after") - F.col("rt")).otherwise(0.0)
+    areas = found.join(placed, ["sample", "scan_number"]).groupBy("_request").agg((F.sum(F.col("intensity") * way) / 2 * 60).alias("area"))
+    seen = _scans_in(scans, requests).select(*_WINDOW).distinct()
+    asked = requests.select("label", *_WINDOW, F.xxhash64(*_SHAPE).alias("_request")).join(seen, _WINDOW, "left_semi")
+    return asked.join(areas, "_request", "left").select("label", "sample", F.coalesce("area", F.lit(0.0)).alias("area"))
 
 
 def table_diff(before: DataFrame, after: DataFrame, keys: list[str], values: list[str], tolerance: float = 0.0) -> DataFrame:

@@ -50,9 +50,7 @@ ta AS (SELECT label, sample, round(coalesce(sum(part), 0) * 60, 3) AS area FROM
 
 
 def _areas(b):
-    order = W.partitionBy("label", "sample").orderBy("rt", "scan_number")
-    traces = _xic(b).withColumn("idx", F.row_number().over(order))
-    return T.trapezoid(traces, keys=("label", "sample")).withColumn("area", F.round("area", 3))
+    return J.trace_areas(b.points, b.scans, _requests(b)).withColumn("area", F.round("area", 3))
 
 
 @query("targeted_areas", f"WITH {_AREAS} SELECT label, sample, area FROM ta")
