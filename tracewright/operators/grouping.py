@@ -102,19 +102,18 @@ def shared_peaks(candidates: DataFrame, mz_ppm: float, product_ppm: float, loss_
         }
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island, held, sample = None, [], None
+        island, held, closed = None, [], []
 
         def told(groups: list[dict]) -> pd.DataFrame:
-            rows = [(g["group"], sample, g["n"], g["candidate_id"], g["events"], g["seed_min"], g["seed_max"], g["intensity"]) for g in groups]
+            rows = [(g["group"], g["sample"], g["n"], g["candidate_id"], g["events"], g["seed_min"], g["seed_max"], g["intensity"]) for g in groups]
             return pd.DataFrame(rows, columns=["group_id", "sample", "candidates", "representative", "events", "seed_min", "seed_max", "intensity"])
 
         for batch in batches:
             for row in batch.to_dict("records"):
                 key = (row["sample"], row["_mz"], row["_rt"])
                 if key != island:
-                    if held:
-                        yield told(held)
-                    island, held, sample = key, [], row["sample"]
+                    closed += held
+                    island, held = key, []
                 row |= {"group": row["candidate_id"], "n": 1}
                 bounded = row["start_rt"] is not None and row["start_rt"] <= row["end_rt"]
                 at = next((k for k, g in enumerate(held) if shares(g, row)), None) if bounded else None
@@ -122,6 +121,9 @@ def shared_peaks(candidates: DataFrame, mz_ppm: float, product_ppm: float, loss_
                     held.append(row)
                 else:
                     held[at] = merged(held[at], row)
+            if closed:
+                yield told(closed)
+                closed = []
         if held:
             yield told(held)
 

@@ -149,7 +149,7 @@ def jon10(b):
     """Families of two matrices matched one to one, the closest pairs first."""
     left, right = b.families.where("has_anchor"), b.families.where("NOT has_anchor")
     left = left.select(F.col("family_id").alias("a"), F.lit(0).alias("one"), F.col("center_mz").alias("a_mz"), F.col("center_rt").alias("a_rt"))
-    right = right.select(F.col("family_id").alias("b"), F.lit(0).alias("one"), (F.col("center_mz") - 1.0).alias("b_mz"), F.col("center_rt").alias("b_rt"))
+    right = right.select(F.col("family_id").alias("b"), F.lit(0).alias("one"), F.col("center_mz").alias("b_mz"), F.col("center_rt").alias("b_rt"))
     ppm, rt = ppm_distance(F.col("a_mz"), F.col("b_mz")), F.abs(F.col("a_rt") - F.col("b_rt"))
     edges = J.ppm_join(left, right, "a_mz", "b_mz", 20.0, ["one"], (ppm <= 20) & (rt <= 0.5)).withColumn("score", F.greatest(ppm / 20, rt / 0.5))
     return J.one_to_one(edges, "a", "b", ["score", "a", "b"]).select("a", "b", F.round("score", 6).alias("score"))
