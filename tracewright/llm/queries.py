@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard_join, langid, line_dedup, pii, quality, topk, toxicity, warc
+from . import bpe, decontam, jaccard_join, langid, line_dedup, pii, quality, topk, toxicity, urlfilter, warc
 from .samples import crc_fold
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -77,7 +77,11 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(warc.records(pages), warc.truncated(warc.records(warc.damaged(pages))))
 
 
-_ALL = (op1_toxicity, op2_jaccard_join, op3_line_dedup, op4_decontamination, op5_quality, op6_exact_topk, op7_pii, op8_language_id, op9_byte_bpe, op10_warc_fixity)
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(_read(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rule_table(spark, urlfilter.CONTRACT_RULES))
+
+
+_ALL = (op1_toxicity, op2_jaccard_join, op3_line_dedup, op4_decontamination, op5_quality, op6_exact_topk, op7_pii, op8_language_id, op9_byte_bpe, op10_warc_fixity, op13_url_filters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -85,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE, "op6_exact_topk": topk.ORACLE, "op10_warc_fixity": warc.ORACLE}
+    return {"op3_line_dedup": line_dedup.ORACLE, "op6_exact_topk": topk.ORACLE, "op10_warc_fixity": warc.ORACLE, "op13_url_filters": urlfilter.ORACLE}
