@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, decontam, jaccard_join, langid, line_dedup, pii, quality, topk, toxicity, urlfilter, warc
+from . import alignment, bpe, decontam, jaccard_join, langid, line_dedup, periodic, pii, quality, topk, toxicity, urlfilter, warc
 from .samples import crc_fold
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -84,11 +84,16 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.aligned(_read(spark, sf_dir, "documents"), public_tokenizers.path(A_FILE), public_tokenizers.path(B_FILE))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_runs(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic.digests(periodic.collapsed(docs))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(_read(spark, sf_dir, "pages").select("page_id", "url"), urlfilter.rule_table(spark, urlfilter.CONTRACT_RULES))
 
 
-_ALL = (op1_toxicity, op2_jaccard_join, op3_line_dedup, op4_decontamination, op5_quality, op6_exact_topk, op7_pii, op8_language_id, op9_byte_bpe, op10_warc_fixity, op11_tokenizer_alignment, op13_url_filters)
+_ALL = (op1_toxicity, op2_jaccard_join, op3_line_dedup, op4_decontamination, op5_quality, op6_exact_topk, op7_pii, op8_language_id, op9_byte_bpe, op10_warc_fixity, op11_tokenizer_alignment, op12_periodic_runs, op13_url_filters)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
