@@ -317,11 +317,11 @@ def test_topk_is_exact(spark):
     rows += [(900, None, 0), (901, [1.0, None] + [0.0] * 5, 0), (902, [float("nan")] * 7, 0), (903, [float("inf")] * 7, 0), (None, [0.1] * 7, 0), (50, rows[50][1], 0), (1000, [0.5, 0.5], 0), (1001, [0.25, -0.5], 0)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
     got = topk.top_k(frame, F.col("vec_id") % 50 == 0, 5).collect()
-    fine = {i: np.floor(256 * np.float32(v).astype(float)).astype(int) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
+    fine = [(i, np.floor(256 * np.float32(v).astype(float)).astype(int)) for i, v, _ in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     expected = []
-    for q in fine:
+    for n, (q, own) in enumerate(fine):
         if q % 50 == 0:
-            near = sorted((-int(fine[q] @ v), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))[:5]
+            near = sorted((-int(own @ v), i) for m, (i, v) in enumerate(fine) if m != n and len(v) == len(own))[:5]
             expected += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(expected)
     assert topk.top_k(frame.where("vec_id < 0"), F.col("vec_id") % 50 == 0, 5).count() == 0

@@ -78,3 +78,17 @@ def test_a_group_of_equal_vectors_and_few_rows(spark):
     rows = [(i, hot if i % 3 else [float(x) for x in rnd.normal(0, 1, 6)]) for i in range(400)] + [(1000, [1.0]), (1050, [])]
     assert found(spark, rows) == brute(rows, 5, 50)
     assert found(spark, []) == []
+
+
+def test_a_query_of_zeros_keeps_few_candidates(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 256)
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rnd.normal(0, 0.5, (1200, 4)))]
+    rows[0], rows[50] = (0, [0.0] * 4), (50, [0.0, 0.0, 0.25, 0.0])
+    rows[100:400] = [(i, [v[0], v[1], 0.5, v[3]]) for i, v in rows[100:400]]  # ties of the second query
+    assert found(spark, rows) == brute(rows, 5, 50)
+    table = pa.table({"dim": [4] * 1200, "block": [0] * 1200, "class": list(range(1200)), "first": [i for i, _ in rows], "vector": [[int(np.floor(256 * x)) for x in v] for _, v in rows]})
+    file_ = topk._block(table)
+    asked = pa.table({"query": [0], "dim": [4], "vector": pa.array([[0] * 4], pa.list_(pa.int64())), "certain": [0.0]})
+    kept = topk._scanned(asked, file_, 6, True)
+    assert sorted(kept.column("class").to_pylist()) == list(range(6))

@@ -8,6 +8,7 @@ keeps its cells' least and greatest components. They give a lower and an upper b
 1. First scan: blocks of queries go through parts of the file, a part being some blocks one after the other, and keep a running k + 1 best
    lower bounds for each query. The best of all parts give each query a bound that its k-th score reaches for certain.
 2. Second scan: a class stays a candidate of a query only if its upper bound reaches that bound.
+   Classes whose bounds are equal need no reading to tie; of those only the ones with the smallest ids stay.
 3. Read: a query's first k + 1 candidates by upper bound are read exactly; their last score is a better certain bound. The others are read
    only if their upper bound reaches it.
 
@@ -74,23 +75,29 @@ def _block(table: pa.Table) -> pa.Table:
     """A block of the file from its vectors."""
     dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
     cells, low, high = cells_of(_stacked(table.column("vector"), dim))
-    arrays = {"class": table.column("class").to_pylist(), "low": low.ravel(), "high": high.ravel()}
+    arrays = {c: table.column(c).to_pylist() for c in ("class", "first")} | {"low": low.ravel(), "high": high.ravel()}
     return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([block], pa.int32()), "cells": pa.array([cells.tobytes()], pa.binary())} | {k: pa.array([v], pa.list_(pa.int64())) for k, v in arrays.items()})
 
 
 def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds [query, vector] of inner products. Doubles round, so the bounds are moved by what that can amount to."""
+    """Lower and upper bounds [query, vector] of inner products. Where doubles round, the bounds are moved by what that can amount to; sums of
+    integers below 2 ** 53 are exact."""
     dim = queries.shape[1]
     least, most = (x[cells, np.arange(dim)].astype(np.float64).T for x in (low, high))
     q = queries.astype(np.float64)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     widest = np.maximum(np.abs(low.astype(np.float64)), np.abs(high.astype(np.float64))).max(0, initial=0.0)
-    slack = (np.abs(q) @ widest * ((4 * dim + 16) * 2.0**-53))[:, None]
+    most_of_all = np.abs(q) @ widest
+    slack = np.where(most_of_all < 2.0**52, 0.0, most_of_all * ((4 * dim + 16) * 2.0**-53))[:, None]
     return up @ least + down @ most - slack, up @ most + down @ least + slack
 
 
 def _scanned(asked: pa.Table, file_: pa.Table, k: int, final: bool) -> pa.Table:
-    """One block of queries against a part of the file: the k best lower bounds of each, or finally what reaches a query's certain bound."""
+    """One block of queries against a part of the file: the k best lower bounds of each, or finally what reaches a query's certain bound.
+
+    Where both bounds of a class are equal, they are its score, and of such classes that tie only the k with the smallest ids can matter: so
+    a query whose scores all tie keeps k candidates of a part, not all.
+    """
     out: list[tuple[np.ndarray, ...]] = []
     if asked.num_rows and file_.num_rows:
         dim = asked.column("dim")[0].as_py()
@@ -105,16 +112,27 @@ def _scanned(asked: pa.Table, file_: pa.Table, k: int, final: bool) -> pa.Table:
             lower, upper = bounds(q, cells, low, high)
             if final:
                 at, to = np.nonzero(upper >= certain[:, None])
-                out.append((name[at], own[to], upper[at, to]))
+                out.append((name[at], own[to], upper[at, to], lower[at, to] == upper[at, to], get("first")[to]))
             else:
                 best = -np.partition(-np.concatenate([best, lower], 1), k - 1, axis=1)[:, :k]
         if not final:
             at, to = np.nonzero(best > -np.inf)
             out.append((name[at], np.zeros(len(at), np.int64), best[at, to]))
     joined = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 3
+    if final and out:
+        joined = [x[_not_tied(*joined, k=k)] for x in joined]
     return pa.table({"query": pa.array(joined[0], pa.int64()), "class": pa.array(joined[1], pa.int64()), "bound": pa.array(joined[2], pa.float64())})
 
 
+def _not_tied(query: np.ndarray, _: np.ndarray, score: np.ndarray, known: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Which candidates stay: of those whose score is known, the k with the smallest ids for each query and score."""
+    order = np.lexsort((first, score, query, ~known))
+    query, score, known = query[order], score[order], known[order]
+    new = np.append(True, (query[1:] != query[:-1]) | (score[1:] != score[:-1]) | (known[1:] != known[:-1]))[: len(order)]
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[~known | (place < k)]
+
+
 def _scan(asked: DataFrame, file_: DataFrame, blocks: int, query_blocks: int, k: int, final: bool) -> DataFrame:
     """(query, class, bound) of all blocks of queries and all parts of the file. asked: query, dim, vector, certain."""
     parts = max(1, -(-blocks // PART))
@@ -138,8 +156,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     own = vectors.select(F.col(vec_id).cast("long").alias("id"), _integers(vector).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query")).where("id IS NOT NULL AND vector IS NOT NULL")
     rows = written(own.select("id", "is_query", "vector", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(1), "vector").alias("h2")))
     spread = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")  # over a written table
-    held = rows.groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.max("is_query").alias("asked"))
-    classes = written(held.select(F.monotonically_increasing_id().alias("class"), "h1", "h2", "vector", F.size("vector").alias("dim"), "asked"))
+    held = rows.groupBy("h1", "h2").agg(F.first("vector").alias("vector"), F.max("is_query").alias("asked"), F.min("id").alias("first"))
+    classes = written(held.select(F.monotonically_increasing_id().alias("class"), "h1", "h2", "vector", F.size("vector").alias("dim"), "asked", "first"))
     kept = _smallest(rows.select("id", "h1", "h2"), ["h1", "h2"], [F.col("id")], k + 1, spread)
     members = written(kept.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids")).join(classes.select("h1", "h2", "class"), ["h1", "h2"]).select("class", "h1", "h2", "ids"))
     facts = classes.agg(F.count("*"), F.count_if("asked"), F.min(F.array_min("vector")), F.max(F.array_max("vector")), F.max("dim")).first()
@@ -148,7 +166,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
     blocks, query_blocks = max(1, -(-facts[0] // BLOCK)), max(1, -(-facts[1] // QUERIES))
 
     block = F.pmod(F.xxhash64("h1", "h2"), F.lit(blocks)).cast("int").alias("block")
-    file_ = written(classes.select("dim", block, "class", "vector").groupBy("dim", "block").applyInArrow(_block, "dim int, block int, cells binary, class array<long>, low array<long>, high array<long>"))
+    file_ = written(classes.select("dim", block, "class", "first", "vector").groupBy("dim", "block").applyInArrow(_block, "dim int, block int, cells binary, class array<long>, first array<long>, low array<long>, high array<long>"))
     asked = classes.where("asked").select(F.col("class").alias("query"), "dim", "vector")
     # A query's class may be among its candidates and count once less, so k + 1 classes are looked for.
     lower = _scan(asked.withColumn("certain", F.lit(0.0)), file_, blocks, query_blocks, k + 1, False)
@@ -161,11 +179,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
         exact = wanted.join(classes.select("class", F.col("vector").alias("_v")), "class").join(asked.select("query", F.col("vector").alias("_q")), "query")
         return exact.select("query", "class", product.alias("score"))
 
-    by = W.partitionBy("query").orderBy(F.desc("upper"), "class")
-    ranked = written(left.select("query", "class", "upper", F.row_number().over(by).alias("_n")))
-    sure = written(read(ranked.where(F.col("_n") <= k + 1)))
+    first = written(_smallest(left.select("query", "class", "upper"), ["query"], [F.desc("upper"), F.col("class")], k + 1, F.pmod(F.xxhash64("class"), F.lit(SALTS))))
+    sure = written(read(first))
     bound = sure.groupBy("query").agg(F.min("score").alias("certain"))
-    others = ranked.where(F.col("_n") > k + 1).join(bound, "query").where(F.col("upper") >= F.col("certain"))
+    others = left.join(bound, "query").where(F.col("upper") >= F.col("certain")).join(first.select("query", "class"), ["query", "class"], "left_anti")
     scored = sure.unionByName(read(others.select("query", "class")))
 
     # Ids of the classes: all of a class have one score, so a query class needs k + 1 rows over its classes.
@@ -185,13 +202,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id",
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS u FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS u FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.u, c.u), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.u, c.u), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.n <> q.n AND len(c.u) = len(q.u)
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
