@@ -118,28 +118,6 @@ def correct_baseline(traces: DataFrame, smoothness: float = 1e5, asymmetry: floa
     return placed.mapInPandas(run, "trace_id int, idx int, rt double, intensity double, baseline double, residual double")
 
 
-def fit_rt_models(anchors: DataFrame) -> DataFrame:
-    """A line rt = slope * reference + intercept for each sample, from all anchors or without one outlier, whichever leaves the smaller median
-    residual; a sample with one anchor gets a shift. anchors: (sample_name, label, rt, reference)."""
-    rows = anchors.where("rt IS NOT NULL AND reference IS NOT NULL")
-    drops = rows.select("sample_name", F.col("label").alias("dropped")).unionByName(rows.select("sample_name", F.lit("").alias("dropped")).distinct())
-    tried = drops.join(rows, "sample_name").where("label <> dropped")
-    own = ["sample_name", "dropped"]
-    lines = tried.groupBy(*own).agg(F.count("*").alias("n"), F.regr_slope("rt", "reference").alias("slope"), F.regr_intercept("rt", "reference").alias("intercept"), F.avg(F.col("rt") - F.col("reference")).alias("shift"))
-    lines = lines.select(*own, "n", F.coalesce("slope", F.lit(1.0)).alias("slope"), F.when(F.col("slope").isNull(), F.col("shift")).otherwise(F.col("intercept")).alias("intercept"))
-    off = tried.join(lines, own).groupBy(*own, "n", "slope", "intercept").agg(F.percentile(F.abs(F.col("rt") - F.col("slope") * F.col("reference") - F.col("intercept")), 0.5).alias("residual"))
-    whole = (F.col("dropped") == "").cast("int")
-    # Without one anchor, three must be left.
-    usable = off.where((F.col("dropped") == "") | (F.col("n") >= 3))
-    by = W.partitionBy("sample_name").orderBy(F.round("residual", 9), F.round(F.abs(F.col("slope") - 1), 9), whole.desc(), "dropped")
-    return usable.withColumn("_n", F.row_number().over(by)).where("_n = 1").select("sample_name", "dropped", "n", "slope", "intercept", "residual")
-
-
-def normalised_rt(rt: Column) -> Column:
-    """A sample's RT on the reference's scale, by its line's slope and intercept."""
-    return (rt - F.col("intercept")) / F.col("slope")
-
-
 def predicted_delta(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Weighted mean of neighbouring anchors' deltas, with weights by RT and injection distance, and how well the neighbours agree."""
     weight = 1 / (0.25 + F.abs("d_rt")) / (1 + F.abs("d_order") / 10)

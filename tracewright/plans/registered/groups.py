@@ -12,6 +12,7 @@ from ...operators import joins as J
 from ...operators import models as M
 from ...operators import traces as T
 from ...operators.graph import components
+from ...operators.rtmodels import fit_rt_models, normalised_rt
 from ...sources import readers, sinks
 from ...streaming import streams
 from ..catalog import query
@@ -205,26 +206,64 @@ def trc02(b):
     return T.trapezoid(smooth).select("trace_id", _R6("area"))
 
 
-_MODEL_SQL = """an AS (SELECT sample_name, s.label, rt, CAST(substr(s.label, 5) AS DOUBLE) + 4.1e0 AS reference FROM standards s),
-tr AS (SELECT d.sample_name, d.dropped, a.label, a.rt, a.reference FROM (SELECT sample_name, label AS dropped FROM an UNION ALL SELECT DISTINCT sample_name, '' FROM an) d JOIN an a ON a.sample_name = d.sample_name AND a.label <> d.dropped),
-ln AS (SELECT sample_name, dropped, count(*) AS n, coalesce(regr_slope(rt, reference), 1) AS slope, CASE WHEN regr_slope(rt, reference) IS NULL THEN avg(rt - reference) ELSE regr_intercept(rt, reference) END AS intercept FROM tr GROUP BY ALL),
-rs AS (SELECT tr.sample_name, tr.dropped, n, slope, intercept, median(abs(rt - slope * reference - intercept)) AS residual FROM tr JOIN ln USING (sample_name, dropped) GROUP BY ALL),
-bm AS (SELECT *, row_number() OVER (PARTITION BY sample_name ORDER BY round(residual, 9), round(abs(slope - 1), 9), dropped <> '', dropped) AS k FROM rs WHERE dropped = '' OR n >= 3),
-md AS (SELECT * FROM bm WHERE k = 1)"""
-
-
-def _anchors(b):
-    return b.standards.select("sample_name", "label", "rt", (F.substring("label", 5, 9).cast("double") + 4.1).alias("reference"))
-
-
-@query("trc05_rt_models", f"WITH {_MODEL_SQL} SELECT sample_name, dropped, n, round(slope, 6) AS slope, round(intercept, 5) AS intercept FROM md")
+# Choices of anchors: all, or from four on all but one; the best one's line, and the knots of those that rise.
+_MODEL_SQL = """an AS (
+  SELECT sample_name, label, max(rt) AS rt, CAST(substr(label, 5) AS DOUBLE) + 4.1e0 AS reference, count(*) OVER (PARTITION BY sample_name) AS total
+  FROM standards GROUP BY sample_name, label
+), tr AS (
+  SELECT d.sample_name, d.dropped, a.label, a.rt, a.reference
+  FROM (SELECT sample_name, label AS dropped FROM an WHERE total > 3 UNION ALL SELECT DISTINCT sample_name, '' FROM an) d
+  JOIN an a ON a.sample_name = d.sample_name AND a.label <> d.dropped
+), ln AS (
+  SELECT sample_name, dropped, count(*) AS n, coalesce(regr_slope(rt, reference), 1) AS slope,
+    CASE WHEN regr_slope(rt, reference) IS NULL THEN avg(rt - reference) ELSE regr_intercept(rt, reference) END AS intercept
+  FROM tr GROUP BY ALL
+), rs AS (
+  SELECT tr.sample_name, tr.dropped, n, slope, intercept, median(abs((rt - intercept) / slope - reference)) AS med, max(abs((rt - intercept) / slope - reference)) AS most
+  FROM tr JOIN ln USING (sample_name, dropped) GROUP BY ALL
+), bm AS (
+  SELECT *, row_number() OVER (
+    PARTITION BY sample_name ORDER BY slope BETWEEN 0.95 AND 1.05 AND most <= 0.0712345e0 DESC, dropped <> '', round(med, 12), round(abs(slope - 1), 12), dropped
+  ) AS k FROM rs
+), md AS (
+  SELECT bm.*, coalesce(o.rising, FALSE) AND bm.n >= 3 AS piecewise FROM bm LEFT JOIN (
+    SELECT sample_name, bool_and(rt > before) FILTER (WHERE before IS NOT NULL) AS rising FROM (
+      SELECT tr.sample_name, rt, lag(rt) OVER (PARTITION BY tr.sample_name ORDER BY reference) AS before FROM tr JOIN bm ON bm.k = 1 AND bm.sample_name = tr.sample_name AND bm.dropped = tr.dropped
+    ) r GROUP BY sample_name
+  ) o USING (sample_name) WHERE k = 1
+), kn AS (
+  SELECT tr.sample_name, rt AS a_rt, reference AS a_ref, lead(rt) OVER w AS b_rt, lead(reference) OVER w AS b_ref, row_number() OVER w AS place
+  FROM tr JOIN md ON md.sample_name = tr.sample_name AND md.dropped = tr.dropped AND piecewise WINDOW w AS (PARTITION BY tr.sample_name ORDER BY reference)
+), sg AS (
+  SELECT *, place = 1 AS first, place = max(place) OVER (PARTITION BY sample_name) AS last FROM kn WHERE b_rt IS NOT NULL
+), nm AS (
+  SELECT s.sample_name, s.label, s.rt, CASE WHEN piecewise THEN a_ref + (s.rt - a_rt) / (b_rt - a_rt) * (b_ref - a_ref) ELSE (s.rt - intercept) / slope END AS normalised
+  FROM standards s JOIN md USING (sample_name)
+  LEFT JOIN sg ON sg.sample_name = s.sample_name AND (s.rt > a_rt OR first) AND (s.rt <= b_rt OR last)
+)"""
+
+
+def _rt_models(b):
+    anchors = b.standards.select("sample_name", "label", "rt", (F.substring("label", 5, 9).cast("double") + 4.1).alias("reference"))
+    return fit_rt_models(anchors, residual_max=0.0712345, slope_min=0.95, slope_max=1.05)
+
+
+@query("trc05_rt_models", f"""
+WITH {_MODEL_SQL}, off AS (
+  SELECT tr.sample_name, median(abs(normalised - reference)) AS med, max(abs(normalised - reference)) AS most
+  FROM tr JOIN md ON md.sample_name = tr.sample_name AND md.dropped = tr.dropped JOIN nm ON nm.sample_name = tr.sample_name AND nm.label = tr.label GROUP BY ALL
+)
+SELECT sample_name, CASE WHEN n = 1 THEN 'shift' WHEN piecewise THEN 'piecewise' ELSE 'affine' END AS model_type, CAST(n AS INT) AS anchors,
+  CASE WHEN dropped = '' THEN 0 ELSE 1 END AS excluded, CASE WHEN piecewise THEN CAST(n AS INT) ELSE 0 END AS knots, round(slope, 6) AS slope, round(intercept, 5) AS intercept,
+  round(off.med, 6) AS median_residual, round(off.most, 6) AS max_residual
+FROM md JOIN off USING (sample_name)""")
 def trc05(b):
-    return M.fit_rt_models(_anchors(b)).select("sample_name", "dropped", "n", _R6("slope"), F.round("intercept", 5).alias("intercept"))
+    return _rt_models(b).select("sample_name", "model_type", "anchors", "excluded", F.size("knots").alias("knots"), _R6("slope"), F.round("intercept", 5).alias("intercept"), _R6("median_residual"), _R6("max_residual"))
 
 
-@query("trc06_apply_rt_model", f"WITH {_MODEL_SQL} SELECT sample_name, s.label, round((s.rt - intercept) / slope, 5) AS normalised FROM standards s JOIN md USING (sample_name)")
+@query("trc06_apply_rt_model", f"WITH {_MODEL_SQL} SELECT sample_name, label, round(normalised, 5) AS normalised FROM nm")
 def trc06(b):
-    return b.standards.join(M.fit_rt_models(_anchors(b)), "sample_name").select("sample_name", "label", F.round(M.normalised_rt(F.col("rt")), 5).alias("normalised"))
+    return b.standards.join(_rt_models(b), "sample_name").select("sample_name", "label", F.round(normalised_rt(F.col("rt")), 5).alias("normalised"))
 
 
 # Anchors are the compound's detected rows with an RT; a row isn't its own anchor.
