@@ -5,7 +5,7 @@ of both end at the same byte, a group ends. An A and a B token are linked where
 the number of documents that hold it linked, and of its links.
 
 Texts are cut before spaces between characters that aren't white space. Neither tokenizer has a token across such a place (checked for B's
-vocabulary when it is loaded), so each distinct cut is encoded and aligned once for a task, and a text is the row of its cuts.
+vocabulary when it is loaded), so each distinct cut of some megabytes of texts is encoded and aligned once, and a text is the row of its cuts.
 
 Pairs are counted by bitmaps. Each task numbers its documents in chunks of at most `CHUNK_DOCS` documents and about `CHUNK_LINKS` pairs; a
 chunk has, for each pair, a compressed bitmap of the documents that hold it, into which the bitmaps of batches are merged by OR, and bitmaps
@@ -23,11 +23,14 @@ an executor is lost. Documents of any length are whole. Empty tables give no row
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,8 @@ from ..functions.tables import written
 from .bpe import byte_characters
 
 CHUNK_DOCS, CHUNK_LINKS = 1 << 16, 2_000_000
-#: Bytes of cuts, ids and pairs that a task remembers before it forgets them all; longer cuts than `LONGEST` aren't remembered.
-REMEMBERED, LONGEST, ROWS = 64 << 20, 256, 512
+#: Characters of texts whose distinct cuts are aligned together, and of cuts that are encoded as one text.
+TAKEN, BLOCK = 12 << 20, 1 << 17
 #: A pair is one number, A's id times this plus B's.
 B_IDS = 1 << 20
 
@@ -51,15 +54,70 @@ _EMPTY = np.zeros(0, np.int64)
 
 
 @dataclass(frozen=True)
-class Cut:
-    """A cut's counts and aligned ids; `fine` says that both tokenizers give its bytes back."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
+class Cuts:
+    """Aligned cuts: counts by cut, the texts of their groups, and all pairs in a row, of which those of cut k begin at starts[k]. Cuts that
+    aren't fine, as a tokenizer doesn't give their bytes back, have none."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    groups: list[str]
     pairs: np.ndarray
-    fine: bool
+    starts: np.ndarray
+    fine: np.ndarray
+
+
+class _Bytes:
+    """The bytes of a vocabulary's tokens, all in a row."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.size = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.raw = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids in a row, and where each id's end."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.raw[np.arange(total) + np.repeat(self.start[ids] - (ends - size), size)], ends
+
+
+#: The pattern by which byte-level BPE of this family cuts texts; a fixed value of the format.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_level(path: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
+    """A function from texts to ids, special tokens being plain text, and each id's bytes, of a byte-level BPE in a tokenizers file.
+
+    Where the n-th merge makes the n-th id behind the single bytes, ids are ranks, and tiktoken gives the same ids several times faster than
+    the tokenizers library, which does it otherwise.
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    back = {c: b for b, c in enumerate(byte_characters())}
+    special = {t["id"]: t["content"] for t in spec.get("added_tokens", [])}
+    vocab = spec["model"]["vocab"]
+    own = [b""] * (max([*vocab.values(), *special]) + 1)
+    for token, i in vocab.items():
+        own[i] = token.encode() if i in special else bytes(back[c] for c in token)
+    for i, token in special.items():
+        own[i] = token.encode()
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+    cut = spec["pre_tokenizer"] or {}
+    plain = spec["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    ranked = [i for i in range(256 + len(pairs)) if i not in special] == list(range(256 + len(pairs))) and all(vocab.get(a + b) == 256 + k for k, (a, b) in enumerate(pairs))
+    if plain and ranked:
+        import tiktoken
+
+        ranks = {own[i]: i for i in range(256 + len(pairs))}
+        return tiktoken.Encoding(path, pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, own
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    return lambda text: library.encode(text, add_special_tokens=False).ids, own
 
 
 class Aligner:
@@ -67,56 +125,92 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        back = {c: b for b, c in enumerate(byte_characters())}
-        special = set(self.a.get_added_tokens_decoder())
-        vocab = self.a.get_vocab()
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.a_bytes[i] = token.encode() if i in special else bytes(back[c] for c in token)
+
+        self._encode_a, a_bytes = byte_level(a_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         if self.b.get_piece_size() > B_IDS:
             raise ValueError(f"more than {B_IDS} pieces")
-        self.b_bytes = []
+        b_bytes = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
-            self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
+            b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
             if "▁" in piece.lstrip("▁"):
                 raise ValueError(f"piece {piece!r} goes over a space between words")
+        self.a_bytes, self.b_bytes = _Bytes(a_bytes), _Bytes(b_bytes)
         self.space = self.b.piece_to_id("▁")
-
-    def align(self, cuts: list[str]) -> list[Cut]:
-        """Each cut starts with a space."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast(cuts, add_special_tokens=False)]
-        b_ids = self.b.encode([c[1:] for c in cuts], num_threads=1)
-        return [self._one(c, a, b or [self.space]) for c, a, b in zip(cuts, a_ids, b_ids, strict=True)]
-
-    def _one(self, cut: str, a: list[int], b: list[int]) -> Cut:
-        raw = cut.encode()
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-            return Cut(0, 0, 0, "", _EMPTY, False)
-        groups, pairs, i, j, own_a, own_b, end_a, end_b = [], [], 0, 0, [], [], 0, 0
-        # Each step takes the token that starts next, on both sides where they start together.
-        while i < len(a) or j < len(b):
-            at_a, at_b = end_a, end_b
-            if at_a <= at_b:
-                own_a.append(a[i])
-                end_a += len(a_parts[i])
-                i += 1
-            if at_b <= at_a:
-                own_b.append(b[j])
-                end_b += len(b_parts[j])
-                j += 1
-            pairs.append(own_a[-1] * B_IDS + own_b[-1])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-                own_a, own_b = [], []
-        return Cut(len(a), len(b), len(groups), ";".join(groups), np.array(pairs, np.int64), True)
+        # Each id's decimal text with the mark behind it: a token's that isn't the last of its side of a group, and the last one's.
+        self.a_shown = [f"{i}{mark}" for mark in ",|" for i in range(len(a_bytes))]
+        self.b_shown = [f"{i}{mark}" for mark in ",;" for i in range(len(b_bytes))]
+
+    def _encoded(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Both tokenizers' ids of a text that starts with a space."""
+        return np.array(self._encode_a(text), np.int64), np.array(self.b.encode(text[1:], num_threads=1) or [self.space], np.int64)
+
+    def _gives_back(self, a: np.ndarray, b: np.ndarray, raw: np.ndarray) -> bool:
+        return all(np.array_equal(own.of(ids)[0], raw) for own, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+
+    def align(self, cuts: list[str]) -> Cuts:
+        """Cuts that start with one space and end in no white space are encoded many at a time, as they stand side by side."""
+        size = np.fromiter(map(len, map(str.encode, cuts)), np.int64)
+        fine = np.ones(len(cuts), bool)
+        a_parts, b_parts = [], []
+        block: list[int] = []
+        held = 0
+
+        def encode(rows: list[int]) -> None:
+            text = "".join([cuts[k] for k in rows])
+            a, b = self._encoded(text)
+            if self._gives_back(a, b, np.frombuffer(text.encode(), np.uint8)):
+                a_parts.append(a)
+                b_parts.append(b)
+            elif len(rows) > 1:
+                for k in rows:
+                    encode([k])
+            else:
+                fine[rows[0]] = False
+
+        order: list[int] = []
+        alone: list[int] = []
+        for k, cut in enumerate(cuts):
+            if len(cut) < 2 or cut[1].isspace() or cut[-1].isspace() or "▁" in cut:
+                alone.append(k)
+                continue
+            block.append(k)
+            order.append(k)
+            held += len(cut)
+            if held > BLOCK:
+                encode(block)
+                block, held = [], 0
+        for rows in (block, *[[k] for k in alone]):
+            if rows:
+                encode(rows)
+        order += alone
+        return self._aligned(np.array(order, np.int64), size, fine, np.concatenate([_EMPTY, *a_parts]), np.concatenate([_EMPTY, *b_parts]))
+
+    def _aligned(self, order: np.ndarray, size: np.ndarray, fine: np.ndarray, a: np.ndarray, b: np.ndarray) -> Cuts:
+        """order: the cuts as their tokens a and b stand in a row, those that aren't fine without tokens."""
+        ends = np.cumsum(np.where(fine, size, 0)[order])
+        a_ends, b_ends = np.cumsum(self.a_bytes.size[a]), np.cumsum(self.b_bytes.size[b])
+        both = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        first = np.append(True, both[1:] != both[:-1])[: len(both)]
+        places = both[first]  # each link ends where a token of either ends
+        common = np.append(both[1:] == both[:-1], False)[: len(both)][first]
+        a_at, b_at = np.searchsorted(a_ends, places), np.searchsorted(b_ends, places)
+        pairs = a[a_at] * B_IDS + b[b_at]
+        within = lambda stops: np.diff(np.searchsorted(stops, ends, "right"), prepend=0)
+        groups = places[common]
+        # Groups' texts: A's ids and then B's ids of each.
+        a_group, b_group = np.searchsorted(groups, a_ends), np.searchsorted(groups, b_ends)
+        a_last, b_last = np.isin(a_ends, groups, assume_unique=True), np.isin(b_ends, groups, assume_unique=True)
+        shown = [self.a_shown[i] for i in (a + a_last * len(self.a_bytes.size)).tolist()] + [self.b_shown[i] for i in (b + b_last * len(self.b_bytes.size)).tolist()]
+        turn = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        shown = [shown[i] for i in turn.tolist()]
+        n_a, n_b, n_groups, n_links = within(a_ends), within(b_ends), within(groups), within(places)
+        stops = np.cumsum(n_a + n_b).tolist()
+        texts = ["".join(shown[lo:hi])[:-1] for lo, hi in zip([0, *stops], stops)]  # noqa: B905
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return Cuts(n_a[back], n_b[back], n_groups[back], [texts[k] for k in back.tolist()], pairs, (np.cumsum(n_links) - n_links)[back], fine)
 
 
 @lru_cache(maxsize=1)
@@ -212,51 +306,57 @@ class _Chunk:
 def _index_batches(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[pa.RecordBatch]:
     aligner = _aligner(a_path, b_path)
     first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-    chunk, memo, held = _Chunk(first), {}, 0
+    chunk = _Chunk(first)
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            part = batch.slice(at, ROWS)
-            texts = [cuts_of(t or "") for t in part.column("text").to_pylist()]
-            if held > REMEMBERED:
-                memo.clear()
-                held = 0
-            new = list({c for cs in texts for c in cs if c not in memo})
-            for some in range(0, len(new), 4096):
-                memo.update(zip(new[some : some + 4096], aligner.align(new[some : some + 4096]), strict=True))
+        texts = batch.column("text").to_pylist()
+        for at, end in _ranges(texts):
+            numbers = defaultdict(count().__next__)
+            own = [np.fromiter(map(numbers.__getitem__, cuts_of(t or "")), np.int64) for t in texts[at:end]]
+            known = aligner.align(list(numbers))
+            n_links = known.n_a + known.n_b - known.n_groups  # a link ends with a token of A, of B, or of both
             out = {k: [] for k in ("place", "chunk", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")}
             pairs: list[np.ndarray] = []
             places: list[int] = []
             waiting = 0
-            for cs in texts:
+            for ks in own:
                 if chunk.docs == CHUNK_DOCS or chunk.size + waiting > CHUNK_LINKS:
                     chunk.add(*_linked(pairs, places))
                     yield from chunk.close()
                     chunk, pairs, places, waiting = _Chunk(chunk.number + 1), [], [], 0
-                own = [memo[c] for c in cs]
-                own = own if own and all(c.fine for c in own) else []
-                held_pairs = np.concatenate([_EMPTY, *[c.pairs for c in own]])
+                if not known.fine[ks].all():
+                    ks = ks[:0]
+                size = n_links[ks]
+                ends = np.cumsum(size)
+                total = int(ends[-1]) if len(ends) else 0
                 out["chunk"].append(chunk.number)
                 out["place"].append(chunk.docs)
-                out["n_a"].append(sum(c.n_a for c in own))
-                out["n_b"].append(sum(c.n_b for c in own))
-                out["n_groups"].append(sum(c.n_groups for c in own))
-                out["n_links"].append(len(held_pairs))
-                out["groups_sha256"].append(hashlib.sha256(";".join([c.groups for c in own]).encode()).hexdigest() if own else "")
-                pairs.append(held_pairs)
+                out["n_a"].append(int(known.n_a[ks].sum()))
+                out["n_b"].append(int(known.n_b[ks].sum()))
+                out["n_groups"].append(int(known.n_groups[ks].sum()))
+                out["n_links"].append(total)
+                out["groups_sha256"].append(hashlib.sha256(";".join([known.groups[k] for k in ks.tolist()]).encode()).hexdigest() if len(ks) else "")
+                pairs.append(known.pairs[np.arange(total) + np.repeat(known.starts[ks] - (ends - size), size)])
                 places.append(chunk.docs)
-                waiting += len(held_pairs)
+                waiting += total
                 chunk.docs += 1
             chunk.add(*_linked(pairs, places))
-            for c in new:
-                if len(c) > LONGEST:
-                    del memo[c]
-                else:
-                    held += 400 + 30 * len(c)
-            n = len(texts)
-            yield _rows(n, kind=pa.array(np.zeros(n, np.int32)), doc_id=part.column("doc_id"), **{k: pa.array(v) for k, v in out.items()})
+            n = end - at
+            yield _rows(n, kind=pa.array(np.zeros(n, np.int32)), doc_id=batch.column("doc_id").slice(at, n), **{k: pa.array(v) for k, v in out.items()})
     yield from chunk.close()
 
 
+def _ranges(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about `TAKEN` characters together, or of one longer text."""
+    at, held = 0, 0
+    for end, t in enumerate(texts):
+        held += len(t or "")
+        if held > TAKEN and end > at:
+            yield at, end
+            at, held = end, len(t or "")
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def _linked(pairs: list[np.ndarray], places: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([_EMPTY, *pairs]), np.repeat(np.array(places, np.int64), [len(p) for p in pairs])
 
