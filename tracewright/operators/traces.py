@@ -221,7 +221,21 @@ def selected(candidates: DataFrame, preferred: Column, tolerance: float) -> Data
 
 
 def gap_islands(rows: DataFrame, keys: list[str], value: str, gap: float, tie: str) -> DataFrame:
-    """`island`, numbered from 1: a new one starts where a value lies more than `gap` above the one before."""
-    by = W.partitionBy(*keys).orderBy(value, tie)
-    new = F.coalesce((F.col(value) - F.lag(value).over(by) > gap).cast("int"), F.lit(1))
-    return rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(by).cast("int")).drop("_new")
+    """`island`, numbered from 1: a new one starts where a value lies more than `gap` above the one before.
+
+    Values are cut into buckets, in which islands are counted, and then the buckets' ends alone are put in order for each key: no task sorts all
+    of a key's rows.
+    """
+    wide = rows.withColumn("_bucket", F.floor(F.col(value) / (64.0 * gap)))
+    by = W.partitionBy(*keys, "_bucket").orderBy(value, tie)
+    new = F.when(F.row_number().over(by) > 1, F.coalesce((F.col(value) - F.lag(value).over(by) > gap).cast("int"), F.lit(1))).otherwise(0)
+    marked = wide.withColumn("_new", new).withColumn("_in", F.sum("_new").over(by))
+    ends = marked.groupBy(*keys, "_bucket").agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_new").alias("_n"))
+    along = W.partitionBy(*keys).orderBy("_bucket")
+    opens = F.coalesce((F.col("_low") - F.lag("_high").over(along) > gap).cast("int"), F.lit(1))
+    counted = ends.withColumn("_opens", opens).withColumn("_base", F.sum(F.col("_opens") + F.col("_n")).over(along) - F.col("_n"))
+    other = counted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"), "_base")
+    same = F.col("_bucket").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return marked.join(other, same).select(*rows.columns, (F.col("_base") + F.col("_in")).cast("int").alias("island"))

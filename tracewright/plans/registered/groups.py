@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ...functions.columns import flags
+from ...operators import families as FM
 from ...operators import grouping as G
 from ...operators import joins as J
 from ...operators import models as M
@@ -91,6 +92,45 @@ def grp08(b):
     return components(pairs).select(F.col("node").alias("family_id"), F.col("component").alias("folded_into"))
 
 
+@query("grp07_claim_registry")
+def grp07_registry(b):
+    """Claims on equal and then on near peaks; a family's cells are its event members, and folded ones are for review only."""
+    size = b.cells.groupBy("family_id").agg(F.count("*").alias("event_members"))
+    families = b.families.join(size, "family_id").select("family_id", "center_mz", (F.col("evidence") == "folded").alias("review_only"), "event_members", F.lit(1).alias("event_clusters"))
+    return FM.claims(b.cells, families)
+
+
+def _folds(b):
+    return FM.folds(b.families, b.cells, FM.FoldLimits(detected_overlap=0.4, shared_detected=3, detected_jaccard=0.2, present_overlap=0.4))
+
+
+@query("grp08_greedy_folding")
+def grp08_greedy(b):
+    return _folds(b).select("family_id", "primary", "size", _R6("ppm"), _R6("rt_sec"), "shared_detected", _R6("detected_jaccard"))
+
+
+@query("grp08_folded_cells")
+def grp08_cells(b):
+    return FM.folded_cells(_folds(b), b.cells).select("family_id", "sample", "filled_from", "status", "area")
+
+
+def _consolidated(b):
+    """Detected cells just before the centre are the peaks that make a family up."""
+    owners = b.cells.where("status = 'detected' AND rt_delta_sec BETWEEN -30 AND 0").select("family_id", "sample")
+    return FM.consolidated(b.families.withColumn("review_only", F.col("evidence") == "folded"), owners)
+
+
+@query("grp11_consolidate")
+def grp11_consolidate(b):
+    rows = _consolidated(b)
+    return rows.select("family_id", "winner", "state", "family_count", "owner_count", _R6("center_mz"), _R6("center_rt"), _R6("product_mz"), _R6("loss_da"), "has_anchor", "review_only", F.size("seeds").alias("seeds"))
+
+
+@query("grp11_recentred_cells")
+def grp11_recentred(b):
+    return FM.recentred(_consolidated(b), b.cells)[1].select("family_id", "sample", "status", _R6("rt_delta_sec"))
+
+
 @query("grp12_attach_to_cluster", """
 WITH p AS (SELECT a.family_id, CAST(floor(b.center_rt) AS BIGINT) AS cluster, abs(a.center_mz - b.center_mz) <= 30 AND abs(a.center_rt - b.center_rt) <= 0.9e0 AS ok FROM families a JOIN families b ON b.has_anchor AND floor(a.center_rt) = floor(b.center_rt) WHERE NOT a.has_anchor)
 SELECT family_id, cluster, bool_and(ok) AS attaches FROM p GROUP BY ALL""")
