@@ -405,9 +405,12 @@ def _returned(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 
 def scores(index: Index) -> DataFrame:
-    """(chunk, place, n_best, count_sum) of every document with links: how many of them are best pairs', and the sum of their pairs' counts."""
+    """(chunk, place, n_best, count_sum) of every document with links: how many of them are best pairs', and the sum of their pairs' counts.
+
+    Pairs are as many as both vocabularies allow, too many to send to each executor, so that their join is a sorted one at any size.
+    """
     known = written(pair_counts(index).select("pair", "documents", "best"))
-    joined = index.bitmaps.join(known, "pair").select("chunk", "plane", "bits", "documents", "best")
+    joined = index.bitmaps.join(known.hint("merge"), "pair").select("chunk", "plane", "bits", "documents", "best")
     return joined.groupBy("chunk").applyInArrow(_returned, "chunk long, place int, n_best long, count_sum long")
 
 
