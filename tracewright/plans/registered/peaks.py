@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ...functions.tables import written
+from ...operators import peakquality as Q
 from ...operators import peaks as P
 from ...operators import traces as T
 from ..catalog import query
@@ -183,3 +184,76 @@ def trc04(b):
     by = W.partitionBy("trace_id").orderBy(F.desc("apex_intensity"), "region")
     rows = curves.withColumn("reference", F.first("curve").over(by))
     return rows.select("trace_id", "region", F.round(P.shape_similarity("curve", "reference"), 6).alias("similarity"))
+
+
+_QUALITY_CELLS = """qc AS (
+  SELECT trace_id, k, CASE WHEN (trace_id + k) % 11 <> 0 THEN (trace_id % 7) * 0.3e0 + k END AS start_rt, (trace_id % 7) * 0.3e0 + k + (trace_id % 5 - k) * 0.35e0 AS end_rt
+  FROM (SELECT DISTINCT trace_id FROM traces UNION ALL SELECT max(trace_id) + 1 FROM traces) t CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) c
+)"""
+
+
+@query("flt34_peak_quality_vectors", f"""
+WITH {_QUALITY_CELLS}, p AS (
+  SELECT trace_id, rt, intensity, row_number() OVER w AS pos, abs(intensity - lag(intensity) OVER w) AS step FROM traces WINDOW w AS (PARTITION BY trace_id ORDER BY rt, intensity)
+), j AS (
+  SELECT qc.*, pos, rt, intensity, step, coalesce(rt BETWEEN start_rt AND end_rt, FALSE) AS within FROM qc LEFT JOIN p USING (trace_id)
+), f AS (
+  SELECT trace_id, k, count(pos) AS points, count(*) FILTER (WHERE within) AS m, max(intensity) FILTER (WHERE within) AS top, max(intensity) FILTER (WHERE NOT within) AS outer_top,
+    arg_min(intensity, pos) FILTER (WHERE within) AS first_in, arg_max(intensity, pos) FILTER (WHERE within) AS last_in, median(step) * 0.7413e0 AS steps,
+    CASE WHEN count(pos) = 0 THEN 'no_raw_trace_vector' WHEN count(pos) < 5 THEN 'insufficient_raw_trace_vector_points' WHEN any_value(start_rt) IS NULL THEN 'cell_boundary_missing_for_peak_quality_vector'
+      WHEN any_value(end_rt) <= any_value(start_rt) THEN 'cell_boundary_invalid_for_peak_quality_vector' WHEN count(*) FILTER (WHERE within) < 3 THEN 'insufficient_boundary_vector_points' END AS empty
+  FROM j GROUP BY trace_id, k
+), v AS (
+  SELECT j.*, f.* EXCLUDE (trace_id, k) FROM j JOIN f USING (trace_id, k) WHERE empty IS NULL
+), b AS (
+  SELECT trace_id, k, median(intensity) AS base FROM v WHERE NOT within OR points - m < 3 GROUP BY ALL
+), d AS (
+  SELECT trace_id, k, base, median(abs(intensity - base)) * 1.4826e0 AS spread FROM v JOIN b USING (trace_id, k) WHERE NOT within OR points - m < 3 GROUP BY ALL
+), a AS (
+  SELECT trace_id, k, min(pos) FILTER (WHERE within AND intensity = top) AS apex FROM v GROUP BY ALL
+), h AS (
+  SELECT d.*, apex, top, outer_top, CASE WHEN top > base THEN base + (top - base) / 2 END AS half, CASE WHEN spread > 0 THEN spread ELSE steps END AS noise
+  FROM d JOIN a USING (trace_id, k) JOIN f USING (trace_id, k)
+), c AS (
+  SELECT trace_id, k, max(pos) FILTER (WHERE pos < apex AND intensity <= half) AS lo, min(pos) FILTER (WHERE pos > apex AND intensity <= half) AS hi FROM v JOIN h USING (trace_id, k) GROUP BY ALL
+), x AS (
+  SELECT c.trace_id, c.k, top_p.rt AS apex_rt, CASE WHEN l2.intensity = l1.intensity THEN l1.rt ELSE l1.rt + (l2.rt - l1.rt) * (half - l1.intensity) / (l2.intensity - l1.intensity) END AS left_rt,
+    CASE WHEN r2.intensity = r1.intensity THEN r1.rt ELSE r1.rt + (r2.rt - r1.rt) * (half - r1.intensity) / (r2.intensity - r1.intensity) END AS right_rt
+  FROM c JOIN h USING (trace_id, k) LEFT JOIN p l1 ON l1.trace_id = c.trace_id AND l1.pos = lo LEFT JOIN p l2 ON l2.trace_id = c.trace_id AND l2.pos = lo + 1
+    LEFT JOIN p r1 ON r1.trace_id = c.trace_id AND r1.pos = hi LEFT JOIN p r2 ON r2.trace_id = c.trace_id AND r2.pos = hi - 1 LEFT JOIN p top_p ON top_p.trace_id = c.trace_id AND top_p.pos = apex
+), s1 AS (
+  SELECT trace_id, k, pos, intensity - lag(intensity) OVER (PARTITION BY trace_id, k ORDER BY pos) AS delta FROM v WHERE within
+), s2 AS (
+  SELECT trace_id, k, (delta > 0) <> (lag(delta) OVER (PARTITION BY trace_id, k ORDER BY pos) > 0) AS turn FROM s1 WHERE delta <> 0
+), z AS (
+  SELECT trace_id, k, count(*) FILTER (WHERE turn) / CAST(count(turn) AS DOUBLE) AS turns, count(turn) AS n FROM s2 GROUP BY ALL
+), e AS (
+  SELECT f.trace_id, f.k, empty, points, CASE WHEN empty IS NULL OR empty LIKE '%boundary_vector_points' THEN m ELSE 0 END AS inside,
+    CASE WHEN noise > 0 THEN greatest(0, h.top - base) / noise END AS signal_to_noise, CASE WHEN right_rt > left_rt THEN (right_rt - left_rt) * 60 END AS fwhm_sec,
+    CASE WHEN empty IS NULL AND f.top > 0 THEN greatest(0, least(1, (f.top - greatest(first_in, last_in)) / f.top)) END AS sharpness,
+    CASE WHEN empty IS NULL AND m >= 4 THEN CASE WHEN coalesce(z.n, 0) < 1 THEN 0 ELSE turns END END AS zigzag,
+    CASE WHEN right_rt > left_rt AND apex_rt > left_rt THEN greatest(0, right_rt - apex_rt) / (apex_rt - left_rt) END AS tailing_ratio,
+    CASE WHEN empty IS NULL AND f.outer_top > 0 THEN f.top / f.outer_top END AS boundary_margin_ratio
+  FROM f LEFT JOIN h USING (trace_id, k) LEFT JOIN x USING (trace_id, k) LEFT JOIN z USING (trace_id, k)
+), n AS (
+  SELECT *, (signal_to_noise IS NOT NULL)::INT + (fwhm_sec IS NOT NULL)::INT + (sharpness IS NOT NULL)::INT + (zigzag IS NOT NULL)::INT + (tailing_ratio IS NOT NULL)::INT + (boundary_margin_ratio IS NOT NULL)::INT AS feature_count,
+    concat_ws('_', CASE WHEN signal_to_noise < 3 THEN 'low_signal_to_noise_proxy' END, CASE WHEN fwhm_sec IS NULL THEN 'fwhm_unavailable' END, CASE WHEN sharpness < 0.1 THEN 'low_peak_sharpness' END, CASE WHEN zigzag > 0.6 THEN 'high_local_zigzag' END) AS against
+  FROM e
+)
+SELECT trace_id, k, CASE WHEN empty IS NOT NULL THEN 'not_available' WHEN feature_count < 4 THEN 'inconclusive' WHEN against <> '' THEN 'partial_support' ELSE 'supportive' END AS status,
+  CASE WHEN empty IS NOT NULL THEN empty WHEN feature_count < 4 THEN 'raw_trace_peak_quality_vector_incomplete' WHEN against <> '' THEN 'raw_trace_peak_quality_vector_partial_' || against ELSE 'raw_trace_peak_quality_vector_supportive' END AS reason,
+  points, inside, round(signal_to_noise, 6) AS signal_to_noise, round(fwhm_sec, 4) AS fwhm_sec, round(sharpness, 6) AS sharpness, round(zigzag, 6) AS zigzag, round(tailing_ratio, 5) AS tailing_ratio,
+  round(boundary_margin_ratio, 6) AS boundary_margin_ratio, feature_count
+FROM n""")
+def flt34(b):
+    """Two cells on each trace, some of them without a start, turned round or beyond it, and two of a trace that doesn't exist."""
+    traces = b.traces
+    ids = traces.select("trace_id").distinct().unionByName(traces.agg((F.max("trace_id") + 1).alias("trace_id")))
+    cells = ids.select("trace_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    start = (F.col("trace_id") % 7) * 0.3 + F.col("k")
+    cells = cells.withColumns({"start_rt": F.when((F.col("trace_id") + F.col("k")) % 11 != 0, start), "end_rt": start + (F.col("trace_id") % 5 - F.col("k")) * 0.35})
+    found = Q.quality_vectors(traces, cells)
+    return found.select(
+        "trace_id", "k", "status", "reason", "points", "inside", _R6("signal_to_noise"), F.round("fwhm_sec", 4).alias("fwhm_sec"), _R6("sharpness"), _R6("zigzag"), F.round("tailing_ratio", 5).alias("tailing_ratio"),
+        _R6("boundary_margin_ratio"), "feature_count",
+    )
