@@ -34,10 +34,15 @@ class ResolverConfig:
     min_height: float = 20.0
     min_relative: float = 0.05
     min_continuity: float = 0.5
+    # The Savitzky-Golay resolver's own.
+    smooth_window: int = 15
+    smooth_order: int = 3
+    min_prominence_ratio: float = 0.1
+    relative_height: float = 0.95
 
     def relaxed(self) -> ResolverConfig:
         """What recovery near a preferred RT uses: a quarter of the relative and half of the absolute height, nearly no valleys, longer peaks."""
-        return replace(self, min_relative=max(0.01, self.min_relative * 0.25), min_height=max(5.0, self.min_height * 0.5), min_ratio=min(self.min_ratio, 1.05), max_minutes=self.max_minutes * 1.5)
+        return replace(self, min_relative=max(0.01, self.min_relative * 0.25), min_height=max(5.0, self.min_height * 0.5), min_ratio=min(self.min_ratio, 1.05), max_minutes=self.max_minutes * 1.5, min_prominence_ratio=max(0.01, self.min_prominence_ratio * 0.25))
 
 
 #: Settings by name, for callers that choose one by its name.
@@ -72,18 +77,28 @@ def recovered(candidates: DataFrame, most: float = 0.35, least_share: float = 0.
     return ranked.where((F.col("_n") == 1) & (F.col("_off") <= most) & (F.col("apex_intensity") >= F.col("_top") * least_share)).drop("_off", "_n", "_top")
 
 
-def detect_peaks(traces: DataFrame, preferred: DataFrame | None = None, config: ResolverConfig = ResolverConfig(), resolver: Resolver = resolve, tolerance: float = 0.35) -> DataFrame:
+def detect_peaks(traces: DataFrame, preferred: DataFrame | None = None, config: ResolverConfig = ResolverConfig(), resolver: Resolver | str = "local_minimum", tolerance: float = 0.35) -> DataFrame:
     """A row for each trace: its status, the chosen peak, its area in counts times seconds, its flags and where it came from.
 
     preferred: (trace_id, preferred_rt). The strongest candidate near the preferred RT is chosen, without one there the strongest of all.
     Where the choice is missing or far from the preferred RT, the resolver runs once more with relaxed settings and may recover a peak there.
-    resolver: any function that gives the columns of resolve(). Statuses: OK, WINDOW_TOO_SHORT (under three points), NO_SIGNAL and
+    resolver: local_minimum, savgol, or any function that gives the columns of resolve(). Statuses: OK, WINDOW_TOO_SHORT (under three points, or under savgol's window), NO_SIGNAL and
     PEAK_NOT_FOUND; without OK the peak's columns are null.
     """
+    least, name = 3, "local_minimum" if resolver is resolve else resolver if isinstance(resolver, str) else getattr(resolver, "__name__", "resolver")
+    if isinstance(resolver, str):
+        if resolver not in ("local_minimum", "savgol"):
+            raise ValueError(f"unknown resolver {resolver!r}")
+        if resolver == "savgol":
+            from .proposals import resolve_savgol
+
+            least, resolver = max(3, config.smooth_window), resolve_savgol
+        else:
+            resolver = resolve
     facts = traces.groupBy("trace_id").agg(F.count("*").alias("_points"), F.max("intensity").alias("_top"))
     wanted = (facts.select("trace_id").withColumn("preferred_rt", F.lit(None).cast("double")) if preferred is None else preferred.select("trace_id", "preferred_rt"))
     facts = written(facts)
-    usable = facts.where("_points >= 3 AND _top > 0").select("trace_id")
+    usable = facts.where((F.col("_points") >= least) & (F.col("_top") > 0)).select("trace_id")
     own = traces.join(usable, "trace_id", "left_semi")
     candidates = written(resolver(own, config).join(wanted, "trace_id", "left"))
     near = F.coalesce(F.abs(F.col("apex_rt") - F.col("preferred_rt")) <= tolerance, F.lit(False))
@@ -93,10 +108,10 @@ def detect_peaks(traces: DataFrame, preferred: DataFrame | None = None, config:
     relaxed = resolver(own.join(asked.select("trace_id"), "trace_id", "left_semi"), config.relaxed()).join(asked, "trace_id")
     back = written(recovered(relaxed, tolerance))
     columns = ["trace_id", "left", "right", "scans", "apex_idx", "apex_rt", "apex_intensity", "flags"]
-    kept = chosen.join(back.select("trace_id"), "trace_id", "left_anti").select(*columns, F.lit("local_minimum").alias("source"))
+    kept = chosen.join(back.select("trace_id"), "trace_id", "left_anti").select(*columns, F.lit(name).alias("source"))
     best = written(kept.unionByName(back.select(*columns, F.lit("preferred_rt_recovery").alias("source"))))
     area = T.trapezoid(T.inside(own, best.select("trace_id", "left", "right"), ("trace_id",)))
-    status = first_of((F.col("_points") < 3, "WINDOW_TOO_SHORT"), (F.col("_top") <= 0, "NO_SIGNAL"), (F.col("apex_idx").isNull(), "PEAK_NOT_FOUND"), otherwise="OK")
+    status = first_of((F.col("_points") < least, "WINDOW_TOO_SHORT"), (F.col("_top") <= 0, "NO_SIGNAL"), (F.col("apex_idx").isNull(), "PEAK_NOT_FOUND"), otherwise="OK")
     return facts.join(best, "trace_id", "left").join(area, "trace_id", "left").select("trace_id", status.alias("status"), "source", *columns[1:], "area")
 
 
@@ -153,8 +168,8 @@ def _at(frame: DataFrame, place: str, *names: str) -> DataFrame:
 
 def boundary_hypotheses(traces: DataFrame, candidates: DataFrame) -> DataFrame:
     """(trace_id, region, apex_idx, left, right, sources, rt_left, rt_right, width, area, scans): ways to bound each candidate's peak, equal ones
-    merged with the names of their sources: its own interval, half of its height above its edges, a twentieth of it, and the unbroken descent on
-    both sides. right is exclusive. candidates: columns of resolve()."""
+    merged with the names of their sources: its own interval, half of its height above its edges, a twentieth of it, the unbroken descent on both
+    sides and, where candidates have a wavelet_scale, as many points around the apex. right is exclusive. candidates: columns of resolve()."""
     size = traces.groupBy("trace_id").agg(F.count("*").alias("_n"))
     candidates = written(candidates)
     cut = candidates.select("trace_id", "region", "apex_idx", "left", (F.col("right") - 1).alias("last"), "apex_intensity")
@@ -178,7 +193,13 @@ def boundary_hypotheses(traces: DataFrame, candidates: DataFrame) -> DataFrame:
         "trace_id", "region", "apex_idx", F.coalesce("_l", F.lit(0)).alias("_left"), F.coalesce(F.col("_r") + 1, F.col("_n")).alias("_right"), F.struct(F.lit(3).alias("k"), F.lit("derivative_zero_crossing").alias("name")).alias("_source")
     )
     own = candidates.select("trace_id", "region", "apex_idx", F.col("left").alias("_left"), F.col("right").alias("_right"), F.struct(F.lit(0).alias("k"), F.lit("candidate_interval").alias("name")).alias("_source"))
-    every = own.unionByName(threshold(0.5, "half_height", 1)).unionByName(threshold(0.05, "baseline_return", 2)).unionByName(descent).join(size, "trace_id")
+    every = own.unionByName(threshold(0.5, "half_height", 1)).unionByName(threshold(0.05, "baseline_return", 2)).unionByName(descent)
+    if "wavelet_scale" in candidates.columns:
+        points = F.greatest(F.lit(2), F.bround("wavelet_scale").cast("int"))
+        start = F.col("apex_idx") - F.floor(points / 2).cast("int")
+        source = F.struct(F.lit(4).alias("k"), F.lit("cwt_width").alias("name")).alias("_source")
+        every = every.unionByName(candidates.where("wavelet_scale > 0").select("trace_id", "region", "apex_idx", start.alias("_left"), (start + points).alias("_right"), source))
+    every = every.join(size, "trace_id")
     left = F.greatest(F.lit(0), F.least(F.col("_left"), F.col("_n") - 2))
     bounded = every.withColumn("left", left.cast("int")).withColumn("right", F.greatest(F.col("left") + 2, F.least(F.col("_right"), F.col("_n"))).cast("int"))
     merged = bounded.groupBy("trace_id", "region", "apex_idx", "left", "right").agg(F.array_sort(F.collect_list("_source"))["name"].alias("sources"))

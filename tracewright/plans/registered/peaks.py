@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ...functions.tables import written
 from ...operators import peakquality as Q
 from ...operators import peaks as P
+from ...operators import proposals as PR
 from ...operators import traces as T
 from ..catalog import query
 from .traces import _CONT, _PEAKS, _REGIONS, _regions
@@ -257,3 +258,28 @@ def flt34(b):
         "trace_id", "k", "status", "reason", "points", "inside", _R6("signal_to_noise"), F.round("fwhm_sec", 4).alias("fwhm_sec"), _R6("sharpness"), _R6("zigzag"), F.round("tailing_ratio", 5).alias("tailing_ratio"),
         _R6("boundary_margin_ratio"), "feature_count",
     )
+
+
+_FIT = PR.polynomial_fit(7, 3)
+_ROWS = "[" + ", ".join("[" + ", ".join(f"{w!r}" for w in row) + "]" for row in _FIT) + "]"
+
+
+@query("win05_savgol", f"""
+WITH n AS (SELECT *, count(*) OVER (PARTITION BY trace_id) AS n FROM traces), p AS (SELECT *, CASE WHEN idx < 3 THEN idx WHEN idx >= n - 3 THEN idx - n + 7 ELSE 3 END AS place FROM n)
+SELECT p.trace_id, p.idx, CASE WHEN any_value(p.n) >= 7 THEN round(sum(t.intensity * {_ROWS}[p.place + 1][t.idx - p.idx + p.place + 1]), 6) END AS smoothed
+FROM p JOIN traces t ON t.trace_id = p.trace_id AND t.idx BETWEEN p.idx - p.place AND p.idx - p.place + 6 GROUP BY p.trace_id, p.idx""")
+def win05_edges(b):
+    return PR.savgol(b.traces, 7, 3).select("trace_id", "idx", _R6("smoothed"))
+
+
+@query("trc03_savgol_detection")
+def trc03_savgol(b):
+    config = P.ResolverConfig(smooth_window=7)
+    return P.detect_peaks(b.traces, config=config, resolver="savgol").select("trace_id", "status", "source", "left", "right", "apex_idx", F.round("area", 3).alias("area"))
+
+
+@query("win15_wavelet_boundaries")
+def win15_wavelet(b):
+    found = written(P.resolve(b.traces))
+    rows = P.boundary_hypotheses(b.traces, PR.with_scales(found, PR.wavelet_candidates(b.traces)))
+    return rows.select("trace_id", "region", "left", "right", F.array_join("sources", ";").alias("sources"), _R6("width"), F.round("area", 3).alias("area"), "scans")
