@@ -48,6 +48,9 @@ class ResolverConfig:
 #: Settings by name, for callers that choose one by its name.
 PROFILES = {"default": ResolverConfig(), "relaxed": ResolverConfig().relaxed(), "strict": ResolverConfig(min_ratio=3.0, min_relative=0.1)}
 
+#: Limits of merges: the gap between intervals in minutes, the gain in area, and the distance of apexes in minutes.
+MERGE_GAP, MERGE_RATIO, MERGE_APEX = 0.08, 1.2, 0.03
+
 Resolver = Callable[[DataFrame, ResolverConfig], DataFrame]
 
 
@@ -230,14 +233,11 @@ def boundary_score(baseline: Column, continuity: Column, scans: Column, width: C
     }
 
 
-def region_verdicts(boundaries: DataFrame, least_scans: int = 3) -> DataFrame:
-    """(trace_id, status, verdict): what the scored boundaries of a trace say about its selected candidate, by the first rule that holds: another
-    boundary of it covers neighbours, adjacent intervals merge, several intervals beat it, a neighbour beats it, a wider boundary of it does.
-
-    boundaries: trace_id, region, boundary_id, is_interval, selected, rt_left, apex_rt, rt_right, area, scans, score. Intervals of candidates
-    don't overlap, so all with enough scans are the supported ones."""
+def _region_facts(boundaries: DataFrame, least_scans: int, envelope: bool = False) -> DataFrame:
+    """region_verdicts() with what it rests on: the current boundary c, source (how a merge is suggested), the supported intervals' number _k and
+    widest gap _gap and, with envelope, their outermost _left and _right and the apex of the largest, _apex."""
     key = F.struct("score", "area", F.col("is_interval").cast("int").alias("own"), "boundary_id")
-    best = lambda c: F.max(F.when(c, F.struct(key.alias("key"), "region", "boundary_id", "rt_left", "rt_right", "area", "scans", "score")))
+    best = lambda c: F.max(F.when(c, F.struct(key.alias("key"), "region", "boundary_id", "rt_left", "rt_right", "area", "scans", "score", *(["apex_rt", "left", "right"] if envelope else []))))
     boundaries = written(boundaries)
     current = boundaries.groupBy("trace_id").agg(F.coalesce(best(F.col("selected") & F.col("is_interval")), best(F.col("selected"))).alias("c"))
     rows = written(boundaries.join(current, "trace_id"))
@@ -251,17 +251,57 @@ def region_verdicts(boundaries: DataFrame, least_scans: int = 3) -> DataFrame:
     facts = rows.groupBy("trace_id", "c").agg(
         F.count("*").alias("_n"), best(wide).alias("w"), F.max(F.when((F.col("region") != c("region")) & enough, F.col("score"))).alias("_neighbour"), F.max("score").alias("_top"),
         F.count_if(supported).alias("_k"), F.sum(F.when(supported, F.col("score"))).alias("_total"), F.sum(F.when(supported, F.col("area"))).alias("_area"),
+        *([F.min(F.when(supported, F.col("left"))).alias("_left"), F.max(F.when(supported, F.col("right"))).alias("_right"), F.max_by("apex_rt", F.when(supported, F.struct("area", -F.col("rt_left")))).alias("_apex")] if envelope else []),
     )
     covered = rows.join(facts.select("trace_id", "w"), "trace_id").where((F.col("region") != c("region")) & F.col("apex_rt").between(F.col("w.rt_left"), F.col("w.rt_right"))).select("trace_id").distinct().withColumn("_covers", F.lit(True))
     whole = facts.join(gaps, "trace_id", "left").join(covered, "trace_id", "left")
     several = F.col("_k") >= 2
     gain = F.when(c("area") <= 0, F.lit(float("inf"))).otherwise(F.round(F.col("_area") / c("area"), 5))
     verdict = first_of(
-        (F.col("c").isNull() | (c("scans") < least_scans) | (F.col("_n") == 1), "insufficient_evidence"), (F.col("_covers"), "merge_suggested"), (several & (F.col("_gap") <= 0.08) & (gain <= 1.2), "merge_suggested"),
+        (F.col("c").isNull() | (c("scans") < least_scans) | (F.col("_n") == 1), "insufficient_evidence"), (F.col("_covers"), "merge_suggested"), (several & (F.col("_gap") <= MERGE_GAP) & (gain <= MERGE_RATIO), "merge_suggested"),
         (several & (F.col("_total") >= F.col("_top") + 20), "split_supported"), (F.col("_neighbour") >= c("score") + 15, "neighbor_apex_preferred"), (F.col("w").isNotNull(), "wider_boundary_preferred"), otherwise="current_supported",
     )
     status = first_of((F.col("c").isNull(), "skipped_no_candidate"), (c("scans") < least_scans, "skipped_low_scan_support"), otherwise="evaluated")
-    return whole.select("trace_id", status.alias("status"), verdict.alias("verdict"))
+    suggested = F.when(F.col("verdict") == "merge_suggested", F.when(F.col("_covers"), "same_apex_wider_boundary_merge").otherwise("adjacent_wis_local_minimum_merge"))
+    return whole.withColumn("status", status).withColumn("verdict", verdict).withColumn("source", suggested)
+
+
+def region_verdicts(boundaries: DataFrame, least_scans: int = 3) -> DataFrame:
+    """(trace_id, status, verdict): what the scored boundaries of a trace say about its selected candidate, by the first rule that holds: another
+    boundary of it covers neighbours, adjacent intervals merge, several intervals beat it, a neighbour beats it, a wider boundary of it does.
+
+    boundaries: trace_id, region, boundary_id, is_interval, selected, rt_left, apex_rt, rt_right, area, scans, score. Intervals of candidates
+    don't overlap, so all with enough scans are the supported ones."""
+    return _region_facts(boundaries, least_scans).select("trace_id", "status", "verdict")
+
+
+def safe_merge(traces: DataFrame, boundaries: DataFrame, least_scans: int = 3) -> DataFrame:
+    """(trace_id, verdict, outcome, reason, left, right, rt_left, rt_right, scans, area, area_ratio, intervals, gap): each trace's selected boundary,
+    widened to the envelope of its adjacent intervals where the evidence allows it.
+
+    boundaries: as for region_verdicts(), with left and right (exclusive). Only a suggested merge of adjacent intervals is eligible, if the gaps
+    between them are small and the largest interval's apex is the selected one's, within MERGE_APEX. Then the envelope is integrated anew; its
+    area must be 1 to MERGE_RATIO times the selected one's. outcome: promoted, rejected (a merge was suggested; reason says why not) or kept.
+    """
+    facts = _region_facts(boundaries, least_scans, envelope=True).where("c IS NOT NULL")
+    running = _running_area(traces)
+    rows = facts.withColumn("_last", F.col("_right") - 1).join(_at(running, "_left", "rt", "area"), ["trace_id", "_left"], "left").join(_at(running, "_last", "rt", "area"), ["trace_id", "_last"], "left")
+    area = F.col("_last_area") - F.col("_left_area")
+    ratio = F.when(F.col("c.area") > 0, area / F.col("c.area")).otherwise(float("inf"))
+    apart = F.abs(F.col("c.apex_rt") - F.col("_apex")) > MERGE_APEX
+    asked = F.col("verdict") == "merge_suggested"
+    reason = first_of(
+        (~asked, ""), (F.col("source") != "adjacent_wis_local_minimum_merge", "unsupported_merge_suggestion_source"), (F.col("_gap") > MERGE_GAP, "gap_exceeds_safe_merge_max"),
+        (apart, "apex_delta_exceeds_safe_merge_max"), (~ratio.between(1.0, MERGE_RATIO), "promoted_area_ratio_outside_safe_merge_range"), otherwise="eligible",
+    )
+    told = rows.withColumn("reason", reason).withColumn("outcome", first_of((~asked, "kept"), (F.col("reason") == "eligible", "promoted"), otherwise="rejected"))
+    taken = F.col("outcome") == "promoted"
+    pick = lambda new, old: F.when(taken, new).otherwise(F.col(f"c.{old}")).alias(old)
+    return told.select(
+        "trace_id", "verdict", "outcome", "reason", pick(F.col("_left"), "left"), pick(F.col("_right"), "right"), pick(F.col("_left_rt"), "rt_left"), pick(F.col("_last_rt"), "rt_right"),
+        F.when(taken, F.col("_right") - F.col("_left")).otherwise(F.col("c.scans")).alias("scans"), pick(area, "area"), F.when(taken, ratio).alias("area_ratio"),
+        F.when(taken, F.col("_k")).alias("intervals"), F.when(taken, F.col("_gap")).alias("gap"),
+    )
 
 
 def segments(traces: DataFrame, least_scans: int = 3, least_apex: float = 5.0, apex_share: float = 0.05, return_share: float = 0.02, return_least: float = 1.0, clear_valley: float = 0.3) -> DataFrame:

@@ -151,10 +151,20 @@ SELECT fa.trace_id, CASE WHEN c IS NULL THEN 'skipped_no_candidate' WHEN c.scans
   WHEN k >= 2 AND gap <= 0.08e0 AND CASE WHEN c.area <= 0 THEN 1e300 ELSE round(area / round(c.area, 3), 5) END <= 1.2 THEN 'merge_suggested' WHEN k >= 2 AND total >= top + 20 THEN 'split_supported' WHEN nb >= c.score + 15 THEN 'neighbor_apex_preferred' WHEN w IS NOT NULL THEN 'wider_boundary_preferred' ELSE 'current_supported' END AS verdict
 FROM fa LEFT JOIN gp USING (trace_id)""")
 def flt32(b):
+    return P.region_verdicts(_marked(b)).select("trace_id", "status", "verdict")
+
+
+def _marked(b):
+    """Scored boundaries, those of the strongest candidate selected."""
     rows = _scored(b)
     first = P.resolve(b.traces).groupBy("trace_id").agg(F.min(F.struct(-F.col("apex_intensity"), F.col("region")))["region"].alias("_sel"))
-    marked = rows.join(first, "trace_id").withColumns({"selected": F.col("region") == F.col("_sel"), "boundary_id": F.concat_ws("|", "region", "left", "right"), "area": F.round("area", 3)})
-    return P.region_verdicts(marked).select("trace_id", "status", "verdict")
+    return rows.join(first, "trace_id").withColumns({"selected": F.col("region") == F.col("_sel"), "boundary_id": F.concat_ws("|", "region", "left", "right"), "area": F.round("area", 3)})
+
+
+@query("trc03_safe_merge")
+def trc03_safe_merge(b):
+    rows = P.safe_merge(b.traces, _marked(b))
+    return rows.select("trace_id", "verdict", "outcome", "reason", "left", "right", _R6("rt_left"), _R6("rt_right"), "scans", F.round("area", 3).alias("area"), _R6("area_ratio"), "intervals", "gap")
 
 
 _SMOOTH15 = T.gaussian_weights(15, 2.5)
