@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ...functions.columns import ppm_distance, within_ppm
+from ...operators import anchors as A
 from ...operators import joins as J
 from ...operators import traces as T
 from ..catalog import query
@@ -301,6 +302,59 @@ def near_anchors(b, k, probes=None):
     return J.k_nearest(rows, anchor, F.lit(True) if probes is None else probes, ["compound"], "injection_order", "sample_name", k, ["apex_rt"])
 
 
+# Anchors are detected rows of the first three compounds; all rows ask, those of the other three without a compound of their own.
+_TIERED = """ta AS (
+  SELECT sample_name AS anchor, compound, apex_rt AS rt, injection_order AS o, apex_rt - median(apex_rt) OVER (PARTITION BY compound) AS delta FROM trends
+  WHERE status = 'detected' AND apex_rt IS NOT NULL AND injection_order IS NOT NULL AND compound IN ('C0', 'C1', 'C2')
+), tp AS (
+  SELECT sample_name AS probe, compound, apex_rt AS rt, injection_order AS o FROM trends
+), td AS (
+  SELECT probe, anchor, a.rt AS anchor_rt, a.o AS anchor_order, delta, p.compound = a.compound AS same, abs(p.o - a.o) AS d_order, abs(p.rt - a.rt) / 4e0 + abs(p.o - a.o) / 25e0 AS distance,
+    abs(p.rt - a.rt) <= 4 AND abs(p.o - a.o) <= 25 AS near
+  FROM tp p JOIN ta a ON probe <> anchor WHERE p.rt IS NOT NULL AND p.o IS NOT NULL
+), tc AS (
+  SELECT *, count(*) FILTER (WHERE same) OVER (PARTITION BY probe) AS n_same, count(*) FILTER (WHERE near) OVER (PARTITION BY probe) AS n_near FROM td
+), tt AS (
+  SELECT *, CASE WHEN n_same >= 2 THEN 'compound' WHEN n_near >= 3 THEN 'window' ELSE 'nearest' END AS tier FROM tc WHERE CASE WHEN n_same >= 2 THEN same WHEN n_near >= 3 THEN near ELSE TRUE END
+), tr AS (
+  SELECT *, row_number() OVER (PARTITION BY probe ORDER BY CASE WHEN tier = 'compound' THEN d_order ELSE distance END, anchor) AS rank FROM tt
+), tl AS (
+  SELECT * FROM tr WHERE rank <= CASE WHEN tier = 'nearest' THEN 3 ELSE 8 END
+)"""
+
+
+def _tiered(b):
+    rows = b.trends
+    usable = rows.where("status = 'detected' AND apex_rt IS NOT NULL AND injection_order IS NOT NULL AND compound IN ('C0', 'C1', 'C2')")
+    centre = usable.groupBy("compound").agg(F.percentile("apex_rt", 0.5).alias("c"))
+    anchors = usable.join(centre, "compound").select(F.col("sample_name").alias("anchor"), "compound", F.col("apex_rt").alias("rt"), "injection_order", (F.col("apex_rt") - F.col("c")).alias("delta"))
+    return anchors, rows.select(F.col("sample_name").alias("probe"), "compound", F.col("apex_rt").alias("rt"), "injection_order")
+
+
+@query("jon17_tiered_anchors", f"WITH {_TIERED} SELECT probe, tier, CAST(rank AS INT) AS rank, anchor, round(distance, 6) AS distance, near AS in_window FROM tl")
+def jon17_tiers(b):
+    return A.local_anchors(*_tiered(b)).select("probe", "tier", "rank", "anchor", F.round("distance", 6).alias("distance"), "in_window")
+
+
+@query("trc07_tiered_drift", f"""
+WITH {_TIERED}, w AS (
+  SELECT probe, tier, delta, near, 1 / (0.25e0 + abs(p.rt - anchor_rt)) / (1 + abs(p.o - anchor_order) / 10e0) AS weight FROM tl JOIN tp p USING (probe)
+), g AS (
+  SELECT *, sum(weight * delta) OVER (PARTITION BY probe) / sum(weight) OVER (PARTITION BY probe) AS predicted FROM w
+), f AS (
+  SELECT probe, tier, predicted, median(abs(delta - predicted)) AS uncertainty, quantile_cont(abs(delta - predicted), 0.95) AS p95, count(*) AS anchors, count(*) FILTER (WHERE near) AS n FROM g GROUP BY ALL
+), e AS (
+  SELECT min(rt) AS r0, max(rt) AS r1, min(o) AS o0, max(o) AS o1 FROM ta
+)
+SELECT tp.probe, tier, round(predicted, 6) AS predicted, round(uncertainty, 6) AS uncertainty, round(p95, 6) AS residual_p95, coalesce(anchors, 0) AS anchors,
+  CASE WHEN rt IS NULL OR o IS NULL THEN 'incomplete' WHEN predicted IS NULL THEN 'unsupported' WHEN rt < r0 OR rt > r1 OR o < o0 OR o > o1 THEN 'extrapolated' WHEN n >= 3 THEN 'covered' ELSE 'sparse' END AS coverage,
+  CASE WHEN rt IS NULL THEN 'not_assessable' WHEN rt < r0 THEN 'before_anchor_range' WHEN rt > r1 THEN 'after_anchor_range' ELSE 'inside_anchor_range' END AS scope, round(100 * (rt - r0) / (r1 - r0), 5) AS position
+FROM tp LEFT JOIN f USING (probe) CROSS JOIN e""")
+def trc07_tiers(b):
+    r = lambda c, n=6: F.round(c, n).alias(c)
+    return A.local_drift(*_tiered(b)).select("probe", "tier", r("predicted"), r("uncertainty"), r("residual_p95"), "anchors", "coverage", "scope", r("position", 5))
+
+
 @query("jon18_paired_standard", "SELECT r.sample, r.label, i.label AS istd, round(r.area / i.area, 6) AS ratio, round(r.rt - i.rt, 6) AS rt_delta FROM results r JOIN results i ON i.sample = r.sample AND i.label = r.istd_pair AND i.is_istd WHERE NOT r.is_istd")
 def jon18(b):
     return paired(b).select("sample", "label", "istd", F.round("ratio", 6).alias("ratio"), F.round("rt_delta", 6).alias("rt_delta"))
