@@ -50,12 +50,24 @@ def test_toxicity_of_a_long_text_is_that_of_its_worst_window():
     model = toxicity.ToxicityModel(config, np.random.default_rng(2).normal(0, 1, 1 << 12).astype(np.float32), 0.1)
     text = " ".join(random.Random(3).choice(["lamp", "river", "stone", "ünder"]) for _ in range(400))
     data, offsets = table([text])
-    ends, owner = toxicity._windows(data, offsets, 200)
-    assert ends[0] == 0 and ends[-1] == len(data) and (np.diff(ends) < 320).all() and set(owner) == {0}
-    parts = [bytes(data[a:b]).decode() for a, b in zip(ends[:-1], ends[1:])]
+    windows = list(toxicity._windows(data, offsets, 200))
+    assert windows[0][1] == 0 and windows[-1][2] == len(data) and all(b - a < 260 for _, a, b in windows) and {row for row, _, _ in windows} == {0}
+    assert all(p[1] < q[1] < p[2] < q[2] for p, q in zip(windows, windows[1:], strict=False))
+    parts = [bytes(data[a:b]).decode() for _, a, b in windows]
     assert toxicity.log_odds(model, data, offsets)[0] == pytest.approx(max(toxicity.log_odds(model, *table([p]))[0] for p in parts), abs=1e-5)
 
 
+def test_toxicity_does_not_jump_with_the_size_of_a_text():
+    """Word by word, from under one window to over three, the score changes by no more than some words may change an average."""
+    config = toxicity.ToxicityConfig(bits=12, window_bytes=400)
+    model = toxicity.ToxicityModel(config, np.random.default_rng(2).normal(0, 1, 1 << 12).astype(np.float32), 0.1)
+    rnd = random.Random(6)
+    words = [rnd.choice(["lamp", "river", "stone", "ünder", "glass"]) for _ in range(260)]
+    texts = [" ".join(words[:n]) for n in range(40, 260)]
+    scores = toxicity.log_odds(model, *table(texts))
+    assert np.abs(np.diff(scores)).max() < 0.2 * np.ptp(toxicity.log_odds(model, *table(words)))
+
+
 def test_quality_evidence_and_calibration():
     import zstandard
 

@@ -119,3 +119,17 @@ def test_labelled_table_is_independent_of_the_documents():
     held = "\n".join(t for t in texts if t)
     numeric = {w for words, _ in pii.labelled_table() for w in words if sum(c.isdigit() for c in w) >= 6}
     assert numeric and not [w for w in numeric if w in held]
+
+
+@pytest.mark.parametrize("middle", ["", "verylongname" * 10])
+@pytest.mark.parametrize("form", ["carla{m}[at]office[dot]net", "h.moss{m}(at)garden.org", "x_1{m}(at)lake(dot)com", "nora{m}{{at}}hill{{dot}}example{{dot}}org", "ben{m}<at>port.example.com", "PAUL{m}[AT]STONE[DOT]COM"])
+def test_joined_forms_are_found_at_any_length(model, form, middle):
+    word = form.format(m=middle)
+    text = f"please write to {word} before friday"
+    (spans,) = pii.Finder(model).field_spans([text])
+    assert [(text[s[0] : s[2]], pii.KINDS[s[1]]) for s in spans] == [(word, "email")]
+
+
+def test_brackets_alone_are_no_address(model):
+    texts = ["read item[c] and page(d) of it", "the sum f(a)b(c)d is small", "look(at)this now", "we met(at)noon and left", "x" * 80 + "[at] nothing here"]
+    assert pii.Finder(model).field_spans(texts) == [[]] * len(texts)

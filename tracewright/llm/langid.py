@@ -33,14 +33,13 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LangIdConfig:
-    """per_label: rows of each language, at most, that training reads; max_bytes: longer texts aren't trained on."""
+    """per_label: rows of each language, at most, that training reads; max_bytes: longer texts aren't trained on, others in all their windows."""
 
     window: int = 192
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 8
     per_label: int = 500
-    max_bytes: int = 20_000
-    windows_per_text: int = 4
+    max_bytes: int = 2000
     epochs: int = 12
     batch: int = 64
     rate: float = 0.01
@@ -85,11 +84,9 @@ def train(texts: list[str], labels: list[str], config: LangIdConfig) -> LangIdMo
         raw = np.frombuffer(text.encode(), np.uint8)
         if not len(raw):
             continue
-        win, _, held = _windows(raw, np.array([0, len(raw)]), config.window)
-        pick = np.unique(np.linspace(0, len(win) - 1, config.windows_per_text).astype(int))
+        win, _, _ = _windows(raw, np.array([0, len(raw)]), config.window)
         # A short start of a window is seen as well, as short texts are made of it.
-        for k in pick:
-            w = win[k].copy()
+        for w in win.copy():
             if random.random() < 0.25:
                 w[int(random.integers(12, config.window)) :] = 0
             xs.append(w)

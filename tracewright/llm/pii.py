@@ -20,6 +20,7 @@ proportion to their length and memory to the longest text's words.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -109,6 +110,17 @@ write {email|desk at example dot com} or come by
 ask {email|mary_ann at example dot org} for the key
 send a note to {email|b2b at firm dot example} and wait
 it went to {email|lost.found@example.org} last week
+write to {email|jane[at]mail[dot]com} about the order
+you can reach {email|sam(at)example(dot)org} or ask here
+send it to {email|tom_r(at)site.org} today please
+mail {email|info[at]post.example.com} before noon
+contact {email|k.lee[at]firm[dot]co[dot]example} for details
+ask {email|mary-ann(at)web.example.net} for the key
+note {email|b2b{at}host.example} and wait
+please ask {email|desk<at>shop<dot>org} again
+under {email|anna.b{at}mail{dot}example{dot}org} at any hour
+see note[a] and table[b] or list(c) below
+f(x) and g(y) are given by h(x)y(z)w at once
 mail {email|a_b@mail.example.com} about the lamp
 meet us at the station dot the map and go
 we met at noon and left at night
@@ -141,6 +153,9 @@ charge {card|4111  1111  1111  1111} for it
 use {card|5555 5555 5555 4444} for the fee
 card {card|4012888888881881} was lost
 pay by {card|4111-1111-1111-1111} at the desk
+they billed {card|6011111111111117} twice in a week
+{card|5105105105105100} then {card|4012888888881881} were refused
+it was put on {card|5105105105105100} by mistake
 version 2.0 was released in 2004 with 35 fixes
 licensed under the terms of version 3.1, see below.
 see sections 3.2 and 4.1 (page 17) for more
@@ -173,18 +188,18 @@ MARKS = ".,;:!?\"'"
 
 
 def shape(word: str) -> str:
-    """The fine shape: runs of up to 3 digits as `n`, longer ones by length, and runs of letters as `a`; "at" and "dot" stay."""
+    """The fine shape: runs of up to 3 digits as `n`, longer ones by length, and runs of letters as `a`; "at" and "dot" stay, as words
+    and in brackets."""
     word = word.rstrip(MARKS)
     low = word.lower()
     if low.strip("([{<)]}>") in ("at", "dot"):
         return low
-    if len(word) > 64:
-        return "long"
 
     def run(m: re.Match) -> str:
         n = len(m[0])
         if not m[0][0].isdigit():
-            return "a"
+            bracketed = m[0].lower() in ("at", "dot") and word[m.start() - 1 : m.start()] in tuple("([{<") and word[m.end() : m.end() + 1] in tuple(")]}>")
+            return m[0].lower() if bracketed else "a"
         return "n" if n <= 3 else f"<{n if n == 4 else 7 if n <= 7 else 11 if n <= 11 else 19 if n <= 19 else 20}>"
 
     return _RUN.sub(run, word)
@@ -192,14 +207,23 @@ def shape(word: str) -> str:
 
 def outline(fine: str) -> str:
     """The coarse shape: what a fine shape begins with, and the kinds of characters that it holds."""
-    kinds = re.sub(r"<[0-9]+>|n", "0", fine) if fine not in ("long", "at", "dot") else fine
+    kinds = re.sub(r"<[0-9]+>|n", "0", fine) if fine not in ("at", "dot") else fine
     return kinds[:1] + "|" + "".join(sorted(set(kinds)))
 
 
+def _joined_lines() -> list[str]:
+    """Sentences with an address in one word, for names, brackets and hosts of several forms."""
+    out = []
+    for k, (name, (a, z)) in enumerate(itertools.product(("mia", "mia.k", "mia_k", "mia-k", "mia7", "m_7"), ("[]", "()", "{}", "<>"))):
+        for host in ("shop.example", f"shop{a}dot{z}example", "web.shop.example", f"web{a}dot{z}shop{a}dot{z}example"):
+            out.append(f"{('write to', 'ask', 'mail')[k % 3]} {{email|{name}{a}at{z}{host}}} {('before noon', 'and wait', 'about it')[k % 3]}")
+    return out
+
+
 def labelled_table() -> list[tuple[list[str], list[str]]]:
     """(words, labels) of the labelled sentences, and of each span as a text of its own; labels are O, or B- or I- with a kind."""
     out = []
-    lines = LABELLED.strip().splitlines()
+    lines = [*LABELLED.strip().splitlines(), *_joined_lines()]
     for line in [*lines, *(m[0] for line in lines for m in _MARK.finditer(line))]:
         words, labels, at = [], [], 0
         for m in [*_MARK.finditer(line), None]:
@@ -410,7 +434,7 @@ class _Numbers(dict):
     def __missing__(self, word: str) -> int:
         bare = word.rstrip(MARKS)
         # Letters only is the most frequent shape, and told without taking the word apart.
-        fine, coarse = self.plain if bare.isalpha() and len(bare) <= 64 and bare.lower() not in ("at", "dot") else self.model.number(word)
+        fine, coarse = self.plain if bare.isalpha() and bare.lower() not in ("at", "dot") else self.model.number(word)
         if len(word) <= 64:
             self[word] = fine << 16 | coarse
         return fine << 16 | coarse

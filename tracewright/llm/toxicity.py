@@ -6,8 +6,8 @@ Misspellings and unseen forms of a word share most of its n-grams and so its vec
 so that what was never learned has no say.
 
 As the softmax is linear, a bucket's vector counts only through its margin between the two classes: prediction adds up one number for
-each n-gram, in one pass over the characters. Texts of more than 1.5 windows are cut after separators into windows of about equal length,
-and the text's log odds are those of its most toxic window, so that an insult isn't averaged away by a long text around it.
+each n-gram, in one pass over the characters. A text's log odds are those of its most toxic window, so that an insult isn't averaged away by
+a long text around it; windows overlap by half, and a text of up to a window is one. What is learned from is one window each, too.
 
 Defined results: null and empty texts, and texts without words, have an empty bag and get the score of the softmax's offset alone; with
 one label missing from what may be learned, every text gets that label's share (0 without labels); equal texts, and so repeated rows, get
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import IS_SPACE, mix, spans, utf8
+from .arrowtext import IS_SPACE, mix, utf8
 from .samples import labelled_sample
 
 
@@ -39,7 +39,7 @@ class ToxicityConfig:
     bits: int = 19
     dimensions: int = 4
     per_label: int = 2000
-    max_bytes: int = 20_000
+    max_bytes: int = 8000
     min_texts: int = 4
     gain: float = 60.0
     epochs: int = 8
@@ -139,41 +139,50 @@ def train(texts: list[str], labels: list[int], config: ToxicityConfig) -> Toxici
     return ToxicityModel(config, margin, float(offset[1] - offset[0]))
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of the windows and the row of each; a run without separators is cut where no character is split."""
-    ends, owner = [0], []
+def _windows(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+    """(row, from, to) of each row's windows: the whole row or, if it is longer than `size`, overlapping windows of about that size, evenly spaced
+    by at most half of it, from its start to its end. They begin and end at separators, where one is near, and split no character.
+
+    A row that grows beyond a window gets two that are nearly all of it, so that its score changes no more than its text does.
+    """
+
+    def placed(lo: int, hi: int, at: int) -> int:
+        near = np.flatnonzero(IS_SPACE[data[max(lo, at - size // 8) : at]]) if lo < at < hi else ()
+        if len(near):
+            return max(lo, at - size // 8) + int(near[-1]) + 1
+        while lo < at < hi and data[at] & 0xC0 == 0x80:
+            at -= 1
+        return at
+
     for row, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-        count = max(1, round((hi - lo) / size))
-        if count > 1:
-            step = (hi - lo) / count
-            gaps = np.flatnonzero(IS_SPACE[data[lo:hi]])
-            at = 0
-            for k in range(1, count):
-                cut = round(k * step)
-                found = np.searchsorted(gaps, cut)
-                if found and gaps[found - 1] >= cut - step / 2:
-                    cut = int(gaps[found - 1]) + 1
-                while cut > at and data[lo + cut] & 0xC0 == 0x80:
-                    cut -= 1
-                if cut > at:
-                    ends.append(lo + cut)
-                    owner.append(row)
-                    at = cut
-        ends.append(hi)
-        owner.append(row)
-    return np.array(ends, np.int64), np.array(owner, np.int64)
+        more = max(0, -(-(hi - lo - size) // (size // 2)))
+        for k in range(more + 1):
+            start = lo + (hi - lo - size) * k // more if more else lo
+            yield row, placed(lo, hi, start), placed(lo, hi, start + size) if k < more else hi
 
 
 def log_odds(model: ToxicityModel, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Each row's log odds of label 1: those of its most toxic window."""
     out = np.full(len(offsets) - 1, -np.inf)
-    ends, owner = _windows(data, offsets, model.config.window_bytes)
-    for a, b in spans(ends, 1 << 19):
-        total, count = np.zeros(b - a), np.zeros(b - a)
-        for bucket, row in bags(data[ends[a] : ends[b]], ends[a : b + 1] - ends[a], model.config):
-            total += np.bincount(row, model.margin[bucket], b - a)
-            count += np.bincount(row, minlength=b - a)
-        np.maximum.at(out, owner[a:b], model.offset + total / np.maximum(count, 1))
+
+    def solve(block: list[tuple[int, int, int]]) -> None:
+        ends = np.cumsum([0, *(b - a for _, a, b in block)])
+        total, count = np.zeros(len(block)), np.zeros(len(block))
+        for bucket, row in bags(np.concatenate([data[a:b] for _, a, b in block]), ends, model.config):
+            total += np.bincount(row, model.margin[bucket], len(block))
+            count += np.bincount(row, minlength=len(block))
+        np.maximum.at(out, [row for row, _, _ in block], model.offset + total / np.maximum(count, 1))
+
+    block: list[tuple[int, int, int]] = []
+    held = 0
+    for own in _windows(data, offsets, model.config.window_bytes):
+        block.append(own)
+        held += own[2] - own[1]
+        if held > 1 << 19:
+            solve(block)
+            block, held = [], 0
+    if block:
+        solve(block)
     return out
 
 
@@ -193,12 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityCon
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds score, the probability of label 1. keep: the columns to keep, all by default."""
     kept = docs.columns if keep is None else keep
-    if "score" in kept:
+    if "score" in {c.lower() for c in kept}:
         raise ValueError("the input already has score")
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as its buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds = log_odds(model, *utf8(batch.column(text)))
+            odds = log_odds(sent.value, *utf8(batch.column(text)))
             yield pa.RecordBatch.from_pydict({n: batch.column(n) for n in kept} | {"score": pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))), pa.float64())})
 
     source = docs.select(*dict.fromkeys([*kept, text]))
