@@ -158,22 +158,51 @@ def _name_parts(name: Column) -> list[Column]:
     return [F.upper(F.regexp_extract(name, r"(?i)(BC\d+)", 1)).alias("bc"), kind.alias("kind"), F.regexp_extract(name, r"(?i)QC[_\s*]*(\d+)", 1).alias("qc"), tokens.alias("tokens")]
 
 
-def name_matches(names: DataFrame, files: DataFrame, name: str, file: str) -> DataFrame:
-    """(name, file, score): the best file of each injection name, by its BC number and kind, else QC number, else shared words; ties go to the
-    smaller file name. Only names and files that share a word, a BC number or a QC number meet; others score 0 and aren't listed."""
-    left = names.select(F.col(name).alias("_name"), *_name_parts(F.col(name))).select("_name", F.struct("bc", "kind", "qc", "tokens").alias("a"))
-    right = files.select(F.col(file).alias("_file"), *_name_parts(F.col(file))).select("_file", F.struct("bc", "kind", "qc", "tokens").alias("b"))
-    keys = lambda p: F.array_distinct(F.concat(F.transform(F.col(f"{p}.tokens"), lambda t: F.concat(F.lit("t:"), t)), F.when(F.col(f"{p}.bc") != "", F.array(F.concat(F.lit("b:"), F.col(f"{p}.bc")))).otherwise(F.array().cast("array<string>")), F.when(F.col(f"{p}.qc") != "", F.array(F.concat(F.lit("q:"), F.col(f"{p}.qc")))).otherwise(F.array().cast("array<string>"))))
-    met = left.withColumn("_key", F.explode(keys("a"))).join(right.withColumn("_key", F.explode(keys("b"))), "_key").drop("_key").dropDuplicates(["_name", "_file"])
-    both_bc = (F.col("a.bc") != "") & (F.col("b.bc") != "")
-    kinds = (F.col("a.kind") != "") & (F.col("b.kind") != "")
-    numbers = (F.col("a.kind") == "qc") & (F.col("b.kind") == "qc") & (F.col("a.qc") != "") & (F.col("b.qc") != "")
-    shared = F.when(F.size("a.tokens") > 0, F.size(F.array_intersect("a.tokens", "b.tokens")) / F.size("a.tokens")).otherwise(0.0)
-    score = first_of(
-        (both_bc & (F.col("a.bc") != F.col("b.bc")), 0.0), (both_bc & kinds, (F.col("a.kind") == F.col("b.kind")).cast("double")), (both_bc, 0.8), (numbers, (F.col("a.qc") == F.col("b.qc")).cast("double")), otherwise=shared,
-    )
-    by = W.partitionBy("_name").orderBy(F.desc("score"), "_file")
-    return met.withColumn("score", score).where("score > 0").withColumn("_n", F.row_number().over(by)).where("_n = 1").select(F.col("_name").alias("name"), F.col("_file").alias("file"), "score")
+def name_matches(names: DataFrame, files: DataFrame, name: str, file: str, least: float = 0.75) -> DataFrame:
+    """(name, file, score) of every distinct injection name: its best file, or an empty file and no score if none reaches `least`.
+
+    Where both have a BC number, these must agree, and the kinds (tumor, normal, benign, qc) where both have one: 1, or 0.8 without a kind. Else
+    two QC names with numbers agree or don't. Else the score is the share of the name's words that the file has. Ties go to the smaller file
+    name; null names and files don't count.
+
+    Files that are alike in what counts are one row, of the smallest name. Words are met by the rarest of a name only: of n words at least
+    `least` * n must be shared, so that one of its n - ceil(least * n) + 1 rarest is among them. Names whose words a file has all are told first,
+    by their rarest word alone; only the others look for less.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("least must be above 0 and at most 1")
+    left = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct().select("name", *_name_parts(F.col("name")))
+    right = files.where(F.col(file).isNotNull()).select(F.col(file).alias("file"), *_name_parts(F.col(file)))
+    asked = left.select("bc", "kind", "qc", F.array_sort("tokens").alias("tokens"), "name")
+    by_bc = right.where("bc <> ''").groupBy(F.col("bc").alias("f_bc"), F.col("kind").alias("f_kind")).agg(F.min("file").alias("file"))
+    agree = F.when((F.col("kind") == "") | (F.col("f_kind") == ""), 0.8).otherwise((F.col("kind") == F.col("f_kind")).cast("double"))
+    bc = asked.join(by_bc, F.col("bc") == F.col("f_bc")).select("name", "file", agree.alias("score"))
+    one_bc = lambda other: (F.col("bc") == "") | ~F.col(other)
+    by_qc = right.where("kind = 'qc' AND qc <> ''").groupBy(F.col("qc").alias("f_qc"), (F.col("bc") != "").alias("f_has_bc")).agg(F.min("file").alias("file"))
+    qc = asked.where("kind = 'qc'").join(by_qc, F.col("qc") == F.col("f_qc")).where(one_bc("f_has_bc")).select("name", "file", F.lit(1.0).alias("score"))
+
+    own = right.select(F.array_sort("tokens").alias("f_tokens"), (F.col("bc") != "").alias("f_has_bc"), ((F.col("kind") == "qc") & (F.col("qc") != "")).alias("f_numbered"), "file")
+    alike = written(own.where(F.size("f_tokens") > 0).groupBy("f_tokens", "f_has_bc", "f_numbered").agg(F.min("file").alias("file")))
+    held = alike.select("f_tokens", "f_has_bc", "f_numbered", "file", F.explode("f_tokens").alias("_word"))
+    often = held.groupBy("_word").agg(F.count("*").alias("_often"))
+    group = ["tokens", "has_bc", "numbered"]
+    mine = written(asked.where(F.size("tokens") > 0).groupBy("tokens", (F.col("bc") != "").alias("has_bc"), ((F.col("kind") == "qc") & (F.col("qc") != "")).alias("numbered")).agg(F.collect_list("name").alias("names")))
+    words = mine.select(*group, F.explode("tokens").alias("_word")).join(often, "_word", "left").withColumn("_often", F.coalesce("_often", F.lit(0)))
+    rare = written(words.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("_often", "_word"))))
+    n = F.size("tokens")
+    open_ = ~(F.col("has_bc") & F.col("f_has_bc")) & ~(F.col("numbered") & F.col("f_numbered"))
+    share = (F.size(F.array_intersect("tokens", "f_tokens")) / n).alias("score")
+    first = lambda: F.min_by(F.struct("file", "score"), F.struct((-F.col("score")).alias("minus"), F.col("file"))).alias("b")
+
+    def reached(asking: DataFrame, share_least: float) -> DataFrame:
+        met = asking.where(F.col("_n") <= n - F.ceil(n * share_least - 1e-9) + 1).join(held, "_word").dropDuplicates([*group, "f_tokens", "f_has_bc", "f_numbered"])
+        return written(met.where(open_).select(*group, "file", share).where(F.col("score") >= share_least - 1e-9).groupBy(*group).agg(first()))
+
+    whole = reached(rare, 1.0)
+    best = whole.unionByName(reached(rare.join(whole.select(*group), group, "left_anti"), least)) if least < 1 else whole
+    shared = best.join(mine, group).select(F.explode("names").alias("name"), "b.file", "b.score")
+    every = bc.unionByName(qc).unionByName(shared).where(F.col("score") >= least)
+    return left.select("name").join(every.groupBy("name").agg(first()), "name", "left").select("name", F.coalesce("b.file", F.lit("")).alias("file"), F.col("b.score").alias("score"))
 
 
 def seed_reject_reason(

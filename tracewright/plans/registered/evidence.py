@@ -127,7 +127,7 @@ _PARTS = lambda t, c: f"""SELECT *, upper(regexp_extract({c}, '(?i)(BC\\d+)', 1)
 @query("jon20_name_match", f"""
 WITH {_NAMES}, a AS ({_PARTS('nm', 'name')}), f AS ({_PARTS('fl', 'file')}), sc AS (SELECT name, file, CASE WHEN a.bc <> '' AND f.bc <> '' THEN CASE WHEN a.bc <> f.bc THEN 0e0 WHEN a.kind <> '' AND f.kind <> '' THEN CASE WHEN a.kind = f.kind THEN 1e0 ELSE 0e0 END ELSE 0.8e0 END
   WHEN a.kind = 'qc' AND f.kind = 'qc' AND a.qc <> '' AND f.qc <> '' THEN CASE WHEN a.qc = f.qc THEN 1e0 ELSE 0e0 END WHEN len(a.tokens) > 0 THEN CAST(len(list_intersect(a.tokens, f.tokens)) AS DOUBLE) / len(a.tokens) ELSE 0e0 END AS score FROM a CROSS JOIN f)
-SELECT name, file, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, file) AS n FROM sc WHERE score > 0) x WHERE n = 1""")
+SELECT name, CASE WHEN score >= 0.75e0 THEN file ELSE '' END AS file, CASE WHEN score >= 0.75e0 THEN round(score, 6) END AS score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, file) AS n FROM sc) x WHERE n = 1""")
 def jon20(b):
     k = F.col("s_suppkey")
     name = F.when(k % 3 == 0, F.concat(F.lit("BC"), (1000 + k).cast("string"), F.lit(" Tumor"))).when(k % 3 == 1, F.concat(F.lit("QC "), k.cast("string"))).otherwise(F.concat(F.lit("sample "), k.cast("string"), F.lit(" run")))

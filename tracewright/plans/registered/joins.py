@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ...functions.columns import ppm_distance, within_ppm
 from ...operators import anchors as A
 from ...operators import joins as J
+from ...operators import seeds as SD
 from ...operators import traces as T
 from ..catalog import query
 
@@ -77,6 +78,26 @@ def jon03(b):
     return _seeds(b).withColumn("n", F.row_number().over(by)).where("n = 1").select("sample", "scan_number", "tag", "ion", F.round("mz", 6).alias("mz"), F.round("ppm", 4).alias("ppm"), "intensity")
 
 
+@query("jon03_discovery_seeds", """
+WITH pb AS (SELECT *, max(intensity) OVER (PARTITION BY sample, scan_number) AS base FROM products), x AS (
+  SELECT pb.*, tag, loss_da, abs(mz - (precursor_mz - loss_da)) / (precursor_mz - loss_da) * 1e6 <= greatest(5e0, 10 * loss_da / (precursor_mz - loss_da)) AS direct, abs(precursor_mz - mz - loss_da) / loss_da * 1e6 AS ppm
+  FROM pb CROSS JOIN neutral_tags WHERE precursor_mz > loss_da AND base > 0 AND intensity >= base * 0.3e0
+), c AS (
+  SELECT *, row_number() OVER (PARTITION BY sample, scan_number, tag, direct ORDER BY CASE WHEN direct THEN ppm ELSE 0 END, intensity DESC, ion) AS n FROM x
+  WHERE CASE WHEN direct THEN ppm <= 10 + 1e-9 ELSE abs(precursor_mz - (mz + loss_da)) <= 1.6e0 END
+), u AS (
+  SELECT sample, scan_number, tag, ion, CASE WHEN direct THEN precursor_mz ELSE mz + loss_da END AS own_mz, mz, intensity, CASE WHEN direct THEN ppm ELSE 0 END AS ppm, direct FROM c WHERE n = 1 OR NOT direct
+), d AS (
+  SELECT *, row_number() OVER (PARTITION BY sample, scan_number, tag, round(own_mz * 1e6), round(mz * 1e6) ORDER BY ppm, intensity DESC, ion) AS k FROM u
+)
+SELECT sample, scan_number, tag, ion, round(own_mz, 6) AS precursor_mz, round(mz, 6) AS product_mz, intensity, round(ppm, 4) AS loss_ppm, CASE WHEN direct THEN 'scan_precursor' ELSE 'product_plus_neutral_loss' END AS mz_basis
+FROM d WHERE k = 1""")
+def jon03_discovery(b):
+    """Direct and inferred seeds; the loss is asked for so exactly that products beside it lead to precursors off the scan's middle."""
+    found = SD.discovery_seeds(b.products, b.neutral_tags, SD.SeedLimits(loss_ppm=10.0, product_ppm=5.0, least_share=0.3))
+    return found.select("sample", "scan_number", "tag", "ion", F.round("precursor_mz", 6).alias("precursor_mz"), F.round("product_mz", 6).alias("product_mz"), "intensity", F.round("loss_ppm", 4).alias("loss_ppm"), "mz_basis")
+
+
 _CHECK = """mt AS (SELECT t.label, s.sample, s.scan_number, s.rt, s.parse_error, t.neutral_loss_da, t.mz AS tmz FROM targets t JOIN ms2_scans s ON s.rt BETWEEN t.rt_min AND t.rt_max AND (s.parse_error IS NOT NULL OR abs(s.precursor_mz - (t.mz + 100)) <= 2) WHERE neutral_loss_da IS NOT NULL),
 mp AS (SELECT mt.*, min(abs(p.precursor_mz - p.mz - neutral_loss_da) / neutral_loss_da * 1e6) AS ppm, max(p.intensity) AS base FROM mt LEFT JOIN products p ON p.sample = mt.sample AND p.scan_number = mt.scan_number GROUP BY ALL)"""
 
