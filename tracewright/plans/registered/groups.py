@@ -135,10 +135,12 @@ def grp11_recentred(b):
 WITH p AS (SELECT a.family_id, CAST(floor(b.center_rt) AS BIGINT) AS cluster, abs(a.center_mz - b.center_mz) <= 30 AND abs(a.center_rt - b.center_rt) <= 0.9e0 AS ok FROM families a JOIN families b ON b.has_anchor AND floor(a.center_rt) = floor(b.center_rt) WHERE NOT a.has_anchor)
 SELECT family_id, cluster, bool_and(ok) AS attaches FROM p GROUP BY ALL""")
 def grp12(b):
-    anchors = b.families.where("has_anchor").select(F.floor("center_rt").alias("cluster"), F.col("center_mz").alias("a_mz"), F.col("center_rt").alias("a_rt"))
+    """Every anchor is within the limits if the outermost ones are."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("center_mz", "center_rt") for n, f in (("min", F.min), ("max", F.max))]
+    anchors = b.families.where("has_anchor").groupBy(F.floor("center_rt").alias("cluster")).agg(*ends)
     rows = b.families.where("NOT has_anchor").withColumn("cluster", F.floor("center_rt")).join(anchors, "cluster")
-    ok = (F.abs(F.col("center_mz") - F.col("a_mz")) <= 30) & (F.abs(F.col("center_rt") - F.col("a_rt")) <= 0.9)
-    return rows.groupBy("family_id", "cluster").agg(F.bool_and(ok).alias("attaches"))
+    far = lambda c: F.greatest(F.abs(F.col(c) - F.col(f"min_{c}")), F.abs(F.col(c) - F.col(f"max_{c}")))
+    return rows.select("family_id", "cluster", ((far("center_mz") <= 30) & (far("center_rt") <= 0.9)).alias("attaches"))
 
 
 @query("win20_peak_suppression")
@@ -170,10 +172,12 @@ def mtx01(b):
 
 
 @query("mtx02_product_matrix", f"""
-WITH {_MATRIX} SELECT family_id, round(center_mz, 6) AS mz, round(center_rt, 6) AS rt, max(area) FILTER (WHERE sample = 'S0') AS "S0", max(area) FILTER (WHERE sample = 'S1') AS "S1", max(area) FILTER (WHERE sample = 'S2') AS "S2" FROM mx JOIN families USING (family_id) GROUP BY ALL""")
+WITH {_MATRIX}, named AS (SELECT family_id, sample, area, round(center_mz, 6) AS mz, round(center_rt, 6) AS rt FROM mx JOIN families USING (family_id))
+SELECT * FROM (PIVOT named ON sample USING max(area) GROUP BY family_id, mz, rt)""")
 def mtx02(b):
-    rows = matrix(b).join(b.families.select("family_id", F.round("center_mz", 6).alias("mz"), F.round("center_rt", 6).alias("rt")), "family_id")
-    return rows.groupBy("family_id", "mz", "rt").pivot("sample", ["S0", "S1", "S2"]).agg(F.first("area", ignorenulls=True))
+    named = b.families.select("family_id", F.round("center_mz", 6).alias("mz"), F.round("center_rt", 6).alias("rt"))
+    wide = sinks.wide(b.cells.withColumn("area", F.when(F.col("status").isin("detected", "rescued"), F.col("area"))), ["family_id"], "sample", "area")
+    return named.join(wide, "family_id", "left")
 
 
 @query("mtx03_matrix_identity", "SELECT CAST(row_number() OVER (ORDER BY center_mz, center_rt, family_id) AS INT) AS row_index, family_id, family_id || '#1' AS hypothesis FROM families")
@@ -184,7 +188,7 @@ def mtx03(b):
 
 @query("mtx04_detected_only", f"WITH {_MATRIX} SELECT family_id, sample, area FROM mx WHERE status = 'detected' AND area IS NOT NULL")
 def mtx04(b):
-    return matrix(b).where("status = 'detected' AND area IS NOT NULL").select("family_id", "sample", "area")
+    return b.cells.where("status = 'detected' AND area IS NOT NULL").select("family_id", "sample", "area")
 
 
 @query("mtx05_downstream_impact", f"""
@@ -427,11 +431,10 @@ def src05(b):
     return readers.injection_orders(b.samples)
 
 
-@query("src08_melt_matrix", f"""
-WITH {_MATRIX}, w AS (SELECT family_id, max(area) FILTER (WHERE sample = 'S0') AS s0, max(area) FILTER (WHERE sample = 'S1') AS s1 FROM mx GROUP BY family_id) SELECT family_id, 'S0' AS sample, s0 AS area FROM w UNION ALL SELECT family_id, 'S1', s1 FROM w""")
+@query("src08_melt_matrix", f"WITH {_MATRIX} SELECT family_id, sample, area FROM mx")
 def src08(b):
-    wide = matrix(b).groupBy("family_id").pivot("sample", ["S0", "S1"]).agg(F.first("area", ignorenulls=True))
-    return readers.melt(wide, ["family_id"])
+    """The wide matrix of all samples back in long form; families and samples without a cell are empty."""
+    return readers.melt(mtx02(b).drop("mz", "rt"), ["family_id"])
 
 
 @query("snk03_priority_index", """

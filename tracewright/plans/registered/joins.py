@@ -10,6 +10,7 @@ from ...operators import anchors as A
 from ...operators import joins as J
 from ...operators import seeds as SD
 from ...operators import traces as T
+from ...sources import sinks
 from ..catalog import query
 
 _R6 = lambda c, n=None: F.round(c, 6).alias(n or (c if isinstance(c, str) else "x"))
@@ -420,7 +421,7 @@ def jon31(b):
     return rows.join(approvals, ["family_id", "sample", "digest"], "left_semi")
 
 
-@query("snk01_wide_results", """
-SELECT sample, max(area) FILTER (WHERE label = 'T0') AS "T0", max(area) FILTER (WHERE label = 'T40') AS "T40", max(area) FILTER (WHERE label = 'T80') AS "T80", max(area) FILTER (WHERE label = 'T120') AS "T120" FROM results GROUP BY sample""")
+@query("snk01_wide_results", "SELECT * FROM (PIVOT results ON sample USING max(area) GROUP BY label)")
 def snk01(b):
-    return b.results.groupBy("sample").pivot("label", ["T0", "T40", "T80", "T120"]).agg(F.first("area", ignorenulls=True))
+    """A row for each target and a column for each sample of the run; targets are too many for columns."""
+    return sinks.wide(b.results, ["label"], "sample", "area")

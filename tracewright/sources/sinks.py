@@ -93,3 +93,12 @@ def write_pending_priors(entries: DataFrame, library: str) -> str:
     path = f"{library.rstrip('/')}.pending"
     entries.write.mode("overwrite").parquet(path)
     return path
+
+
+def wide(rows: DataFrame, keys: list[str], name: str, value: str, most: int = 5000) -> DataFrame:
+    """A row for each key and a column for each value of `name`, in order. More than `most` of these raise, as columns are held in every row's schema;
+    rows without a name make no column."""
+    found = [r[0] for r in rows.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {name}")
+    return rows.groupBy(*keys).pivot(name, found).agg(F.max(value)) if found else rows.select(*keys).distinct()
