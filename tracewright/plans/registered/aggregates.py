@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ...operators import priors as PRI
 from ...operators import joins as J
 from ...operators import rules as R
 from ..catalog import query
@@ -255,9 +256,29 @@ def win01(b):
 
 def rolling(b, width: int = 40):
     """Median RT of a standard over the injections within `width` of a sample's own; null without an order or under three values."""
-    frame = W.partitionBy("label").orderBy("injection_order").rangeBetween(-width, width)
-    found = F.when(F.count("*").over(frame) >= 3, F.percentile("rt", 0.5).over(frame))
-    return b.standards.withColumn("rolling", F.when(F.col("injection_order").isNotNull(), found))
+    return PRI.rolling_median(b.standards, ["label"], "injection_order", "rt", width, "rolling")
+
+
+@query("udf04_rt_priors", """
+WITH sm AS (SELECT sample, CASE WHEN CAST(substr(sample, 2) AS INT) % 7 <> 6 THEN CAST(substr(sample, 2) AS INT) END AS o FROM (SELECT DISTINCT sample FROM results) s),
+sd AS (SELECT sample, label, rt FROM results WHERE is_istd AND rt IS NOT NULL),
+lb AS (SELECT label, CASE WHEN length(label) % 2 = 0 THEN (rt_min + rt_max) / 2 END AS abs_rt, 0.1e0 AS abs_sigma, CASE WHEN length(label) <> 3 THEN rt_min / 10 END AS delta, 0.05e0 AS delta_sigma FROM targets),
+gr AS (SELECT sm.sample, o, t.label, is_istd, istd_pair, abs_rt, abs_sigma, delta, delta_sigma FROM sm CROSS JOIN targets t JOIN lb ON lb.label = t.label),
+ro AS (SELECT gr.sample, gr.label, median(sd.rt) AS rolling FROM gr JOIN sm m ON m.o BETWEEN gr.o - 3 AND gr.o + 3 JOIN sd ON sd.sample = m.sample AND sd.label = gr.label WHERE gr.is_istd GROUP BY ALL HAVING count(*) >= 3)
+SELECT gr.sample, gr.label, round(CASE WHEN is_istd THEN coalesce(rolling, abs_rt) ELSE sd.rt + delta END, 6) AS rt_prior, CASE WHEN is_istd THEN CASE WHEN rolling IS NULL AND abs_rt IS NOT NULL THEN abs_sigma END WHEN sd.rt + delta IS NOT NULL THEN delta_sigma END AS rt_prior_sigma,
+  CASE WHEN is_istd THEN CASE WHEN rolling IS NOT NULL THEN 'rolling_median' WHEN abs_rt IS NOT NULL THEN 'library_abs' ELSE '' END WHEN sd.rt + delta IS NOT NULL THEN 'delta_rt_library' ELSE '' END AS prior_source, NOT is_istd AND sd.rt + delta IS NOT NULL AS prefer_prior
+FROM gr LEFT JOIN ro ON ro.sample = gr.sample AND ro.label = gr.label LEFT JOIN sd ON sd.sample = gr.sample AND sd.label = gr.istd_pair AND NOT is_istd""")
+def udf04(b):
+    """Priors of all targets in all samples: standards by their neighbours' RTs or the library, others by their pair's RT."""
+    number = F.substring("sample", 2, 9).cast("int")
+    samples = b.results.select("sample").distinct().withColumn("injection_order", F.when(number % 7 != 6, number))
+    size = F.length("label")
+    known = b.targets.select(
+        "label", F.explode(F.array(F.lit("ISTD"), F.lit("analyte"))).alias("role"), F.when(size % 2 == 0, (F.col("rt_min") + F.col("rt_max")) / 2).alias("median_abs_rt"), F.lit(0.1).alias("sigma_abs_rt"),
+        F.when(size != 3, F.col("rt_min") / 10).alias("median_delta_rt"), F.lit(0.05).alias("sigma_delta_rt"),
+    )
+    found = PRI.rt_priors(b.targets, samples, b.results.where("is_istd").select("sample", "label", "rt"), known, 3)
+    return found.withColumn("rt_prior", F.round("rt_prior", 6))
 
 
 @query("win03_anchor_reference", """
