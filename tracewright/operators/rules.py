@@ -213,12 +213,26 @@ def trend_review(median_count: Column) -> dict[str, Column]:
     }
 
 
+def backfill_dependency(applies: Column, detected: Column, rescued: Column, cells: Column, weak: Column, signal: Column) -> Column:
+    """How far a family rests on backfill: extreme (at most 2 detected cells, 70 % of its cells rescued), or weak_seed (3 and 60 %) if its seeds are
+    weak, tolerated if they only show signs of it; else null. applies: whether the family's tag asks for the check."""
+    share = rescued / cells
+    asked = applies & (detected > 0) & (cells > 0)
+    few = asked & (detected <= 3) & (share >= 0.60)
+    return first_of(
+        (asked & (detected <= 2) & (share >= 0.70), "extreme_backfill_dependency"), (few & F.coalesce(weak, F.lit(False)), "weak_seed_backfill_dependency"), (few & F.coalesce(signal, F.lit(False)), "weak_seed_tolerated")
+    )
+
+
 def row_flags() -> Column:
-    """Names of what is notable in a family's counts (evidence, detected, rescued, duplicates, ambiguous, primary_evidence)."""
-    q, r, d, a, kind = (F.col(c) for c in ("detected", "rescued", "duplicates", "ambiguous", "primary_evidence"))
+    """Names of what is notable in a family's counts, in the order of the contract (evidence, detected, rescued, duplicates, ambiguous,
+    primary_evidence, dependency)."""
+    q, r, d, a, kind, rests = (F.col(c) for c in ("detected", "rescued", "duplicates", "ambiguous", "primary_evidence", "dependency"))
+    loser = F.col("evidence").contains("primary_family_consolidation_loser") | F.col("evidence").contains("pre_backfill_identity_consolidation_loser")
     return flags(
-        (kind == "single_sample_local_owner", "single_sample_local_owner"), (q == 1, "single_detected_seed"), ((kind == "anchored_family") & (q == 1), "anchored_single_detected"),
-        ((r > q) & (q > 0), "rescue_heavy"), ((q == 0) & (r > 0), "rescue_only"), (d > 0, "duplicate_claim_pressure"), ((q == 0) & (d > 0) & (r == 0), "duplicate_only"),
+        (kind == "single_sample_local_owner", "single_sample_local_owner"), (q == 1, "single_detected_seed"), (loser, "family_consolidation_loser"), ((kind == "anchored_family") & (q == 1), "anchored_single_detected"),
+        ((r > q) & (q > 0), "rescue_heavy"), (rests == "extreme_backfill_dependency", "high_backfill_dependency"), (rests == "weak_seed_backfill_dependency", "weak_seed_backfill_dependency"),
+        (rests == "weak_seed_tolerated", "weak_seed_tolerated"), ((q == 0) & (r > 0), "rescue_only"), (d > 0, "duplicate_claim_pressure"), ((q == 0) & (d > 0) & (r == 0), "duplicate_only"),
         (a > 0, "ambiguous_ms1_owner_pressure"), ((q == 0) & (a > 0) & (r == 0), "ambiguous_only"), ((q == 0) & (r == 0) & (d == 0), "zero_present"),
     )
 

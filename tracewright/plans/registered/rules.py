@@ -117,13 +117,26 @@ def family_counts(b):
     return joined.withColumn("primary_evidence", R.primary_evidence(F.col("evidence"), F.col("detected"), F.col("has_anchor")))
 
 
+# Cells that aren't quantifiable don't count here, so that some families rest on rescued cells; families without an anchor have weak seeds.
 @query("flt11_family_flags", f"""
-WITH {_COUNTS} SELECT family_id, primary_evidence, concat_ws(';', CASE WHEN primary_evidence = 'single_sample_local_owner' THEN 'single_sample_local_owner' END, CASE WHEN detected = 1 THEN 'single_detected_seed' END,
-  CASE WHEN primary_evidence = 'anchored_family' AND detected = 1 THEN 'anchored_single_detected' END, CASE WHEN rescued > detected AND detected > 0 THEN 'rescue_heavy' END, CASE WHEN detected = 0 AND rescued > 0 THEN 'rescue_only' END,
+WITH {_COUNTS}, g AS (
+  SELECT f.*, CASE WHEN evidence = 'folded' THEN 'folded;primary_family_consolidation_loser;winner=F0' ELSE evidence END AS ev, rescued / CAST(detected + rescued AS DOUBLE) AS share, tag <> 'tag0' AND detected > 0 AS open, has_anchor
+  FROM f JOIN (SELECT family_id, has_anchor FROM families) x USING (family_id)
+), h AS (
+  SELECT *, CASE WHEN open AND detected <= 2 AND share >= 0.70 THEN 'extreme' WHEN open AND detected <= 3 AND share >= 0.60 THEN CASE WHEN has_anchor THEN 'tolerated' ELSE 'weak' END END AS rests FROM g
+)
+SELECT family_id, primary_evidence, concat_ws(';', CASE WHEN primary_evidence = 'single_sample_local_owner' THEN 'single_sample_local_owner' END, CASE WHEN detected = 1 THEN 'single_detected_seed' END,
+  CASE WHEN contains(ev, 'primary_family_consolidation_loser') THEN 'family_consolidation_loser' END,
+  CASE WHEN primary_evidence = 'anchored_family' AND detected = 1 THEN 'anchored_single_detected' END, CASE WHEN rescued > detected AND detected > 0 THEN 'rescue_heavy' END,
+  CASE WHEN rests = 'extreme' THEN 'high_backfill_dependency' END, CASE WHEN rests = 'weak' THEN 'weak_seed_backfill_dependency' END, CASE WHEN rests = 'tolerated' THEN 'weak_seed_tolerated' END,
+  CASE WHEN detected = 0 AND rescued > 0 THEN 'rescue_only' END,
   CASE WHEN duplicates > 0 THEN 'duplicate_claim_pressure' END, CASE WHEN detected = 0 AND duplicates > 0 AND rescued = 0 THEN 'duplicate_only' END, CASE WHEN ambiguous > 0 THEN 'ambiguous_ms1_owner_pressure' END,
-  CASE WHEN detected = 0 AND ambiguous > 0 AND rescued = 0 THEN 'ambiguous_only' END, CASE WHEN detected = 0 AND rescued = 0 AND duplicates = 0 THEN 'zero_present' END) AS flags FROM f""")
+  CASE WHEN detected = 0 AND ambiguous > 0 AND rescued = 0 THEN 'ambiguous_only' END, CASE WHEN detected = 0 AND rescued = 0 AND duplicates = 0 THEN 'zero_present' END) AS flags FROM h""")
 def flt11(b):
-    return family_counts(b).select("family_id", "primary_evidence", F.array_join(R.row_flags(), ";").alias("flags"))
+    evidence = F.when(F.col("evidence") == "folded", "folded;primary_family_consolidation_loser;winner=F0").otherwise(F.col("evidence"))
+    rests = R.backfill_dependency(F.col("tag") != "tag0", F.col("detected"), F.col("rescued"), F.col("detected") + F.col("rescued"), ~F.col("has_anchor"), F.lit(True))
+    rows = family_counts(b).withColumns({"evidence": evidence, "dependency": rests})
+    return rows.select("family_id", "primary_evidence", F.array_join(R.row_flags(), ";").alias("flags"))
 
 
 @query("flt13_backfill_dependency", f"""
