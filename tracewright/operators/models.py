@@ -118,6 +118,20 @@ def correct_baseline(traces: DataFrame, smoothness: float = 1e5, asymmetry: floa
     return placed.mapInPandas(run, "trace_id int, idx int, rt double, intensity double, baseline double, residual double")
 
 
+def local_signal_to_noise(traces: DataFrame, apexes: DataFrame) -> DataFrame:
+    """(trace_id, apex_idx, usable, noise, ratio) of apexes (trace_id, apex_idx): their height above the trace's baseline over the median deviation of
+    all its heights above it. Traces of under five points or with values that aren't finite, and apexes beyond the trace, aren't usable; without
+    noise the ratio is null."""
+    fine = F.bool_and(F.coalesce(F.col("intensity").isNotNull() & ~F.isnan("intensity") & (F.abs("intensity") < float("inf")), F.lit(False)))
+    good = traces.groupBy("trace_id").agg(F.count("*").alias("_n"), fine.alias("_f")).where("_n >= 5 AND _f").select("trace_id")
+    off = written(correct_baseline(traces.join(good, "trace_id", "left_semi")).select("trace_id", "idx", (F.col("intensity") - F.col("baseline")).alias("off")))
+    centre = off.groupBy("trace_id").agg(F.percentile("off", 0.5).alias("_c"))
+    noise = off.join(centre, "trace_id").groupBy("trace_id").agg(F.percentile(F.abs(F.col("off") - F.col("_c")), 0.5).alias("noise"))
+    at = off.select("trace_id", F.col("idx").alias("apex_idx"), "off")
+    rows = apexes.select("trace_id", "apex_idx").join(at, ["trace_id", "apex_idx"], "left").join(noise, "trace_id", "left")
+    return rows.select("trace_id", "apex_idx", F.col("off").isNotNull().alias("usable"), "noise", F.when(F.col("noise") > 0, F.col("off") / F.col("noise")).alias("ratio"))
+
+
 def predicted_delta(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Weighted mean of neighbouring anchors' deltas, with weights by RT and injection distance, and how well the neighbours agree."""
     weight = 1 / (0.25 + F.abs("d_rt")) / (1 + F.abs("d_order") / 10)

@@ -178,6 +178,16 @@ def width_severity(ratio: Column) -> Column:
     return first_of((ratio.isNull(), 0), otherwise=graded(ratio, ~finite(ratio) | (ratio < 0.3) | (ratio > 3.0), (ratio < 0.5) | (ratio > 2.0)))
 
 
+def local_noise_severity(usable: Column, noise: Column, ratio: Column, dirty: bool = False) -> Column:
+    """0, 1 or 2 from an apex's local signal to noise: 2 where it can't be had, 0 on a trace without noise."""
+    return first_of((~usable, 2), (noise <= 0, 0), otherwise=noise_severity(ratio, dirty))
+
+
+def outside_window(observed: Column, low: Column, high: Column) -> Column:
+    """Whether an RT lies outside its window, or any of the three isn't a finite number."""
+    return ~(finite(observed) & finite(low) & finite(high)) | F.coalesce((observed < low) | (observed > high), F.lit(True))
+
+
 def total_confidence(total: Column) -> Column:
     return first_of((total == 0, "HIGH"), (total <= 2, "MEDIUM"), (total <= 4, "LOW"), otherwise="VERY_LOW")
 

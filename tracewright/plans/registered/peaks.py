@@ -8,9 +8,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ...functions.tables import written
+from ...operators import models as M
 from ...operators import peakquality as Q
 from ...operators import peaks as P
 from ...operators import proposals as PR
+from ...operators import rules as R
 from ...operators import traces as T
 from ..catalog import query
 from .traces import _CONT, _PEAKS, _REGIONS, _regions
@@ -293,3 +295,17 @@ def win15_wavelet(b):
     found = written(P.resolve(b.traces))
     rows = P.boundary_hypotheses(b.traces, PR.with_scales(found, PR.wavelet_candidates(b.traces)))
     return rows.select("trace_id", "region", "left", "right", F.array_join("sources", ";").alias("sources"), _R6("width"), F.round("area", 3).alias("area"), "scans")
+
+
+@query("flt18_noise_and_window")
+def flt18_noise(b):
+    """The severities that need a trace: local signal to noise at its highest point, in clean and dirty matrices, and whether that lies outside a window."""
+    top = F.min_by(F.struct("idx", "rt"), F.struct(-F.col("intensity"), F.col("idx"))).alias("a")
+    apexes = b.traces.groupBy("trace_id").agg(top).select("trace_id", F.col("a.idx").alias("apex_idx"), F.col("a.rt").alias("apex_rt"))
+    found = M.local_signal_to_noise(b.traces, apexes).join(apexes.select("trace_id", "apex_rt"), "trace_id")
+    parts = (F.col("usable"), F.col("noise"), F.col("ratio"))
+    low = (F.col("trace_id") % 5) * 0.4
+    return found.select(
+        "trace_id", "apex_idx", F.round("ratio", 5).alias("ratio"), R.local_noise_severity(*parts).alias("local_sn"), R.local_noise_severity(*parts, dirty=True).alias("local_sn_dirty"),
+        R.outside_window(F.col("apex_rt"), low, low + 1.5).alias("outside_window"),
+    )
