@@ -306,7 +306,7 @@ def likelihood(weights: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray
     return value, (g_near, g_coarse, gold_pairs - expected)
 
 
-def train(table: list[tuple[list[str], list[str]]], steps: int = 250, rate: float = 0.1, ridge: float = 0.003) -> CrfModel:
+def train(table: list[tuple[list[str], list[str]]], steps: int = 250, rate: float = 0.1, ridge: float = 0.001) -> CrfModel:
     """Adam on the log-likelihood of (words, labels), with a ridge."""
     fine = sorted({shape(w) for words, _ in table for w in words} - {"a"})
     shapes = {"a": PLAIN} | {s: PLAIN + 1 + i for i, s in enumerate(fine)}
