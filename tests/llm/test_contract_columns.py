@@ -45,3 +45,15 @@ def test_pii_counts_are_those_of_the_fixed_patterns(spark, tmp_path):
         for k, kind in enumerate(pii.KINDS):
             assert got[i][f"n_{kind}"] == sum(b[1] == k for b in base), (text, kind)
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{e}" for a, k, e in base).encode()).hexdigest()
+
+
+def test_url_verdicts_have_the_columns_and_rows_of_their_sql(spark, tmp_path):
+    urls = [None, "", "http://a.net/es/1", "https://EXAMPLE.com/en/", "http://www.example.com/en/?q", "no scheme", "http://a.com", "http://a.net/es/1"]
+    pages = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op13_url_filters(spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        wanted = con.execute(urlfilter.ORACLE)
+        assert got.columns == [c[0] for c in wanted.description]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, wanted.fetchall()))
