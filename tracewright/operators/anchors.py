@@ -27,7 +27,7 @@ def _near(probes: DataFrame, anchors: DataFrame, size: float) -> DataFrame:
     asked = probes.select("*", around("x").alias("_cx")).select("*", around("y").alias("_cy"))
     known = anchors.select(cell("ax").alias("_cx"), cell("ay").alias("_cy"), *_ANCHOR, "ax", "ay")
     minutes, orders = F.abs(F.col("rt") - F.col("anchor_rt")), F.abs(F.col("injection_order") - F.col("anchor_order"))
-    return asked.join(known, ["_cx", "_cy"]).where(F.col("probe") != F.col("anchor")).withColumns({"distance": minutes / RT_WINDOW + orders / ORDER_WINDOW, "_in": (minutes <= RT_WINDOW) & (orders <= ORDER_WINDOW)}).drop("_cx", "_cy")
+    return asked.hint("merge").join(known.hint("merge"), ["_cx", "_cy"]).where(F.col("probe") != F.col("anchor")).withColumns({"distance": minutes / RT_WINDOW + orders / ORDER_WINDOW, "_in": (minutes <= RT_WINDOW) & (orders <= ORDER_WINDOW)}).drop("_cx", "_cy")
 
 
 def local_anchors(anchors: DataFrame, probes: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def local_anchors(anchors: DataFrame, probes: DataFrame) -> DataFrame:
     )
     same = k_nearest(both, ~F.col("asks"), F.col("asks"), ["compound"], "order", "name", MOST, ["rt", "delta"])
     held = same.withColumn("_n", F.count("*").over(W.partitionBy("compound", "name"))).where("_n >= 2")
-    own = held.select(F.col("name").alias("probe"), "rank", "anchor", F.col("anchor_rt"), F.col("anchor_order"), F.col("anchor_delta").alias("delta")).join(probes.select("probe", "rt", "injection_order"), "probe")
+    own = held.select(F.col("name").alias("probe"), "rank", "anchor", F.col("anchor_rt"), F.col("anchor_order"), F.col("anchor_delta").alias("delta")).join(probes.select("probe", "rt", "injection_order").hint("merge"), "probe")
     minutes, orders = F.abs(F.col("rt") - F.col("anchor_rt")), F.abs(F.col("injection_order") - F.col("anchor_order"))
     out = ["probe", "tier", "rank", *_ANCHOR, "distance", "in_window"]
     done = [written(own.select("probe", F.lit("compound").alias("tier"), "rank", *_ANCHOR, (minutes / RT_WINDOW + orders / ORDER_WINDOW).alias("distance"), ((minutes <= RT_WINDOW) & (orders <= ORDER_WINDOW)).alias("in_window")))]
@@ -92,13 +92,13 @@ def local_drift(anchors: DataFrame, probes: DataFrame) -> DataFrame:
     anchors), extrapolated (outside the anchors' RTs or orders), covered (LEAST of the local ones in both windows) or sparse. scope and position:
     where the RT lies on the anchors' range, in percent.
     """
-    near = local_anchors(anchors, probes).join(probes.select("probe", "rt", "injection_order"), "probe")
+    near = local_anchors(anchors, probes).join(probes.select("probe", "rt", "injection_order").hint("merge"), "probe")
     weight = 1 / (0.25 + F.abs(F.col("rt") - F.col("anchor_rt"))) / (1 + F.abs(F.col("injection_order") - F.col("anchor_order")) / 10)
     guess = near.withColumn("_w", weight).withColumn("predicted", F.sum(F.col("_w") * F.col("delta")).over(W.partitionBy("probe")) / F.sum("_w").over(W.partitionBy("probe")))
     off = F.abs(F.col("delta") - F.col("predicted"))
     found = guess.groupBy("probe", "tier", "predicted").agg(median(off).alias("uncertainty"), F.percentile(off, 0.95).alias("residual_p95"), F.count("*").alias("anchors"), F.count_if("in_window").alias("_window"))
     range_ = anchors.agg(F.min("rt").alias("_r0"), F.max("rt").alias("_r1"), F.min("injection_order").alias("_o0"), F.max("injection_order").alias("_o1"))
-    rows = probes.select("probe", "rt", "injection_order").join(found, "probe", "left").join(F.broadcast(range_))  # one row
+    rows = probes.select("probe", "rt", "injection_order").join(found.hint("merge"), "probe", "left").join(F.broadcast(range_))  # one row
     rt, order = F.col("rt"), F.col("injection_order")
     beyond = (rt < F.col("_r0")) | (rt > F.col("_r1")) | (order < F.col("_o0")) | (order > F.col("_o1"))
     coverage = first_of(

@@ -1,5 +1,8 @@
 """Joins: bands of m/z or time, nearest rows, and comparisons of tables.
 
+Sides that are copied to several keys are merged with the other side by hints: Spark's estimates don't know of the copies, and would have
+broadcast them through the driver.
+
 A band join never compares all pairs: one side's values go to buckets as wide as the largest tolerance, the other side is copied to a
 bucket and its two neighbours, and the exact predicate follows the equi-join.
 """
@@ -25,7 +28,7 @@ def band_join(left: DataFrame, right: DataFrame, left_value: str | Column, right
     whole = condition[0]
     for c in condition[1:]:
         whole = whole & c
-    joined = marked.join(near, whole & where, how)
+    joined = marked.join(near.hint("merge"), whole & where, how)  # copies make it larger than Spark expects: never broadcast
     if how != "inner":
         return joined.drop("_bucket")
     return joined.drop(*[near[c] for c in [*on, "_bucket"]]).drop("_bucket")
@@ -132,7 +135,7 @@ def k_nearest(rows: DataFrame, is_anchor: Column, is_probe: Column, keys: list[s
     shown = [F.col(name).alias("anchor"), F.col(order).alias(f"anchor_{order}"), *[F.col(c).alias(f"anchor_{c}") for c in carried]]
     anchors = placed.where("_a").select(*keys, F.col("_at").alias("_number"), *shown)
     probes = placed.where("_p").select("*", F.explode(F.sequence(F.col("_at") - k - 1, F.col("_at") + k + 1)).alias("_number"))
-    near = probes.join(anchors, [*keys, "_number"]).where(F.col(name) != F.col("anchor"))
+    near = probes.hint("merge").join(anchors.hint("merge"), [*keys, "_number"]).where(F.col(name) != F.col("anchor"))
     by = W.partitionBy(*keys, name).orderBy(F.abs(F.col(order) - F.col(f"anchor_{order}")), "anchor")
     return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("_a", "_p", "_at", "_number")
 
