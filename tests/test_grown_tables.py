@@ -21,3 +21,25 @@ def test_copied_sides_are_not_broadcast(spark):
     assert got == {(a, b) for a in range(50) for b in range(50) if a % 3 == b % 3 and abs(a / 7 - b / 5) <= 0.5}
     rows = spark.range(90).selectExpr("concat('n', id) AS name", "id AS o", "id % 2 AS g", "id % 3 = 0 AS fixed", "id * 1e0 AS rt")
     assert "Broadcast" not in static_plan(joins.k_nearest(rows, F.col("fixed"), F.lit(True), ["g"], "o", "name", 3, ["rt"]))
+
+
+def test_traces_are_not_shuffled(spark):
+    rnd = random.Random(4)
+    scans = [(f"S{n % 2}", n, n / 10) for n in range(60)]
+    points = [(s, n, rt, 100 + rnd.randrange(4) * 0.001, float(rnd.randrange(1, 9))) for s, n, rt in scans for _ in range(3)]
+    requests = [(f"T{k}", f"S{k % 3}", 100 + k % 4 * 0.001, k / 4, k / 4 + 1.5, 15.0) for k in range(20)]
+    tables = (
+        spark.createDataFrame(points, "sample string, scan_number int, rt double, mz double, intensity double"), spark.createDataFrame(scans, "sample string, scan_number int, rt double"),
+        spark.createDataFrame(requests, "label string, sample string, mz double, rt_min double, rt_max double, ppm_tol double"),
+    )
+    for how, f in (("max", max), ("sum", sum)):
+        frame = joins.extract_traces(*tables, how)
+        after = static_plan(frame).split("Generate")[0]
+        assert "Exchange" not in after and "Sort" not in after
+        expected = []
+        for label, sample, mz, lo, hi, ppm in requests:
+            for s, n, rt in scans:
+                if s == sample and lo <= rt <= hi:
+                    held = [i for ps, pn, _, m, i in points if ps == s and pn == n and mz * (1 - ppm / 1e6) <= m <= mz * (1 + ppm / 1e6)]
+                    expected.append((label, sample, n, rt, f(held) if held else 0.0))
+        assert sorted(map(tuple, frame.collect())) == sorted(expected) and expected
