@@ -43,3 +43,36 @@ def test_traces_are_not_shuffled(spark):
                     held = [i for ps, pn, _, m, i in points if ps == s and pn == n and mz * (1 - ppm / 1e6) <= m <= mz * (1 + ppm / 1e6)]
                     expected.append((label, sample, n, rt, f(held) if held else 0.0))
         assert sorted(map(tuple, frame.collect())) == sorted(expected) and expected
+
+
+def plain_loess(rows, share=0.3, fewest=5):
+    out = {}
+    for name, key, x, y in rows:
+        own = [r for r in rows if r[1] == key]
+        k = max(-int(-len(own) * share // 1), fewest)
+        near = sorted(((abs(r[2] - x), r[0], r[2], r[3]) for r in own if r[0] != name))[:k]
+        if not near:
+            continue
+        far = near[-1][0]
+        w = [((1 - (d / far) ** 3) ** 3 if far else 1.0) for d, *_ in near]
+        sw, sx, sy = sum(w), sum(a * r[2] for a, r in zip(w, near)), sum(a * r[3] for a, r in zip(w, near))
+        sxx, sxy = sum(a * r[2] ** 2 for a, r in zip(w, near)), sum(a * r[2] * r[3] for a, r in zip(w, near))
+        if sw <= 0:
+            continue
+        det = sw * sxx - sx * sx
+        b = (sw * sxy - sx * sy) / det if abs(det) > 1e-9 else None
+        out[name, key] = sy / sw if b is None else (sy - b * sx) / sw + b * x
+    return out
+
+
+def test_loess_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(models, "LOESS_PLACES", 8)
+    rnd = random.Random(2)
+    rows = [(f"s{n:03}", k, x, rnd.randrange(100) / 7) for k, n_rows, orders in (("a", 60, 300), ("b", 60, 4), ("c", 1, 9), ("d", 2, 9), ("e", 9, 1), ("f", 40, 12)) for n in range(n_rows) for x in [rnd.randrange(orders)]]
+    frame = spark.createDataFrame(rows, "sample string, label string, o int, rt double")
+    got = {(r.sample, r.label): r.reference for r in models.loess(frame, "label", "sample", "o", "rt").collect()}
+    expected = plain_loess(rows)
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(v, abs=1e-6) for k, v in expected.items())
+    plan = static_plan(models.loess(frame, "label", "sample", "o", "rt"))
+    assert "o_name" not in plan

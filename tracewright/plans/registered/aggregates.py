@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ...operators import priors as PRI
 from ...operators import joins as J
+from ...operators import models as M
 from ...operators import rules as R
 from ..catalog import query
 from .joins import _NEAR, near_families, paired
@@ -307,20 +308,7 @@ t AS (SELECT sample_name, label, x0, sum(w) AS sw, sum(w * x) AS sx, sum(w * rt)
 SELECT sample_name, label, round(CASE WHEN abs(sw * sxx - sx * sx) > 1e-9 THEN (sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw + (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * x0 ELSE sy / sw END, 5) AS reference FROM t WHERE sw > 0""")
 def win02(b):
     """A local line through the nearest injections of other samples, with tricube weights."""
-    rows = b.standards.where("injection_order IS NOT NULL").select("sample_name", "label", F.col("injection_order").alias("x"), "rt")
-    k = rows.groupBy("label").agg(F.greatest(F.ceil(F.count("*") * 0.3), F.lit(5), F.lit(3)).alias("k"))
-    other = rows.select("label", F.col("sample_name").alias("o_name"), F.col("x").alias("o_x"), F.col("rt").alias("o_rt"))
-    own = W.partitionBy("sample_name", "label")
-    dist = F.abs(F.col("o_x") - F.col("x"))
-    near = rows.join(other, "label").where("o_name <> sample_name").withColumn("dist", dist).withColumn("r", F.row_number().over(own.orderBy("dist", "o_name"))).join(k, "label").where("r <= k").withColumn("far", F.max("dist").over(own))
-    w = F.when(F.col("far") > 0, F.pow(1 - F.pow(F.col("dist") / F.col("far"), 3), 3)).otherwise(1.0)
-    t = near.withColumn("w", w).groupBy("sample_name", "label", "x").agg(
-        F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("o_x")).alias("sx"), F.sum(F.col("w") * F.col("o_rt")).alias("sy"), F.sum(F.col("w") * F.col("o_x") * F.col("o_x")).alias("sxx"), F.sum(F.col("w") * F.col("o_x") * F.col("o_rt")).alias("sxy")
-    )
-    det = F.col("sw") * F.col("sxx") - F.col("sx") * F.col("sx")
-    slope = (F.col("sw") * F.col("sxy") - F.col("sx") * F.col("sy")) / det
-    line = F.when(F.abs(det) > 1e-9, (F.col("sy") - slope * F.col("sx")) / F.col("sw") + slope * F.col("x")).otherwise(F.col("sy") / F.col("sw"))
-    return t.where("sw > 0").select("sample_name", "label", F.round(line, 5).alias("reference"))
+    return M.loess(b.standards, "label", "sample_name", "injection_order", "rt").select("sample_name", "label", F.round("reference", 5).alias("reference"))
 
 
 @query("win25_keep_best_rescue", """
