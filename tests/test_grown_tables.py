@@ -76,3 +76,12 @@ def test_loess_equals_all_pairs(spark, monkeypatch):
     assert all(got[k] == pytest.approx(v, abs=1e-6) for k, v in expected.items())
     plan = static_plan(models.loess(frame, "label", "sample", "o", "rt"))
     assert "o_name" not in plan
+
+
+def test_applicability_is_dealt_over_the_cores(spark):
+    samples = spark.createDataFrame([("Tumor_RNA_1",), ("QC_2",), ("Program-R-N-A_3",)], "sample_name string").coalesce(1)
+    targets = spark.createDataFrame([("T1", "all"), ("T2", "rna_containing"), ("T3", "plasma"), ("T4", None), ("T5", "")], "label string, sample_applicability string").coalesce(1)
+    frame = rules.applicability(samples, targets)
+    assert frame.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    single = samples.crossJoin(targets).select("sample_name", "label", rules.exclusion_reason(F.col("sample_applicability"), F.col("sample_name")).alias("reason"))
+    assert sorted(map(str, frame.collect())) == sorted(map(str, single.collect()))
