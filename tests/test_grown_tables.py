@@ -85,3 +85,25 @@ def test_applicability_is_dealt_over_the_cores(spark):
     assert frame.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     single = samples.crossJoin(targets).select("sample_name", "label", rules.exclusion_reason(F.col("sample_applicability"), F.col("sample_name")).alias("reason"))
     assert sorted(map(str, frame.collect())) == sorted(map(str, single.collect()))
+
+
+def test_equal_peaks_are_audited_once(spark):
+    """Many peaks that ask for the same give what each gives alone."""
+    rnd = random.Random(5)
+    scans = [("S0", n, n / 10, 200.0 + n % 3, None if n % 7 else "bad") for n in range(60)]
+    ions = [("S0", n, 80 + rnd.randrange(6) * 0.001, float(rnd.randrange(1, 50))) for n in range(60) for _ in range(3)]
+    kinds = [("S0", 1.0, 200.0), ("S0", 3.3, 201.0), ("S0", None, 200.0), ("S1", 1.0, 200.0), ("S0", 90.0, 202.0)]
+    s = spark.createDataFrame(scans, "sample string, scan_number int, rt double, precursor_mz double, parse_error string")
+    i = spark.createDataFrame(ions, "sample string, scan_number int, mz double, intensity double")
+
+    def audit(copies):
+        peaks = [(f"{k}|{c}", *kind) for k, kind in enumerate(kinds) for c in range(copies)]
+        expected = [(p[0], name, mz) for p in peaks for name, mz in (("a", 80.0005), ("b", 80.004))]
+        found = evidence.product_ion_audit(
+            spark.createDataFrame(peaks, "peak_id string, sample string, apex_rt double, precursor_mz double"), s, i, spark.createDataFrame(expected, "peak_id string, product string, product_mz double")
+        )
+        return {r.peak_id: tuple(r)[1:] for r in found.collect()}
+
+    one, many = audit(1), audit(40)
+    assert len(many) == 40 * len(kinds) and all(v == one[k.split("|")[0] + "|0"] for k, v in many.items())
+    assert {v[-1] for v in one.values()} >= {"hcd_supported", "no_ms2_trigger"}
