@@ -12,7 +12,7 @@ from ...operators import traces as T
 from ...operators.graph import components
 from ..catalog import query
 from .groups import _MATRIX, matrix
-from .joins import _EDGES, _NEAR, near_families, owner_edges
+from .joins import _EDGES, _NEAR, near_families
 from .rules import _ACCEPTED, _COUNTS, _QUALITY, family_counts, quality_cells
 from .traces import _REGIONS, _SPLITS, _regions
 
