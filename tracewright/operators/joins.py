@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.tables import written
 
 
+#: Anchors of one array in k_nearest().
+ANCHORS = 256
+
+
 def band_join(left: DataFrame, right: DataFrame, left_value: str | Column, right_value: str | Column, width: float, on: list[str], where: Column, how: str = "inner") -> DataFrame:
     """Rows of equal `on` columns whose values lie within `width`, and for which `where` holds. how: inner, left_semi or left_anti.
 
@@ -82,14 +86,23 @@ def extract_traces(points: DataFrame, scans: DataFrame, requests: DataFrame, how
     return filled.select("label", "sample", "_scan.scan_number", "_scan.rt", F.coalesce(F.element_at("_found", F.col("_scan.scan_number")), F.lit(0.0)).alias("intensity"))
 
 
+def _neighbours(scans: DataFrame) -> DataFrame:
+    """Each scan with the RTs before and after it in its sample. Scans are put in order by minute, and then the minutes' ends alone."""
+    timed = scans.select("sample", "scan_number", "rt", F.floor("rt").alias("_minute"))
+    ends, along = timed.groupBy("sample", "_minute").agg(F.min("rt").alias("_low"), F.max("rt").alias("_high")), W.partitionBy("sample").orderBy("_minute")
+    around = ends.select("sample", "_minute", F.lag("_high").over(along).alias("_was"), F.lead("_low").over(along).alias("_next"))
+    by = W.partitionBy("sample", "_minute").orderBy("rt", "scan_number")
+    own = timed.withColumns({"_before": F.lag("rt").over(by), "_after": F.lead("rt").over(by)}).join(around.hint("merge"), ["sample", "_minute"])
+    return own.select("sample", "scan_number", F.coalesce("_before", "_was").alias("_before"), F.coalesce("_after", "_next").alias("_after"))
+
+
 def trace_areas(points: DataFrame, scans: DataFrame, requests: DataFrame) -> DataFrame:
     """(label, sample, area): the trapezoid area, in intensity times seconds, of each request's trace, which isn't built.
 
     A scan without a point adds nothing, and one with a point adds its intensity times half of the way to its neighbouring scans, as far as they
     lie in the window. Requests without a scan in their window give no row.
     """
-    by = W.partitionBy("sample").orderBy("rt", "scan_number")
-    placed = scans.select("sample", "scan_number", F.lag("rt").over(by).alias("_before"), F.lead("rt").over(by).alias("_after"))
+    placed = _neighbours(scans)
     found = _hits(points, requests).groupBy("_request", "sample", "scan_number", "rt", "rt_min", "rt_max").agg(F.max("intensity").alias("intensity"))
     way = F.when(F.col("_before") >= F.col("rt_min"), F.col("rt") - F.col("_before")).otherwise(0.0) + F.when(F.col("_after") <= F.col("rt_max"), F.col("_after") - F.col("rt")).otherwise(0.0)
     areas = found.join(placed, ["sample", "scan_number"]).groupBy("_request").agg((F.sum(F.col("intensity") * way) / 2 * 60).alias("area"))
@@ -130,17 +143,24 @@ def numbered(rows: DataFrame, keys: list[str], order: str, tie: list[Column], na
 def k_nearest(rows: DataFrame, is_anchor: Column, is_probe: Column, keys: list[str], order: str, name: str, k: int, carried: list[str], width: int = 4096) -> DataFrame:
     """The k anchors nearest to each probe by an integer column, with `anchor`, their name, `anchor_*`, the carried columns, and their `rank`.
 
-    Anchors are numbered by their order; a probe meets the numbers around its own place only, by an equi-join. Ties go to the smaller name; a row
-    isn't its own anchor. Anchors of one order and key, at most, are expected to be fewer than k on a side.
+    Anchors are numbered by their order and lie in arrays of ANCHORS numbers, with the k + 1 on either side; a probe meets the array around its own place
+    and takes what it needs of it, so that no row is copied to several numbers. Ties go to the smaller name; a row isn't its own anchor. Anchors of
+    one order and key, at most, are expected to be fewer than k on a side.
     """
     known = rows.withColumns({"_a": F.coalesce(is_anchor, F.lit(False)), "_p": F.coalesce(is_probe, F.lit(False))}).where("_a OR _p")
     placed = written(numbered(known, keys, order, [F.col(name)], "_at", width, F.col("_a")))
     shown = [F.col(name).alias("anchor"), F.col(order).alias(f"anchor_{order}"), *[F.col(c).alias(f"anchor_{c}") for c in carried]]
-    anchors = placed.where("_a").select(*keys, F.col("_at").alias("_number"), *shown)
-    probes = placed.where("_p").select("*", F.explode(F.sequence(F.col("_at") - k - 1, F.col("_at") + k + 1)).alias("_number"))
-    near = probes.hint("merge").join(anchors.hint("merge"), [*keys, "_number"]).where(F.col(name) != F.col("anchor"))
-    by = W.partitionBy(*keys, name).orderBy(F.abs(F.col(order) - F.col(f"anchor_{order}")), "anchor")
-    return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("_a", "_p", "_at", "_number")
+    block = lambda off=0: F.floor((F.col("_at") + off) / ANCHORS)
+    copied = placed.where("_a").select(*keys, F.explode(F.sequence(block(-k - 1), block(k + 1))).alias("_block"), F.struct(F.col("_at").alias("number"), *shown).alias("_anchor"))
+    arrays = copied.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list("_anchor")).alias("_near"))
+    near = placed.where("_p").withColumn("_block", block()).join(arrays.hint("merge"), [*keys, "_block"])
+    first = F.col("_near")[0]["number"]
+    start, stop = F.greatest(F.col("_at") - k - 1 - first, F.lit(0)).cast("int"), (F.col("_at") + k + 1 - first).cast("int")
+    others = F.filter(F.slice("_near", start + 1, F.greatest(stop - start + 1, F.lit(0))), lambda a: F.col(name) != a["anchor"])
+    off = lambda a: F.struct(F.abs(F.col(order) - a[f"anchor_{order}"]).alias("off"), *[a[c].alias(c) for c in ("anchor", f"anchor_{order}", *[f"anchor_{c}" for c in carried])])
+    kept = F.slice(F.sort_array(F.transform(others, off)), 1, k)
+    found = near.withColumn("_kept", kept).drop("_a", "_p", "_at", "_block", "_near").select("*", F.posexplode("_kept").alias("_pos", "_one")).drop("_kept")
+    return found.select("*", "_one.*", (F.col("_pos") + 1).alias("rank")).drop("_pos", "_one", "off")
 
 
 def total_order(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
