@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import evidence, joins, models, rules
+from tracewright.operators import peaks as P
+from tracewright.operators import traces as T
 
 
 def static_plan(frame):
@@ -107,3 +110,50 @@ def test_equal_peaks_are_audited_once(spark):
     one, many = audit(1), audit(40)
     assert len(many) == 40 * len(kinds) and all(v == one[k.split("|")[0] + "|0"] for k, v in many.items())
     assert {v[-1] for v in one.values()} >= {"hcd_supported", "no_ms2_trigger"}
+
+
+def test_nearest_anchors_are_not_copied_to_numbers(spark, monkeypatch):
+    """Arrays of a few anchors give what comparing all gives, and no window sorts copies of the rows."""
+    monkeypatch.setattr(joins, "ANCHORS", 5)
+    rnd = random.Random(8)
+    rows = [(f"n{i:03}", f"c{rnd.randrange(2)}", rnd.randrange(10**6), rnd.random() < 0.3, rnd.random()) for i in range(200)]
+    found = joins.k_nearest(spark.createDataFrame(rows, "name string, c string, o int, known boolean, rt double"), F.col("known"), F.lit(True), ["c"], "o", "name", 3, ["rt"])
+    assert "Window" not in static_plan(found)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["name"], []).append((r["rank"], r.anchor, r.anchor_o, r.anchor_rt))
+    for name, c, o, _, _ in rows:
+        near = sorted((abs(o - p), n, p, rt) for n, d, p, a, rt in rows if a and d == c and n != name)[:3]
+        assert sorted(got.get(name, [])) == [(k + 1, n, p, rt) for k, (_, n, p, rt) in enumerate(near)]
+
+
+def test_maxima_take_no_join(spark):
+    traces = spark.range(40).selectExpr("CAST(id % 2 AS INT) AS trace_id", "CAST(floor(id / 2) AS INT) AS idx", "id / 9e0 AS rt", "CAST((id * id) % 7 AS DOUBLE) AS intensity")
+    assert "Join" not in static_plan(T.local_maxima(traces))
+
+
+def test_neighbours_over_minutes(spark):
+    rnd = random.Random(9)
+    scans = [(f"S{k % 2}", k, round(rnd.random() * 60, 1)) for k in range(60)]
+    frame = joins._neighbours(spark.createDataFrame(scans, "sample string, scan_number int, rt double"))
+    assert "hashpartitioning(sample#" not in static_plan(frame).split("Window")[0]
+    got = {(r["sample"], r.scan_number): (r["_before"], r["_after"]) for r in frame.collect()}
+    for s in ("S0", "S1"):
+        own = sorted((rt, n) for x, n, rt in scans if x == s)
+        for k, (_, n) in enumerate(own):
+            assert got[s, n] == (own[k - 1][0] if k else None, own[k + 1][0] if k + 1 < len(own) else None)
+
+
+def test_curves_and_prominences_take_no_call_for_each_group(spark):
+    traces = spark.range(400).selectExpr("CAST(id % 7 AS INT) AS trace_id", "CAST(floor(id / 7) AS INT) AS idx", "floor(id / 7) / 20e0 AS rt", "CAST((id * id) % 11 AS DOUBLE) AS intensity")
+    apexes = spark.range(21).selectExpr("CAST(id % 7 AS INT) AS trace_id", "CAST(floor(id / 7) AS INT) AS region", "0.3e0 + floor(id / 7) AS apex_rt")
+    curves = P.apex_curves(traces, apexes)
+    assert "FlatMapGroups" not in static_plan(curves) and "FlatMapGroups" not in static_plan(P.prominences(traces))
+    points = {}
+    for r in traces.collect():
+        points.setdefault(r.trace_id, []).append((r.rt, r.intensity))
+    got = {(r.trace_id, r.region): r.curve for r in curves.collect()}
+    assert len(got) == 21
+    for a in apexes.collect():
+        rt, v = np.array(sorted(points[a.trace_id])).T
+        assert np.allclose(np.array(got[a.trace_id, a.region], float), P.own_max_curve(rt, v, a.apex_rt), equal_nan=True)

@@ -10,13 +10,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_of, flags
-from ..functions.tables import written
+from ..functions.tables import by_runs, written
 from . import traces as T
 
 
@@ -136,10 +135,9 @@ def prominences(traces: DataFrame, relative_height: float = 0.5) -> DataFrame:
             stack.append(i)
         return before, least
 
-    def solve(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("idx")
-        v = own.intensity.to_numpy(float)
-        n, at = len(v), np.flatnonzero(own._peak.to_numpy(bool))
+    def solve(own: dict[str, np.ndarray]) -> list[tuple]:
+        v = own["intensity"].astype(float)
+        n, at = len(v), np.flatnonzero(own["is_peak"].astype(bool))
         before, low_left = towards(v)
         after, low_right = (x[::-1] for x in towards(v[::-1]))
         rows = []
@@ -151,11 +149,11 @@ def prominences(traces: DataFrame, relative_height: float = 0.5) -> DataFrame:
             a = left + ((level - v[left]) / (v[left + 1] - v[left]) if v[left] < level else 0.0)
             z = right - ((level - v[right]) / (v[right - 1] - v[right]) if v[right] < level else 0.0)
             bounds = (max(0, int(np.floor(a))), min(n, int(np.ceil(z)) + 1)) if z > a else (p, min(n, p + 1))
-            rows.append((own.trace_id.iloc[0], p, prominence, a, z, *bounds))
-        return pd.DataFrame(rows, columns=["trace_id", "idx", "prominence", "left_ip", "right_ip", "left", "right"])
+            rows.append((own["trace_id"][0], p, prominence, a, z, *bounds))
+        return rows
 
-    marked = traces.select("trace_id", "idx", "intensity").join(T.local_maxima(traces).select("trace_id", "idx", F.lit(True).alias("_peak")), ["trace_id", "idx"], "left").withColumn("_peak", F.coalesce("_peak", F.lit(False)))
-    return marked.groupBy("trace_id").applyInPandas(solve, "trace_id int, idx int, prominence double, left_ip double, right_ip double, left int, right int")
+    marked = T.marked_maxima(traces).drop("rt")
+    return by_runs(marked, ["trace_id"], "idx", solve, "trace_id int, idx int, prominence double, left_ip double, right_ip double, left int, right int")
 
 
 def _running_area(traces: DataFrame) -> DataFrame:
@@ -359,15 +357,15 @@ def own_max_curve(rt: np.ndarray, intensity: np.ndarray, apex: float, half_windo
 def apex_curves(traces: DataFrame, apexes: DataFrame, half_window: float = 0.35, grid: int = 175) -> DataFrame:
     """(trace_id, region, curve): own_max_curve() around each apex (trace_id, region, apex_rt). Only points near an apex are sent to it."""
 
-    def solve(own: pd.DataFrame) -> pd.DataFrame:
-        curve = own_max_curve(own.rt.to_numpy(float), own.intensity.to_numpy(float), float(own.apex_rt.iloc[0]), half_window, grid)
-        return pd.DataFrame({"trace_id": [own.trace_id.iloc[0]], "region": [own.region.iloc[0]], "curve": [curve.tolist()]})
+    def solve(own: dict[str, np.ndarray]) -> list[tuple]:
+        curve = own_max_curve(own["rt"].astype(float), own["intensity"].astype(float), float(own["apex_rt"][0]), half_window, grid)
+        return [(own["trace_id"][0], own["region"][0], curve.tolist())]
 
     from .joins import band_join
 
     wanted = apexes.select("trace_id", "region", "apex_rt")
     near = band_join(wanted, traces.select("trace_id", "rt", "intensity"), "apex_rt", "rt", half_window * 1.01, ["trace_id"], F.abs(F.col("rt") - F.col("apex_rt")) <= half_window)
-    return near.groupBy("trace_id", "region").applyInPandas(solve, "trace_id int, region int, curve array<double>")
+    return by_runs(near, ["trace_id", "region"], "rt", solve, "trace_id int, region int, curve array<double>")
 
 
 def shape_similarity(a: str, b: str, least: int = 5) -> Column:

@@ -73,24 +73,30 @@ def savgol_weights(window: int, order: int) -> list[float]:
     return [float(w) for w in np.linalg.pinv(np.vander(x, order + 1, increasing=True))[0]]
 
 
+def marked_maxima(traces: DataFrame) -> DataFrame:
+    """(trace_id, idx, rt, intensity, is_peak) of all points; local_maxima() says which are peaks. Windows over one dealing of the traces, which are never
+    joined with themselves: a task holds two sorts of its points, whatever the number of rules."""
+    value, down = F.col("intensity"), W.partitionBy("trace_id").orderBy(F.desc("idx"))
+    differs = lambda other: F.coalesce(value != other, F.lit(True))
+    before, after = F.lag("intensity").over(ordered()), F.lead("intensity").over(ordered())
+    ends = traces.select("trace_id", "idx", "rt", "intensity", F.when(differs(before), F.struct("idx", before.alias("v"))).alias("_first"), F.when(differs(after), F.struct("idx", after.alias("v"))).alias("_last"))
+    # A run of equal values carries its first point and the value before it along, and from the other end its last point and the value after it.
+    left = ends.withColumn("_first", F.last("_first", ignorenulls=True).over(upto()))
+    run = left.withColumn("_last", F.last("_last", ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, 0)))
+    l, r, v, w = F.col("_first.idx"), F.col("_last.idx"), F.col("_first.v"), F.col("_last.v")
+    # A plateau at an end is no peak; a single end point above its neighbour is.
+    inner = v.isNotNull() & w.isNotNull() & (value > v) & (value > w)
+    edge = (l == r) & ((v.isNull() & (value > w)) | (w.isNull() & (value > v)))
+    found = run.withColumn("_peak", F.coalesce((F.col("idx") == F.floor((l + r) / 2)) & (inner | edge), F.lit(False))).drop("_first", "_last")
+    whole = W.partitionBy("trace_id")
+    told = found.withColumns({"_any": F.max("_peak").over(whole), "_top": F.min(F.struct((-value).alias("minus"), "idx")).over(whole)})
+    return told.select("trace_id", "idx", "rt", "intensity", (F.col("_peak") | (~F.col("_any") & (F.col("idx") == F.col("_top.idx")))).alias("is_peak"))
+
+
 def local_maxima(traces: DataFrame) -> DataFrame:
     """(trace_id, idx, rt, intensity) of local peaks: strict maxima, the lower middle of plateaus, ends above their neighbour; without any of
     these the first maximum of the trace."""
-    value = F.col("intensity")
-    changed = F.coalesce((value != F.lag("intensity").over(ordered())).cast("int"), F.lit(1))
-    runs = traces.select("*", F.sum(changed).over(ordered()).alias("_run"))
-    run = runs.groupBy("trace_id", "_run").agg(F.min("idx").alias("_l"), F.max("idx").alias("_r"), F.first("intensity").alias("_v"))
-    by = W.partitionBy("trace_id").orderBy("_run")
-    before, after = F.lag("_v").over(by), F.lead("_v").over(by)
-    # A plateau at an end is no peak; a single end point above its neighbour is.
-    alone = F.col("_l") == F.col("_r")
-    inner = before.isNotNull() & after.isNotNull() & (F.col("_v") > before) & (F.col("_v") > after)
-    ends = alone & ((before.isNull() & (F.col("_v") > after)) | (after.isNull() & (F.col("_v") > before)))
-    tall = run.select("trace_id", F.floor((F.col("_l") + F.col("_r")) / 2).cast("int").alias("idx"), F.coalesce(inner | ends, F.lit(False)).alias("_peak"))
-    found = tall.where("_peak").select("trace_id", "idx")
-    top = traces.groupBy("trace_id").agg(F.min_by("idx", F.struct(-value, F.col("idx"))).alias("idx"))
-    fallback = top.join(found.select("trace_id").distinct(), "trace_id", "left_anti")
-    return traces.join(found.unionByName(fallback), ["trace_id", "idx"]).select("trace_id", "idx", "rt", "intensity")
+    return marked_maxima(traces).where("is_peak").drop("is_peak")
 
 
 def thresholds(traces: DataFrame, fraction: float) -> DataFrame:
