@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tracewright.operators import grouping, joins, models, traces
+from tracewright.operators import edges, grouping, joins, models, traces
 from tracewright.operators.graph import components
 from tracewright.sources import readers, sinks
 from tracewright.streaming import streams
@@ -113,3 +113,35 @@ def test_seed_sessions(spark, tmp_path):
     query = streams.seed_sessions(seeds, "30 seconds", "1 minute").writeStream.outputMode("complete").format("memory").queryName("sessions").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r.n, r.top) for r in spark.table("sessions").collect()) == [(1, 5.0), (2, 20.0)]
+
+
+def test_linked_owners_are_complete_links_of_strong_edges(spark, monkeypatch):
+    rnd = random.Random(11)
+    some = lambda v: None if rnd.random() < 0.05 else v
+    rows = [
+        (
+            i, some(f"S{rnd.randrange(5)}"), rnd.choice(["a", "b", "b", "", None]), some(rnd.choice([200.0, 200.002, 200.004, 200.004, 300.0, -1.0])), some(rnd.choice([1.0, 1.3, 1.9, 2.0, 2.3, 9.0, float("nan")])),
+            some(rnd.choice([100.0, 100.001, 100.002, 100.002, 0.0, -5.0, float("inf")])), some(rnd.choice([116.0474, 116.0478, 116.0482])), some(rnd.choice([10, 60, 61, 90])), some(rnd.randrange(1, 5)), some(rnd.random() < 0.05),
+        )
+        for i in rnd.sample(range(4000), 900)
+    ]
+    schema = "owner_id long, sample string, tag string, precursor_mz double, apex_rt double, product_mz double, observed_loss double, evidence_score int, seed_event_count int, identity_conflict boolean"
+    owners = spark.createDataFrame(rows, schema)
+    strong = edges.owner_edges(owners).where("decision = 'strong_edge'").selectExpr("left_id AS a", "right_id AS b", "rt_sec AS distance")
+    expected = {r.owner_id: r.group_id for r in grouping.complete_link(owners, strong).collect()}
+    monkeypatch.setattr(edges, "owner_edges", None)
+    for parts in (1, 6):
+        got = [(r.owner_id, r.group_id) for r in grouping.linked_owners(owners.repartition(parts)).collect()]
+        assert len(got) == len(rows) and dict(got) == expected
+    assert len(set(expected.values())) < len(rows) - 50
+
+
+def test_complete_link_query_makes_no_pairs(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tracewright.plans.registered import groups
+
+    monkeypatch.setattr(edges, "owner_edges", None)
+    row = "id AS owner_id, concat('S', id % 3) AS sample, 't' AS tag, 300e0 AS precursor_mz, 5e0 AS apex_rt, 180e0 AS product_mz, 116e0 AS observed_loss, 90 AS evidence_score, 3 AS seed_event_count, false AS identity_conflict"
+    got = {r.owner_id: r.group_id for r in groups.grp05(SimpleNamespace(owners=spark.sql(f"SELECT {row} FROM range(9000)"))).collect()}
+    assert got == {i: i // 3 * 3 for i in range(9000)}

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite
+from . import edges as ED
 from .graph import components
 from .traces import gap_islands
 
@@ -165,6 +168,143 @@ def complete_link(owners: DataFrame, edges: DataFrame) -> DataFrame:
     return grouped.unionByName(alone)
 
 
+#: Tolerances are those of owner_edges(); its strong edges are at most a minute long.
+_LINK_PPM, _LINK_SEC = {"precursor_mz": ED.PRECURSOR_PPM, "product_mz": ED.PRODUCT_PPM, "observed_loss": ED.LOSS_PPM}, 60.0
+
+
+class _Links:
+    """Groups of complete links that may still take owners: for each its least and greatest values, its members' samples and kinds of support.
+
+    What a tolerance allows beside a value is an interval, so that the outermost members decide. A distance in parts per million is relative to the
+    smaller owner_id; where that matters (`unclear`), all members are looked at.
+    """
+
+    def __init__(self) -> None:
+        self.n, self.names, self.members = 0, np.zeros(64, np.int64), []
+        self.low, self.high = ({c: np.full(64, np.nan) for c in (*_LINK_PPM, "apex_rt")} for _ in range(2))
+        self.kinds, self.samples = np.zeros((64, 9), bool), {}
+
+    def _grow(self) -> None:
+        more = lambda a: np.concatenate([a, np.zeros_like(a)])
+        self.names, self.kinds = more(self.names), more(self.kinds)
+        self.low, self.high = ({c: more(v) for c, v in side.items()} for side in (self.low, self.high))
+        self.samples = {s: more(v) for s, v in self.samples.items()}
+
+    def drop(self, mz: float) -> None:
+        """Forgets the groups that m/z, which rises, has left behind."""
+        gone = self.low["precursor_mz"][: self.n] * (1 + 1.01e-6 * _LINK_PPM["precursor_mz"]) < mz
+        if 4 * gone.sum() < self.n + 64:  # moving the rest costs as much as looking at them
+            return
+        kept, size = np.flatnonzero(~gone), len(self.names)
+        moved = lambda a: np.concatenate([a[kept], np.zeros((size - len(kept), *a.shape[1:]), a.dtype)])
+        self.names, self.kinds, self.n = moved(self.names), moved(self.kinds), len(kept)
+        self.low, self.high = ({c: moved(v) for c, v in side.items()} for side in (self.low, self.high))
+        self.samples = {s: moved(v) for s, v in self.samples.items()}
+        self.members = [self.members[k] for k in kept.tolist()]
+
+    @np.errstate(invalid="ignore")
+    def candidates(self, sample: str | None, values: dict[str, float], refused: np.ndarray) -> tuple[list[int], list[bool]]:
+        """The groups that may take such an owner, the nearest and then the oldest first, and whether the order of ids matters."""
+        n = self.n
+        rt = np.maximum(np.abs(self.low["apex_rt"][:n] - values["apex_rt"]), np.abs(self.high["apex_rt"][:n] - values["apex_rt"])) * 60
+        at = (rt <= _LINK_SEC) & ~self.kinds[:n, refused].any(1)
+        if sample in self.samples:
+            at &= ~self.samples[sample][:n]
+        at = np.flatnonzero(at)
+        unclear = np.zeros(len(at), bool)
+        fits = np.ones(len(at), bool)
+        for c, most in _LINK_PPM.items():
+            for side in (self.low, self.high):
+                given = ~np.isnan(side[c][at]) & (values[c] == values[c])  # an absent value is out of no tolerance, an infinite one out of any
+                one, two = (given & ~(x <= most) for x in (ED._ppm(side[c][at], values[c]), ED._ppm(np.float64(values[c]), side[c][at])))
+                fits &= ~(one & two)
+                unclear |= one != two
+        at, unclear = at[fits], unclear[fits]
+        order = np.argsort(rt[at], kind="stable")
+        return at[order].tolist(), unclear[order].tolist()
+
+    def near(self, k: int, owner: int, values: dict[str, float]) -> bool:
+        """Whether the owner is within the tolerances of all members."""
+        for other, *theirs in self.members[k]:
+            for (c, most), v in zip(_LINK_PPM.items(), theirs, strict=True):
+                a, b = (v, values[c]) if other < owner else (values[c], v)
+                if a == a and b == b and not abs(a - b) / max(abs(a), 1e-12) * 1e6 <= most:
+                    return False
+        return True
+
+    def take(self, k: int | None, owner: int, sample: str | None, values: dict[str, float], kind: int) -> int:
+        """Puts the owner into the group, or a new one, and returns the group's name."""
+        if k is None:
+            k, self.n = self.n, self.n + 1
+            if k == len(self.names):
+                self._grow()
+            self.names[k] = owner
+            self.members.append([])
+            for c, v in values.items():
+                self.low[c][k] = self.high[c][k] = v
+        for c, v in values.items():
+            self.low[c][k], self.high[c][k] = np.fmin(self.low[c][k], v), np.fmax(self.high[c][k], v)
+        self.kinds[k, kind] = True
+        self.samples.setdefault(sample, np.zeros(len(self.names), bool))[k] = True
+        self.members[k].append((owner, *(values[c] for c in _LINK_PPM)))
+        return int(self.names[k])
+
+
+def _refused_kinds() -> np.ndarray:
+    """For each kind of support (3 x events enough, + score enough; 0 no, 1 absent, 2 yes) the kinds with which it makes no strong edge: in neither
+    number has one enough and the other one enough or none."""
+    both = lambda x, y: x + y >= 3
+    return np.array([[not (both(a // 3, b // 3) or both(a % 3, b % 3)) for b in range(9)] for a in range(9)])
+
+
+def linked_owners(owners: DataFrame) -> DataFrame:
+    """(owner_id, group_id): complete_link() of owners by the strong edges of owner_edges(), without making an edge.
+
+    Owners of a tag are cut into islands of m/z and of RT that no strong edge crosses. An island streams by in the rule's order; a task holds the groups
+    that m/z hasn't left behind. Owners alike in all that the edges read look for groups once.
+    """
+    numbers = ["precursor_mz", "apex_rt", "product_mz", "observed_loss"]
+    able = (F.col("tag") != "") & ~F.coalesce("identity_conflict", F.lit(False)) & finite(F.col("precursor_mz")) & (F.col("precursor_mz") > 0) & finite(F.col("apex_rt"))
+    enough = lambda c, least: F.when(F.col(c).isNull(), 1).when(F.col(c) >= least, 2).otherwise(0)
+    marked = owners.withColumns({"_able": F.coalesce(able, F.lit(False)), "_kind": enough("seed_event_count", 2) * 3 + enough("evidence_score", 60)})
+    told = lambda c: F.when(F.isnan(c), float("inf")).otherwise(F.col(c)).alias(c)  # noqa: E731 (pandas has one NaN for absent and undefined)
+    own = marked.where("_able").select("owner_id", "sample", "tag", *[told(c) for c in numbers], F.col("evidence_score").cast("double").alias("evidence_score"), "_kind")
+    by_mz = gap_islands(own.withColumn("_log", F.log("precursor_mz")), ["tag"], "_log", ED.PRECURSOR_PPM / 1e6 * 1.001, "owner_id").withColumnRenamed("island", "_mz")
+    rows = gap_islands(by_mz, ["tag", "_mz"], "apex_rt", _LINK_SEC / 60 * 1.001, "owner_id").withColumnRenamed("island", "_rt")
+    keys, refused = ["tag", "_mz", "_rt"], _refused_kinds()
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        island, block, groups, known, taken = None, None, _Links(), {}, set()
+        for batch in batches:
+            names = []
+            parts = [batch[c].tolist() for c in (*keys, "owner_id", "sample", "_kind")] + [batch[c].to_numpy(float, na_value=np.nan).tolist() for c in numbers]
+            for *at, owner, sample, kind, mz, rt, product, loss in zip(*parts, strict=True):
+                if at != island:
+                    island, block, groups = at, None, _Links()
+                if block != (mz, rt, sample):  # within a block, groups only drop out, as all of its owners are of one sample
+                    if block is None or block[0] != mz:
+                        groups.drop(mz)
+                    block, known, taken = (mz, rt, sample), {}, set()
+                values = {"precursor_mz": mz, "apex_rt": rt, "product_mz": product, "observed_loss": loss}
+                like = (kind, *("" if v != v else v for v in (product, loss)))
+                if like not in known:
+                    known[like] = [0, *groups.candidates(sample, values, refused[kind])]
+                start, ranked, unclear = found = known[like]
+                while start < len(ranked) and ranked[start] in taken:
+                    start += 1
+                found[0] = start
+                k = next((ranked[i] for i in range(start, len(ranked)) if ranked[i] not in taken and (not unclear[i] or groups.near(ranked[i], owner, values))), None)
+                if k is not None:
+                    taken.add(k)
+                names.append(groups.take(k, owner, sample, values, kind))
+            yield pd.DataFrame({"owner_id": batch["owner_id"], "group_id": names})
+
+    ranked = F.when(~F.isnan("evidence_score"), -F.col("evidence_score"))
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "precursor_mz", "apex_rt", F.asc_nulls_last("sample"), ranked.asc_nulls_last(), "owner_id")
+    grouped = placed.select(*keys, "owner_id", "sample", "_kind", *numbers).mapInPandas(place, "owner_id long, group_id long")
+    return grouped.unionByName(marked.where("NOT _able").select(F.col("owner_id").cast("long").alias("owner_id"), F.col("owner_id").cast("long").alias("group_id")))
+
+
 def exact_claims(cells: DataFrame) -> DataFrame:
     """Cells of a sample with equal rounded peaks compete: the first by detected, area and family wins, the others become duplicates."""
     key = ["sample", *[F.bround(c, 6) for c in ("apex_rt", "start_rt", "end_rt", "area")]]
