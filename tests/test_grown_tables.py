@@ -157,3 +157,26 @@ def test_curves_and_prominences_take_no_call_for_each_group(spark):
     for a in apexes.collect():
         rt, v = np.array(sorted(points[a.trace_id])).T
         assert np.allclose(np.array(got[a.trace_id, a.region], float), P.own_max_curve(rt, v, a.apex_rt), equal_nan=True)
+
+
+def test_regions_and_candidates_deal_traces_once(spark):
+    rnd = random.Random(9)
+    rows = [(t, i, i / 20, float(rnd.choice([0, 0, 1, 2, 3, 20, 40, 40, 90]))) for t in range(25) for i in range(rnd.randrange(1, 60))]
+    traces = spark.createDataFrame(rows, "trace_id int, idx int, rt double, intensity double").repartition(3)
+    frame = T.regions(traces, 0.1, 0.12, 1.7)
+    assert static_plan(frame).count("Exchange hashpartitioning") == 1 and "Join" not in static_plan(frame)
+    peaks = T.local_maxima(traces)
+    bounds = {(r.trace_id, r.idx): r for r in T.threshold_bounds(traces, peaks, T.thresholds(traces, 0.1)).collect()}
+    splits = sorted(map(tuple, T.valley_splits(traces, peaks, 0.12, 1.7).where("split").select("trace_id", "right_peak", "valley").collect()))
+    expected = []
+    for t in {r[0] for r in rows}:
+        own = sorted(k[1] for k in bounds if k[0] == t)
+        cuts = [(z, v) for k, z, v in splits if k == t]
+        lefts = [bounds[t, own[0]].left, *(min(v + 1, z) for z, v in cuts)]
+        rights = [*(v + 1 for _, v in cuts), bounds[t, own[-1]].right]
+        expected += [(t, n + 1, a, z) for n, (a, z) in enumerate(zip(lefts, rights, strict=True))]
+    assert sorted(map(tuple, frame.collect())) == sorted(expected) and len(expected) > 60
+    held = T.inside(traces, frame)
+    assert static_plan(T.inside(traces, frame)).count("Join") == 0
+    want = sorted((t, n, i) for t, n, a, z in expected for u, i, *_ in rows if t == u and a <= i < z)
+    assert sorted((r.trace_id, r.region, r.idx) for r in held.collect()) == want

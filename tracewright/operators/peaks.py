@@ -56,10 +56,19 @@ Resolver = Callable[[DataFrame, ResolverConfig], DataFrame]
 def resolve(traces: DataFrame, config: ResolverConfig = ResolverConfig()) -> DataFrame:
     """Candidates of the local-minimum resolver: (trace_id, region, left, right, scans, apex_idx, apex_rt, apex_intensity, minutes, prominence,
     flags). A trace is cut at valleys; regions that are too low or too narrow go, and weak ones carry flags."""
-    found = written(T.regions(traces, config.threshold_fraction, config.min_gap, config.min_ratio))
-    at = lambda k, shift: traces.select("trace_id", (F.col("idx") + shift).alias(k), F.col("rt").alias(f"_{k}_rt"), F.col("intensity").alias(f"_{k}_i"))
-    rows = T.apexes(traces, found).join(at("left", 0), ["trace_id", "left"]).join(at("right", 1), ["trace_id", "right"])
-    rows = rows.join(T.continuity(T.inside(traces, found), ("trace_id", "region")), ["trace_id", "region"])
+    return resolved(traces, config).drop("continuity")
+
+
+def resolved(traces: DataFrame, config: ResolverConfig = ResolverConfig()) -> DataFrame:
+    """Candidates of resolve() with the continuity of their points."""
+    points = T.inside(traces, written(T.regions(traces, config.threshold_fraction, config.min_gap, config.min_ratio)))
+    at = lambda f: f(F.struct("idx", "rt", "intensity"))
+    rows = points.groupBy("trace_id", "region", "left", "right").agg(F.min(F.struct((-F.col("intensity")).alias("minus"), "idx", "rt")).alias("_a"), F.count("*").alias("scans"), at(F.min).alias("_l"), at(F.max).alias("_r"))
+    rows = rows.select(
+        "trace_id", "region", "left", "right", "scans", F.col("_a.idx").alias("apex_idx"), F.col("_a.rt").alias("apex_rt"), (-F.col("_a.minus")).alias("apex_intensity"),
+        *[F.col(f"_{k[0]}.{c}").alias(f"_{k}_{n}") for k in ("left", "right") for c, n in (("rt", "rt"), ("intensity", "i"))],
+    )
+    rows = rows.join(T.continuity(points, ("trace_id", "region")), ["trace_id", "region"])
     rows = rows.join(traces.groupBy("trace_id").agg(F.max("intensity").alias("_top"), F.count("*").alias("_points")), "trace_id")
     minutes, edge, apex = F.col("_right_rt") - F.col("_left_rt"), F.greatest("_left_i", "_right_i"), F.col("apex_intensity")
     names = flags(
@@ -68,7 +77,7 @@ def resolve(traces: DataFrame, config: ResolverConfig = ResolverConfig()) -> Dat
     )
     kept = rows.where((F.col("scans") >= config.least_scans) & (minutes > 0) & (apex >= config.min_height) & (apex >= F.col("_top") * config.min_relative))
     own = ["trace_id", "region", "left", "right", "scans", "apex_idx", "apex_rt", "apex_intensity"]
-    return kept.select(*own, minutes.alias("minutes"), F.greatest(F.lit(0.0), apex - edge).alias("prominence"), names.alias("flags"))
+    return kept.select(*own, minutes.alias("minutes"), F.greatest(F.lit(0.0), apex - edge).alias("prominence"), names.alias("flags"), "continuity")
 
 
 def recovered(candidates: DataFrame, most: float = 0.35, least_share: float = 0.03) -> DataFrame:

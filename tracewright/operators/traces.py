@@ -136,15 +136,24 @@ def valley_splits(traces: DataFrame, peaks: DataFrame, min_gap: float, min_ratio
 
 def regions(traces: DataFrame, fraction: float, min_gap: float, min_ratio: float) -> DataFrame:
     """(trace_id, region, left, right): the trace cut at split valleys, from the first peak's threshold bound to the last one's; right is exclusive."""
-    peaks = local_maxima(traces)
-    bounds = threshold_bounds(traces, peaks, thresholds(traces, fraction))
-    ends = bounds.groupBy("trace_id").agg(F.min_by("left", "idx").alias("_first"), F.max_by("right", "idx").alias("_last"))
-    cuts = valley_splits(traces, peaks, min_gap, min_ratio).where("split").select("trace_id", F.col("valley").alias("_end"), F.least(F.col("valley") + 1, F.col("right_peak")).alias("_next"), F.col("right_peak").alias("_at"))
-    rows = ends.select("trace_id", F.col("_first").alias("left"), F.lit(-1).alias("_at")).unionByName(cuts.select("trace_id", F.col("_next").alias("left"), "_at"))
-    by = W.partitionBy("trace_id").orderBy("_at")
-    stops = cuts.select("trace_id", F.col("_end").alias("_stop"), F.row_number().over(by).alias("region"))
-    numbered = rows.select("trace_id", "left", F.row_number().over(by).alias("region")).join(stops, ["trace_id", "region"], "left").join(ends.select("trace_id", "_last"), "trace_id")
-    return numbered.select("trace_id", F.col("region").cast("int").alias("region"), F.col("left").cast("int").alias("left"), F.coalesce(F.col("_stop") + 1, F.col("_last")).cast("int").alias("right"))
+    value, whole = F.col("intensity"), W.partitionBy("trace_id")
+    low, high = F.min("intensity").over(whole), F.max("intensity").over(whole)
+    levelled = marked_maxima(traces).withColumn("_below", value <= low + (high - low) * fraction)
+    # Points belong to the last peak up to them, those before the first peak to none; all of this is one dealing of the traces.
+    owned = levelled.withColumn("peak", F.last(F.when(F.col("is_peak"), F.col("idx")), ignorenulls=True).over(upto()))
+    parts = owned.groupBy("trace_id", "peak").agg(
+        F.min(F.struct("intensity", "idx")).alias("v"), F.max(F.when(F.col("is_peak"), F.struct("idx", "rt", "intensity"))).alias("p"), F.max(F.when(F.col("_below"), F.col("idx"))).alias("low"),
+        F.coalesce(F.min(F.when(F.col("_below") & ~F.col("is_peak"), F.col("idx"))), F.max("idx") + 1).alias("stop"),
+    )
+    by = W.partitionBy("trace_id").orderBy(F.asc_nulls_first("peak"))
+    met = parts.withColumn("_b", F.lag(F.struct("peak", "p", "v", "low")).over(by)).withColumn("_last", F.last("stop").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    depth, a, z = F.col("_b.v.intensity"), F.col("_b.p"), F.col("p")
+    split = (z["rt"] - a["rt"] >= min_gap) & ((depth <= 0) | ((a["intensity"] / depth >= min_ratio) & (z["intensity"] / depth >= min_ratio)))
+    cut = F.when(F.coalesce(split, F.lit(False)), F.col("_b.v.idx"))
+    begins = met.where("peak IS NOT NULL").withColumns({"_cut": cut, "_opens": F.col("_b.peak").isNull()}).where("_opens OR _cut IS NOT NULL")
+    left = F.when(F.col("_opens"), F.coalesce(F.col("_b.low") + 1, F.lit(0))).otherwise(F.least(F.col("_cut") + 1, F.col("peak")))
+    right = F.coalesce(F.lead("_cut").over(by) + 1, F.col("_last"))
+    return begins.select("trace_id", F.row_number().over(by).cast("int").alias("region"), left.cast("int").alias("left"), right.cast("int").alias("right"))
 
 
 def inside(traces: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ("trace_id", "region")) -> DataFrame:
@@ -152,9 +161,12 @@ def inside(traces: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ("tr
     up to it, which a running window carries along."""
     own = [k for k in keys if k != "trace_id"]
     carried = F.struct(*own, "left", "right")
-    starts = intervals.select("trace_id", F.col("left").alias("idx"), carried.alias("_interval"))
-    marked = traces.join(starts, ["trace_id", "idx"], "left").withColumn("_interval", F.last("_interval", ignorenulls=True).over(upto()))
-    return marked.where(F.col("idx") < F.col("_interval.right")).select(*traces.columns, *[F.col(f"_interval.{k}").alias(k) for k in (*own, "left", "right")])
+    # Intervals are rows of their own before their first point, so that traces are dealt once and not joined point by point.
+    starts = intervals.select("trace_id", F.col("left").alias("idx"), carried.alias("_interval"), F.lit(0).alias("_point"))
+    both = traces.withColumn("_point", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    order = W.partitionBy("trace_id").orderBy("idx", "_point").rowsBetween(W.unboundedPreceding, 0)
+    marked = both.withColumn("_interval", F.last("_interval", ignorenulls=True).over(order))
+    return marked.where((F.col("_point") == 1) & (F.col("idx") < F.col("_interval.right"))).select(*traces.columns, *[F.col(f"_interval.{k}").alias(k) for k in (*own, "left", "right")])
 
 
 def apexes(traces: DataFrame, intervals: DataFrame, keys: tuple[str, ...] = ("trace_id", "region")) -> DataFrame:
@@ -170,9 +182,9 @@ def continuity(points: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     edge = F.greatest(F.first("intensity").over(whole), F.last("intensity").over(whole))
     steps = points.select(*keys, "idx", (F.col("intensity") - F.lag("intensity").over(by)).alias("_step"), (F.max("intensity").over(whole) - edge).alias("_range"), F.count("*").over(whole).alias("_n"))
-    large = steps.where(F.abs("_step") >= F.col("_range") * 0.05).select(*keys, F.signum("_step").alias("_s"), F.lag(F.signum("_step")).over(by).alias("_was"))
-    counted = large.groupBy(*keys).agg(F.count("*").alias("_k"), F.count_if(F.col("_s") != F.col("_was")).alias("_changes"))
-    facts = steps.groupBy(*keys).agg(F.max("_n").alias("_n"), F.max("_range").alias("_range")).join(counted, list(keys), "left")
+    signs = steps.withColumn("_s", F.when(F.abs("_step") >= F.col("_range") * 0.05, F.signum("_step")))
+    told = signs.withColumn("_was", F.last("_s", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)))
+    facts = told.groupBy(*keys).agg(F.max("_n").alias("_n"), F.max("_range").alias("_range"), F.count("_s").alias("_k"), F.count_if(F.col("_s") != F.col("_was")).alias("_changes"))
     score = F.when(F.coalesce("_k", F.lit(0)) <= 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("_changes") / F.greatest(F.lit(1), F.col("_k") - 1)))
     return facts.select(*keys, F.when(F.col("_n") < 5, None).when(F.col("_range") <= 0, 0.0).otherwise(score).alias("continuity"))
 

@@ -15,7 +15,7 @@ from ...operators import proposals as PR
 from ...operators import rules as R
 from ...operators import traces as T
 from ..catalog import query
-from .traces import _CONT, _PEAKS, _REGIONS, _regions
+from .traces import _CONT, _PEAKS, _REGIONS
 
 _R6 = lambda c, n=None: F.round(c, 6).alias(n or c)
 _AT = lambda value, place, row="ap": f"(SELECT {value} FROM traces t WHERE t.trace_id = {row}.trace_id AND t.idx = {place})"
@@ -50,12 +50,13 @@ def trc03(b):
 
 @query("win23_preferred_rt_recovery", f"WITH {_DETECT} SELECT trace_id, region, apex_idx, round(off, 6) AS off FROM rc")
 def win23(b):
-    facts = b.traces.groupBy("trace_id").agg(F.count("*").alias("n"), F.max("intensity").alias("top")).where("n >= 3 AND top > 0")
+    traces = written(b.traces)
+    facts = traces.groupBy("trace_id").agg(F.count("*").alias("n"), F.max("intensity").alias("top")).where("n >= 3 AND top > 0")
     wanted = _preferred(b).join(facts, "trace_id", "left_semi")
     wanted = written(wanted)
-    settled = P.resolve(b.traces).join(wanted, "trace_id").where(F.abs(F.col("apex_rt") - F.col("preferred_rt")) <= 0.35).select("trace_id").distinct()
+    settled = P.resolve(traces).join(wanted, "trace_id").where(F.abs(F.col("apex_rt") - F.col("preferred_rt")) <= 0.35).select("trace_id").distinct()
     asked = written(wanted.join(settled, "trace_id", "left_anti"))
-    relaxed = P.resolve(b.traces.join(asked, "trace_id", "left_semi"), P.PROFILES["relaxed"]).join(asked, "trace_id")
+    relaxed = P.resolve(traces.join(asked, "trace_id", "left_semi"), P.PROFILES["relaxed"]).join(asked, "trace_id")
     return P.recovered(relaxed).select("trace_id", "region", "apex_idx", F.round(F.abs(F.col("apex_rt") - F.col("preferred_rt")), 6).alias("off"))
 
 
@@ -123,10 +124,10 @@ sc AS (SELECT *, CAST(least(100, greatest(0, 50 + CASE WHEN baseline >= 0.5 THEN
 
 
 def _scored(b):
-    found = written(P.resolve(b.traces))
-    rows = P.boundary_hypotheses(b.traces, found).join(found.select("trace_id", "region", "apex_rt", "apex_intensity"), ["trace_id", "region"])
-    rows = rows.join(T.continuity(T.inside(b.traces, _regions(b)), ("trace_id", "region")), ["trace_id", "region"])
-    at = lambda k, shift: b.traces.select("trace_id", (F.col("idx") + shift).alias(k), F.col("intensity").alias(f"_{k}"))
+    traces = written(b.traces)
+    found = written(P.resolved(traces))
+    rows = P.boundary_hypotheses(traces, found.drop("continuity")).join(found.select("trace_id", "region", "apex_rt", "apex_intensity", "continuity"), ["trace_id", "region"])
+    at = lambda k, shift: traces.select("trace_id", (F.col("idx") + shift).alias(k), F.col("intensity").alias(f"_{k}"))
     rows = rows.join(at("left", 0), ["trace_id", "left"]).join(at("right", 1), ["trace_id", "right"])
     own = F.array_contains("sources", "candidate_interval")
     reference = F.max(F.when(own, F.col("width"))).over(W.partitionBy("trace_id", "region"))
@@ -158,8 +159,8 @@ def flt32(b):
 
 def _marked(b):
     """Scored boundaries, those of the strongest candidate selected."""
-    rows = _scored(b)
-    first = P.resolve(b.traces).groupBy("trace_id").agg(F.min(F.struct(-F.col("apex_intensity"), F.col("region")))["region"].alias("_sel"))
+    rows = written(_scored(b))  # with a row at least for each candidate
+    first = rows.groupBy("trace_id").agg(F.min(F.struct(-F.col("apex_intensity"), F.col("region")))["region"].alias("_sel"))
     return rows.join(first, "trace_id").withColumns({"selected": F.col("region") == F.col("_sel"), "boundary_id": F.concat_ws("|", "region", "left", "right"), "area": F.round("area", 3)})
 
 
