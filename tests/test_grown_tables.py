@@ -180,3 +180,11 @@ def test_regions_and_candidates_deal_traces_once(spark):
     assert static_plan(T.inside(traces, frame)).count("Join") == 0
     want = sorted((t, n, i) for t, n, a, z in expected for u, i, *_ in rows if t == u and a <= i < z)
     assert sorted((r.trace_id, r.region, r.idx) for r in held.collect()) == want
+
+
+def test_maxima_and_regions_sort_traces_twice(spark):
+    traces = spark.createDataFrame([(1, i, i / 20, float(i % 3)) for i in range(9)], "trace_id int, idx int, rt double, intensity double")
+    plan = static_plan(T.marked_maxima(traces))
+    assert plan.count("Sort [") == 2
+    owned = T.marked_maxima(traces).withColumn("peak", F.last(F.when(F.col("is_peak"), F.col("idx")), ignorenulls=True).over(T.upto()))
+    assert static_plan(owned).count("Sort [") == 2

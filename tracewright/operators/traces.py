@@ -77,17 +77,17 @@ def marked_maxima(traces: DataFrame) -> DataFrame:
     """(trace_id, idx, rt, intensity, is_peak) of all points; local_maxima() says which are peaks. Windows over one dealing of the traces, which are never
     joined with themselves: a task holds two sorts of its points, whatever the number of rules."""
     value, down = F.col("intensity"), W.partitionBy("trace_id").orderBy(F.desc("idx"))
-    differs = lambda other: F.coalesce(value != other, F.lit(True))
-    before, after = F.lag("intensity").over(ordered()), F.lead("intensity").over(ordered())
-    ends = traces.select("trace_id", "idx", "rt", "intensity", F.when(differs(before), F.struct("idx", before.alias("v"))).alias("_first"), F.when(differs(after), F.struct("idx", after.alias("v"))).alias("_last"))
-    # A run of equal values carries its first point and the value before it along, and from the other end its last point and the value after it.
-    left = ends.withColumn("_first", F.last("_first", ignorenulls=True).over(upto()))
-    run = left.withColumn("_last", F.last("_last", ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, 0)))
-    l, r, v, w = F.col("_first.idx"), F.col("_last.idx"), F.col("_first.v"), F.col("_last.v")
+    after, before = F.lag("intensity").over(down), F.lead("intensity").over(down)
+    # Where a run of equal values ends: the place, and 1 if it is above the value beyond, 0 if there is none, else 2; a number takes less of a sort than a struct.
+    side = lambda other: F.when(F.coalesce(value != other, F.lit(True)), F.col("idx").cast("long") * 4 + F.when(other.isNull(), 0).when(value > other, 1).otherwise(2))
+    # A run carries its last point along from the end of the trace, and then its first one from the start, in which order the points stay.
+    ends = traces.select("trace_id", "idx", "rt", "intensity", side(before).alias("_first"), side(after).alias("_last"))
+    right = ends.withColumn("_last", F.last("_last", ignorenulls=True).over(down.rowsBetween(W.unboundedPreceding, 0)))
+    run = right.withColumn("_first", F.last("_first", ignorenulls=True).over(upto()))
+    l, r, v, w = F.shiftright("_first", 2), F.shiftright("_last", 2), F.col("_first").bitwiseAND(F.lit(3)), F.col("_last").bitwiseAND(F.lit(3))
     # A plateau at an end is no peak; a single end point above its neighbour is.
-    inner = v.isNotNull() & w.isNotNull() & (value > v) & (value > w)
-    edge = (l == r) & ((v.isNull() & (value > w)) | (w.isNull() & (value > v)))
-    found = run.withColumn("_peak", F.coalesce((F.col("idx") == F.floor((l + r) / 2)) & (inner | edge), F.lit(False))).drop("_first", "_last")
+    edge = (l == r) & (((v == 0) & (w == 1)) | ((w == 0) & (v == 1)))
+    found = run.withColumn("_peak", (F.col("idx") == F.floor((l + r) / 2)) & (((v == 1) & (w == 1)) | edge)).drop("_first", "_last")
     whole = W.partitionBy("trace_id")
     told = found.withColumns({"_any": F.max("_peak").over(whole), "_top": F.min(F.struct((-value).alias("minus"), "idx")).over(whole)})
     return told.select("trace_id", "idx", "rt", "intensity", (F.col("_peak") | (~F.col("_any") & (F.col("idx") == F.col("_top.idx")))).alias("is_peak"))
