@@ -48,6 +48,25 @@ def test_traces_are_not_shuffled(spark):
         assert sorted(map(tuple, frame.collect())) == sorted(expected) and expected
 
 
+def test_requests_are_dealt_and_points_of_other_minutes_stay(spark):
+    """Requests of a few samples aren't made in a task for each sample, points out of all windows aren't shuffled, and zeros aren't rounded."""
+    points = spark.range(4_000).selectExpr("concat('S', id % 2) AS sample", "CAST(id AS INT) AS scan_number", "id / 10e0 AS rt", "100 + (id % 5) * 0.001e0 AS mz", "id / 7e0 AS intensity")
+    scans = points.select("sample", "scan_number", "rt")
+    requests = spark.range(60).selectExpr("concat('T', id) AS label", "concat('S', id % 3) AS sample", "100 + (id % 5) * 0.001e0 AS mz", "id % 4 / 1e0 AS rt_min", "id % 4 + 1.5e0 AS rt_max", "15e0 AS ppm_tol")
+    frame = joins.extract_traces(points, scans, requests, "sum", 2)
+    plan = static_plan(frame)
+    assert "round" not in plan.split("Generate")[0].lower()
+    binned = [x for x in plan.splitlines() if "Exchange hashpartitioning(sample#" in x and "_bin#" in x]
+    assert binned and "BroadcastHashJoin" in plan.split(binned[0])[1].split("Exchange")[0]
+    held = points.collect()
+    expected = []
+    for r in requests.collect():
+        for s in held:
+            if s["sample"] == r["sample"] and r.rt_min <= s.rt <= r.rt_max:
+                expected.append((r.label, r["sample"], s.scan_number, s.rt, round(s.intensity, 2) if r.mz * (1 - 15e-6) <= s.mz <= r.mz * (1 + 15e-6) else 0.0))
+    assert sorted(map(tuple, frame.collect())) == sorted(expected) and expected
+
+
 def plain_loess(rows, share=0.3, fewest=5):
     out = {}
     for name, key, x, y in rows:
